@@ -2,68 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no shared folder, as in local tests.
-LOCAL_SCRATCH = "/tmp/checkpoints/pairloom"
-_made: list[tuple[SparkSession, str]] = []
-
+from pairloom.plans.scratch import materialise  # noqa: F401  for the operators
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark only (the folder may be in any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir, or a local one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet; removed when the driver ends."""
-    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table through Spark's own file system layer."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).delete(where, True)
-
-
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Delete what materialise() wrote for df, once nothing reads it any more."""
-    if path := getattr(df, "_scratch_path", None):
-        delete(df.sparkSession, path)
-
-
-@atexit.register
-def _clean_up() -> None:
-    for spark, path in _made:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may have ended before us; then the cluster's own clean-up has the files
-            return
-
-
 def map_batches(df: DataFrame, columns: list[str], schema: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Run rows over Arrow batches of the named columns only, so that the scan reads no others."""
     return df.select(*columns).mapInArrow(rows, schema)

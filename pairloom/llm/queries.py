@@ -7,8 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pairloom.llm import ann, quality, toxicity
 from pairloom.llm.common import table
+from pairloom.llm.decontamination import decontaminate
+from pairloom.llm.html_extract import extract_text
+from pairloom.llm.lm import score_texts
 from pairloom.llm.packing import pack_documents
+from pairloom.llm.simhash import near_duplicates
 from pairloom.llm.token_counts import count_tokens
 from pairloom.llm.token_output import read_token_index, write_token_shards
 
@@ -16,21 +21,59 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(ann.build_index(rows), rows.where("vec_id % 20 = 0"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_index(write_token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_token_counts": op3_token_counts,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
     "op9_token_output": op9_token_output,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
