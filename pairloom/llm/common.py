@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pairloom.plans.scratch import materialise  # noqa: F401  for the operators
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark only (the folder may be in any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +31,13 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def crc_mod(column: str, n: int):
-    """crc32 of an id written as text, modulo n."""
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+def keep_rows(df: DataFrame, text_column: str, kept: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """The rows whose text kept() says yes to, with all their columns; one pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(kept(utf8(part.column(at))), pa.bool_()))
+
+    at = df.columns.index(text_column)
+    return df.mapInArrow(run, df.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import slices, utf8
+from pairloom.llm.common import keep_rows, slices, utf8
 from pairloom.plans.scratch import materialise
 
 #: Words of the benchmark whose index is sent to the tasks at once (about 100 bytes a word there).
@@ -218,6 +218,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, co
     return _merged(blocks)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, containment: float = 1.0, block_words: int = BLOCK_WORDS, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+    """The rows in which no window occurs, with all their columns; one block after another filters them."""
+    sc = docs.sparkSession.sparkContext
+    kept = docs
+    for items in _blocks(benchmark, item_column, item_text_column, block_words):
+        index = Index(items, window, containment)
+        index.order(_rarity(docs, text_column, sc.broadcast(index)))
+        kept = keep_rows(kept, text_column, _clean_of(sc.broadcast(index)))
+    return kept
+
+
+def _clean_of(shared):
+    def kept(texts: list[bytes]) -> list[bool]:
+        index: Index = shared.value
+        return [not len(index.hits(index.number(words_of(t)))[0]) for t in texts]
+
+    return kept
+
+
 def _empty(window: int) -> Index:
     index = Index([], window)
     index.order({k: np.zeros(0, np.int64) for k in index.shingles})

@@ -38,6 +38,9 @@ from pyspark.sql.window import Window
 from pairloom.llm.common import map_batches, materialise, slices, utf8
 from pairloom.plans.components import connected_components
 
+#: Ids that are broadcast at most; beyond it they are joined by a shuffle.
+FEW_IDS = 2_000_000
+
 #: Fingerprints of a cell beyond which its members are linked through their neighbours instead.
 CROWDED = 32
 BITS = 64
@@ -123,3 +126,26 @@ def near_duplicates(docs: DataFrame, *, max_bits: int = 2, words_per_shingle: in
     least = distinct.join(groups, "fp").groupBy("component").agg(F.min("first_id").alias("least_id"))
     ids = distinct.join(groups.join(least, "component"), "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, max_bits: int = 2, words_per_shingle: int = 3, seed: int = 42, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of which each group keeps the one with the least id.
+
+    Of rows that share an id one stays at most, the first by text. Rows with a null id stay.
+    """
+    groups = near_duplicates(docs, max_bits=max_bits, words_per_shingle=words_per_shingle, seed=seed, id_column=id_column, text_column=text_column)
+    ids = materialise(groups.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("stays"), F.count("*").alias("n")), "ids")
+
+    def few(found: DataFrame) -> DataFrame:
+        return F.broadcast(found) if found.count() <= FEW_IDS else found
+
+    gone = few(ids.where("not stays").select(F.col("doc_id").alias("_id")))
+    kept = docs.join(gone, docs[id_column] == F.col("_id"), "left_anti")
+    repeated = ids.where("stays and n > 1").select(F.col("doc_id").alias("_id"))
+    if repeated.isEmpty():
+        return kept
+    again = few(repeated)
+    once = kept.join(again, kept[id_column] == F.col("_id"), "left_anti")
+    rows = kept.join(again, kept[id_column] == F.col("_id"), "left_semi")
+    first = rows.groupBy(id_column).agg(F.min_by(F.struct(*rows.columns), F.struct(text_column)).alias("_row")).select("_row.*")
+    return once.unionByName(first)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import slices
+from pairloom.llm.common import keep_rows, slices
 from pairloom.llm.labelled import SAMPLE_ROWS, adam, held_out, labelled_sample, sigmoid
 from pairloom.plans.scratch import materialise
 
@@ -278,3 +278,8 @@ def score_toxicity(docs: DataFrame, model: Toxicity, *, id_column: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col(id_column), F.col(text_column), held_out(id_column).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: Toxicity, *, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows that score below the threshold, with all their columns."""
+    return keep_rows(docs, text_column, lambda texts: (model.score([t.decode("utf-8") for t in texts]) < threshold).tolist())
