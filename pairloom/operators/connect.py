@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.operators.rows import WORKER, by_worker, keep_ids, min_moves_frame, tidy, with_spell, worker_m
+from pairloom.operators.rows import by_worker, keep_ids, min_moves_frame, one_worker, tidy, with_spell, worker_m
 from pairloom.plans.components import connected_components
 from pairloom.plans.graph import blocks, cut_vertices, strong_components
 from pairloom.plans.numbering import number_rows
@@ -210,7 +210,7 @@ def connected(panel: Panel, how: str | None, size: str = "firms", drop_single_st
         strong = how.startswith("strongly_")
         out = leave_out(panel, how.removeprefix("strongly_").removeprefix("leave_out_"), strong, size, to_stays, cross_membership)
     if drop_single_stayers:
-        weight = F.sum("w").over(WORKER) if out.meta.has("w") else F.count("*").over(WORKER)
+        weight = F.sum("w").over(one_worker()) if out.meta.has("w") else F.count("*").over(one_worker())
         rows = out.df.withColumns({"_mover": worker_m(), "_w": weight}).where("_mover or _w > 1").select(*out.df.columns)
         out = out.rows(rows)
     return out.on(out.df, out.meta.but(connectedness=how))

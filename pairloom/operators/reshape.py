@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairloom.operators.model import Layout
-from pairloom.operators.rows import WORKER, by_worker, gen_m, row_order, with_spell, worker_m
+from pairloom.operators.rows import by_worker, gen_m, one_worker, row_order, with_spell, worker_m
 
 if TYPE_CHECKING:
     from pairloom.operators.panel import Panel
@@ -262,7 +262,7 @@ def to_permutedeventstudy(panel: Panel, order: str = "sequential", move_to_worke
         raise NotImplementedError("workers must not come back to a firm (see drop_returns)")
     w = by_worker(panel)
     weight = F.col("w") if panel.meta.has("w") else F.lit(1.0)
-    income = F.sum(weight * F.col("y")).over(WORKER) / F.sum(weight).over(WORKER)
+    income = F.sum(weight * F.col("y")).over(one_worker()) / F.sum(weight).over(one_worker())
     split = [b for c in _split(panel) for b in panel.meta.base(c)]
     rest = [b for c in _carried(panel) for b in panel.meta.base(c)]
     rows = panel.df.withColumns({"_at": F.row_number().over(w), "_mover": worker_m(), "_income": income})

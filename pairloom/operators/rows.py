@@ -35,7 +35,9 @@ def so_far(panel: Panel) -> WindowSpec:
     return by_worker(panel).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-WORKER = Window.partitionBy("i")
+def one_worker() -> WindowSpec:
+    return Window.partitionBy("i")
+
 
 
 def gen_m(panel: Panel) -> Panel:
@@ -47,7 +49,7 @@ def gen_m(panel: Panel) -> Panel:
 
 def worker_m() -> Column:
     """Whether the row's worker ever moves."""
-    return F.max("m").over(WORKER) > 0
+    return F.max("m").over(one_worker()) > 0
 
 
 def spell_number(panel: Panel) -> Column:
@@ -114,7 +116,7 @@ def drop_returns(panel: Panel, how: str | bool) -> Panel:
     pair = Window.partitionBy("i", "j")
     test = {
         "returns": ~F.col("_returns"),
-        "returners": ~F.max("_returns").over(WORKER),
+        "returners": ~F.max("_returns").over(one_worker()),
         "keep_first_returns": F.col("_spell") == F.min("_spell").over(pair),
         "keep_last_returns": F.col("_spell") == F.max("_spell").over(pair),
     }[how]
