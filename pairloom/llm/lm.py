@@ -48,7 +48,7 @@ from pairloom.plans.scratch import materialise
 
 #: Words with classes of their own, classes of other words, and words whose counts every task has at hand.
 HEAD, RARE, LOOKUP = 2048, 64, 1 << 16
-DIM, PARTS, ROUNDS, STEPS, BATCH, NOISE = 32, 8, 3, 250, 2048, 256
+DIM, PARTS, ROUNDS, STEPS, BATCH, NOISE = 24, 8, 2, 450, 1024, 128
 #: Distinct words a task counts before it passes them on.
 COUNTED = 400_000
 SMOOTH = 0.1
@@ -132,7 +132,8 @@ def train_part(model: LogBilinear, before: np.ndarray, now: np.ndarray, n: np.nd
     noise = mass / mass.sum()
     log_noise = np.log(noise * NOISE)
     draw, draw_noise = np.cumsum(n / n.sum()), np.cumsum(noise)
-    r, v, c, b = (x.copy() for x in (model.r, model.v, model.c, model.b))
+    r, v, c, b = (x.astype(np.float32) for x in (model.r, model.v, model.c, model.b))
+    log_noise = log_noise.astype(np.float32)
     seen = [np.full_like(x, 1e-2) for x in (r, v, c, b)]
 
     def descend(x: np.ndarray, s: np.ndarray, g: np.ndarray, at=slice(None)) -> None:
@@ -141,10 +142,9 @@ def train_part(model: LogBilinear, before: np.ndarray, now: np.ndarray, n: np.nd
 
     def gather(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sum the gradients of the same row."""
-        own, place = np.unique(at, return_inverse=True)
-        out = np.zeros((len(own), *g.shape[1:]))
-        np.add.at(out, place, g)
-        return own, out
+        by = np.argsort(at, kind="stable")
+        own, first = np.unique(at[by], return_index=True)
+        return own, np.add.reduceat(g[by], first, axis=0)
 
     for _ in range(steps):
         pair = np.minimum(np.searchsorted(draw, rng.random(BATCH)), len(n) - 1)
@@ -162,7 +162,7 @@ def train_part(model: LogBilinear, before: np.ndarray, now: np.ndarray, n: np.nd
         own, g = gather(np.concatenate([w, k]), np.hstack([gv, gb[:, None]]))
         descend(v, seen[1], g[:, :-1], own)
         descend(b, seen[3], g[:, -1], own)
-    return LogBilinear(r, v, c, b)
+    return LogBilinear(*(x.astype(np.float64) for x in (r, v, c, b)))
 
 
 def _training(docs: DataFrame, id_column: str, text_column: str, folds: int) -> DataFrame:
