@@ -49,7 +49,7 @@ class Graph:
         self.near = vectors.astype(np.float32)
 
     @classmethod
-    def build(cls, vectors: np.ndarray, seed: int, m: int = 16, candidates: int = 64) -> Graph:
+    def build(cls, vectors: np.ndarray, seed: int, m: int = 24, candidates: int = 96) -> Graph:
         n = len(vectors)
         level = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(m)).astype(int)
         near = vectors.astype(np.float32)
@@ -178,7 +178,7 @@ def usable(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v")).where(fine).withColumns({"h1": F.xxhash64(v), "h2": F.hash(v), "dim": F.size(v)})
 
 
-def build_index(rows: DataFrame, *, k: int = 20, shard_rows: int = SHARD_ROWS, m: int = 16, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def build_index(rows: DataFrame, *, k: int = 20, shard_rows: int = SHARD_ROWS, m: int = 24, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The written index over every usable row: shard int, dim int, graph binary."""
     few = Window.partitionBy("h1", "h2", "dim").orderBy("vec_id")  # copies of a vector, of which k + 1 stay in each task
     least = usable(rows, id_column, vector_column).withColumn("r", F.row_number().over(few)).where(f"r <= {k + 1}")
@@ -198,7 +198,7 @@ def build_index(rows: DataFrame, *, k: int = 20, shard_rows: int = SHARD_ROWS, m
     return materialise(dealt.groupBy("dim", "shard").applyInArrow(graph, "shard int, dim int, graph binary"), "graphs")
 
 
-def search(index: DataFrame, queries: DataFrame, *, k: int = 20, beam: int = 128, block: int = QUERY_BLOCK, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, *, k: int = 20, beam: int = 256, block: int = QUERY_BLOCK, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows found for each query other than the query's own."""
     spark = index.sparkSession
     rows = usable(queries, id_column, vector_column)
