@@ -143,9 +143,9 @@ for how, test in (("returns", "lo = hi"), ("returners", "any_back = 0"), ("keep_
 DENSE = ", jj AS (SELECT j, ROW_NUMBER() OVER (ORDER BY MIN(place), j) - 1 AS new_j FROM (SELECT j, ROW_NUMBER() OVER (ORDER BY i, t, j) AS place FROM p) GROUP BY j), ii AS (SELECT i, ROW_NUMBER() OVER (ORDER BY i) - 1 AS new_i FROM p GROUP BY i)"
 
 
-@query("contiguous_ids", base("D") + DENSE + f" SELECT i, new_j AS j, {r('y')}, t, m FROM p JOIN jj USING (j)")
+@query("contiguous_ids", base("E") + DENSE + f" SELECT i, new_j AS j, {r('y')}, t, m FROM p JOIN jj USING (j)")
 def _(spark, d):
-    return panel_d(spark, d).make_dense("j")
+    return panel_e(spark, d).make_dense("j")
 
 
 @query("original_ids", base("E") + DENSE + " SELECT new_i AS i, new_j AS j, t, j AS original_j FROM p JOIN jj USING (j) JOIN ii USING (i)")
