@@ -76,4 +76,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_output": op9_token_output,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The other operators need hashes, tokenizers, learned models or an approximate index, which SQL doesn't have.
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontamination": f"""
+WITH d AS (SELECT doc_id, ROW_NUMBER() OVER () AS rid, {WORDS} AS w FROM documents),
+b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+bk AS (SELECT item_id, w, LEAST(10, len(w)) AS n, UNNEST(generate_series(1, GREATEST(1, len(w) - 9))) AS k FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS key FROM bk),
+sizes AS (SELECT DISTINCT n FROM bw),
+dk AS (SELECT rid, w, n, UNNEST(generate_series(1, len(w) - n + 1)) AS k FROM d, sizes WHERE len(w) >= n),
+dw AS (SELECT rid, n, k, array_to_string(w[k:k + n - 1], ' ') AS key FROM dk),
+hit AS (SELECT DISTINCT rid, k, n, item_id FROM dw JOIN bw USING (n, key)),
+places AS (SELECT rid, UNNEST(generate_series(k, k + n - 1)) AS p FROM hit),
+found AS (SELECT rid, COUNT(DISTINCT p) AS n_hit FROM places GROUP BY rid),
+names AS (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM hit WHERE item_id IS NOT NULL),
+listed AS (SELECT rid, COUNT(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS s FROM names GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIGINT) AS n_hit, CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items, COALESCE(s, sha256('')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN found USING (rid) LEFT JOIN listed USING (rid)
+"""
+}

@@ -163,7 +163,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, *, id_column: str =
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())], ["part", "shard", "before", "n_docs", "n_ids", "blob"])
 
         for batch in batches:
-            for p, name, x in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+            for p, name, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 x = np.frombuffer(x, "<u2").astype("<u4").tobytes() if narrow else x
                 if ids and (p != part or held + len(x) // 4 > shard_ids):
                     yield row()
@@ -180,7 +180,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, *, id_column: str =
     width = 2 if narrow else 4
     coded = map_batches(docs, [id_column, text_column], "part int, doc_id long, crc long, ids binary", encode)
     dealt = coded.repartitionById(max(1, len(bounds) + 1), F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.length("ids"), "crc")
-    return materialise(dealt.drop("crc").withColumn("crc", F.lit(0)).select("part", "doc_id", "crc", "ids").mapInArrow(write, "part int, shard int, before long, n_docs long, n_ids long, blob binary"), "token-shards")
+    return materialise(dealt.select("part", "doc_id", "ids").mapInArrow(write, "part int, shard int, before long, n_docs long, n_ids long, blob binary"), "token-shards")
 
 
 def read_token_index(shards: DataFrame) -> DataFrame:
