@@ -34,7 +34,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -194,9 +194,12 @@ def word_counts(docs: DataFrame, text_column: str) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD, rare: int = RARE, lookup: int = LOOKUP) -> Vocabulary:
-    """Totals, the most frequent words, and the mass of each rare class."""
+    """Totals, the most frequent words (whole grades of frequency, `lookup` words at most), and the mass of each rare class."""
     total = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
-    top = counts.orderBy(F.col("n").desc(), "word").limit(lookup).collect()
+    grade = F.floor(F.log2("n") * 256)  # grades of frequency, so few that they are counted in one place
+    sizes = sorted((tuple(x) for x in counts.groupBy(grade).count().collect()), reverse=True)
+    fits = [g for (g, _), upto in zip(sizes, accumulate(n for _, n in sizes), strict=True) if upto <= lookup]
+    top = counts.where(grade >= F.lit(fits[-1])).collect() if fits else []
     top.sort(key=lambda x: (x.word != "", -x.n, x.word))  # the end is class 0
     words = [x.word.encode() for x in top]
     if b"" not in words:
