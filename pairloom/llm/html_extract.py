@@ -7,7 +7,8 @@ gradient steps on the log likelihood of labelled pages and decoded by Viterbi.
 
 Scripts, styles, comments, head data and other text that a browser doesn't show make no block.
 Character references are decoded, white space inside a block becomes one space, blocks are
-trimmed, empty ones left out, and main blocks joined by one line feed in page order.
+trimmed, empty ones left out, and main blocks joined by one line feed in page order. A head without
+an end tag ends at the first start tag or text that can't stand in it.
 
 Results for special input: a null or empty html gives the empty text; text without any element
 is one block; unclosed and crossed elements are closed where their parent ends; a null or
@@ -32,14 +33,18 @@ TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
+#: Elements of formulas, which are part of their line; annotations aren't shown.
+MATH = frozenset("annotation annotation-xml maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 #: Fixed values of HTML: elements inside a line of text, without an end tag, and whose content is not shown.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head select option svg math object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes".split())
+HIDDEN = frozenset("annotation annotation-xml head select option svg object canvas audio video".split())
+#: Start tags that can stand in a head; any other, or text, closes an open one.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements that a start tag of the same kind closes.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-STOPS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+STOPS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul xmp".split())
 
 
 def blocks(source: str) -> list[tuple[tuple[str, ...], str, float]]:
@@ -59,11 +64,13 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, float]]:
             text.clear()
         linked = total = 0
 
-    def say(part: str) -> None:
+    def say(part: str, literal: bool = False) -> None:
         nonlocal linked, total, path
+        if open_ and open_[-1][0] == "head" and part.strip():
+            close(len(open_) - 1)
         if hidden or not part:
             return
-        part = entities.unescape(part) if "&" in part else part
+        part = entities.unescape(part) if "&" in part and not literal else part
         if not text:
             path = tuple(mark for name, mark in open_ if name not in INLINE)
         text.append(part)
@@ -86,6 +93,11 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, float]]:
         if m[2] is None:
             continue
         name = m[2].lower()
+        if hidden and (name in ("body", "br", "html") if m[1] else name not in IN_HEAD):
+            for k, (other, _) in enumerate(open_):
+                if other == "head":
+                    close(k)
+                    break
         if name not in INLINE or name in ("br",):
             flush() if name != "br" else text.append(" ") if text else None
         if m[1]:
@@ -96,7 +108,7 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, float]]:
                 if name in INLINE and open_[k][0] not in INLINE:
                     break
             continue
-        if name in VOID or m[3].rstrip().endswith("/") and name not in RAW:
+        if name in VOID or m[3].rstrip().endswith("/") and name not in RAW and name != "xmp":
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
@@ -114,6 +126,12 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, float]]:
         open_.append((name, f"{name} {words}" if words else name))
         hidden += name in HIDDEN
         links += name == "a"
+        if name == "xmp":  # shown as it is written
+            end = re.compile(r"</xmp\b[^>]*>", re.I).search(source, at)
+            say(source[at : end.start() if end else len(source)], literal=True)
+            flush()
+            close(len(open_) - 1)
+            at = end.end() if end else len(source)
     say(source[at:])
     flush()
     return out

@@ -187,3 +187,18 @@ def test_extraction(spark):
     assert sorted((x.page_id or 0, x.text, x.n_chars) for x in got) == sorted([(1, want, len(want)), (1, want, len(want)), (0, want, len(want)), (2, "", 0), (3, "", 0)])
     assert main_text(PAGE, trained_chain()) == want
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_blocks_of_a_head_without_end():
+    body = "<article><h1>A</h1><p>One two three four.</p></article>"
+    for head in ("<html><head><title>x</title><meta charset=utf-8><body>", "<head><style>p{}</style>", "<html><head>\n<link rel=x><noscript><p>no</p></noscript></body>"):
+        assert [t for _, t, _ in blocks(head + body)] == ["A", "One two three four."]
+        assert main_text(head + body, trained_chain()) == "A\nOne two three four."
+    assert [t for _, t, _ in blocks("<head><title>x</title>shown<p>too")] == ["shown", "too"]
+    assert [t for _, t, _ in blocks("<head><title>x</title></head><body><p>a</p></body>")] == ["a"]
+
+
+def test_blocks_of_formulas_and_examples():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
+    assert [t for _, t, _ in blocks(f"<p>so {formula} holds</p>")] == ["so x=1 holds"]
+    assert [t for _, t, _ in blocks("<p>a<xmp><b>&amp;</b> c</xmp><p>d")] == ["a", "<b>&amp;</b> c", "d"]
