@@ -10,14 +10,16 @@ with representations r, v, a diagonal context matrix C and biases b. Within a ra
 has its share of the class's smoothed training count, and the unknown words of a class together
 have the share of one word never seen, so the probabilities of all words add up to one.
 
-Training. Pairs of classes are counted over all training documents, dealt into a fixed number
-of parts by the class before, and trained in numpy by noise-contrastive estimation: pairs drawn
-by count against noise drawn from the class frequencies, one noise set for a batch, so a step is
-a few matrix products. After each round the parts' parameters are averaged. Scoring normalises
+Training. Pairs of classes are counted over all training documents, dealt into parts
+by the class before, and trained in numpy by noise-contrastive estimation: each round passes over
+all pairs of a part (once for every HEAVY of a pair's count, with the rest of the count as weight)
+against noise drawn from the class frequencies, one noise set for a batch, so a step is a few
+matrix products. Small parts are passed over again up to the least number of steps. After each
+round the parts' parameters are averaged. Scoring normalises
 exactly: the contexts' logits are batched matrix products over all classes.
 
 What reaches the driver: the most frequent words (a fixed number), one number for each rare
-class, and the parts' parameters (of fixed size). Word counts and pair counts grow with the
+class, and the parts' parameters. Word counts and pair counts grow with the
 corpus and stay distributed. Counts of words outside the `lookup` most frequent are joined by
 word, so no vocabulary is broadcast.
 
@@ -48,7 +50,10 @@ from pairloom.plans.scratch import materialise
 
 #: Words with classes of their own, classes of other words, and words whose counts every task has at hand.
 HEAD, RARE, LOOKUP = 2048, 64, 1 << 16
-DIM, PARTS, ROUNDS, STEPS, BATCH, NOISE = 24, 8, 2, 450, 1024, 128
+#: Parts and steps (of a part's round) at least; both grow with the pairs.
+DIM, PARTS, ROUNDS, STEPS, BATCH, NOISE = 32, 8, 3, 250, 2048, 256
+#: Distinct pairs of a part at most on average, the count that one visit of a pair stands for at most, and pairs shuffled at once.
+PART_PAIRS, HEAVY, SHUFFLED = 1_000_000, 16, 1 << 16
 #: Distinct words a task counts before it passes them on.
 COUNTED = 400_000
 SMOOTH = 0.1
@@ -126,12 +131,36 @@ class LogBilinear:
             return cls(f["r"], f["v"], f["c"], f["b"])
 
 
+def passes(n: np.ndarray, steps: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of pairs and their weights: a whole pass over the pairs, and further ones up to that many steps."""
+    visits = np.ceil(n / HEAVY).astype(np.int64)
+    weight = (n / visits * (visits.sum() / n.sum())).astype(np.float32)
+
+    def shuffled() -> Iterator[np.ndarray]:
+        while True:
+            order = rng.permutation(len(n))
+            for a in range(0, len(n), SHUFFLED):
+                own = order[a : a + SHUFFLED]
+                yield rng.permutation(np.repeat(own, visits[own]))
+
+    source, held = shuffled(), np.zeros(0, np.int64)
+    for _ in range(max(steps, -(-int(visits.sum()) // BATCH))):
+        if len(held) < BATCH:
+            more, size = [held], len(held)
+            while size < BATCH:
+                more.append(next(source))
+                size += len(more[-1])
+            held = np.concatenate(more)
+        yield held[:BATCH], weight[held[:BATCH]]
+        held = held[BATCH:]
+
+
 def train_part(model: LogBilinear, before: np.ndarray, now: np.ndarray, n: np.ndarray, mass: np.ndarray, steps: int, seed: int, rate: float = 0.1) -> LogBilinear:
-    """One part's steps of noise-contrastive estimation with per-parameter step sizes."""
+    """One part's pass, and `steps` steps at least, of noise-contrastive estimation with per-parameter step sizes."""
     rng = np.random.default_rng(seed)
     noise = mass / mass.sum()
     log_noise = np.log(noise * NOISE)
-    draw, draw_noise = np.cumsum(n / n.sum()), np.cumsum(noise)
+    draw_noise = np.cumsum(noise)
     r, v, c, b = (x.astype(np.float32) for x in (model.r, model.v, model.c, model.b))
     log_noise = log_noise.astype(np.float32)
     seen = [np.full_like(x, 1e-2) for x in (r, v, c, b)]
@@ -146,13 +175,14 @@ def train_part(model: LogBilinear, before: np.ndarray, now: np.ndarray, n: np.nd
         own, first = np.unique(at[by], return_index=True)
         return own, np.add.reduceat(g[by], first, axis=0)
 
-    for _ in range(steps):
-        pair = np.minimum(np.searchsorted(draw, rng.random(BATCH)), len(n) - 1)
+    for pair, weight in passes(n, steps, rng):
         h, w = before[pair], now[pair]
         k = np.minimum(np.searchsorted(draw_noise, rng.random(NOISE)), len(noise) - 1)
         q = r[h] * c
         up = 1 / (1 + np.exp(np.clip(np.einsum("nd,nd->n", q, v[w]) + b[w] - log_noise[w], -50, 50)))  # 1 - P(data)
         down = -1 / (1 + np.exp(np.clip(log_noise[k] - (q @ v[k].T + b[k]), -50, 50)))  # -P(data) of noise
+        up *= weight
+        down *= weight[:, None]
         gq = up[:, None] * v[w] + down @ v[k]
         gv = np.concatenate([up[:, None] * q, down.T @ q])
         gb = np.concatenate([up, down.sum(axis=0)])
@@ -281,10 +311,11 @@ def _train_group(shared, steps: int, turn: int):
 
 
 def train(pairs: DataFrame, vocab: Vocabulary, *, parts: int = PARTS, rounds: int = ROUNDS, steps: int = STEPS) -> LogBilinear:
-    """Rounds of part-wise training; each part's pairs are bounded by the number of classes squared."""
+    """Rounds of part-wise training over all pairs; there are `parts` parts at least, of PART_PAIRS pairs at most on average."""
     mass = vocab.class_mass()
     model = LogBilinear.start(mass)
     sc = pairs.sparkSession.sparkContext
+    parts = max(parts, -(-pairs.count() // PART_PAIRS))
     dealt = pairs.withColumn("part", F.pmod("before", F.lit(parts)))
     for turn in range(rounds):
         shared = sc.broadcast((model, mass))

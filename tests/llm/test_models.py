@@ -51,6 +51,13 @@ def test_lm_is_normalised():
     assert every[0, 1] > 0.5 and every[1, 2] > 0.5
 
 
+def test_lm_training_sees_every_pair():
+    mass = np.ones(9000)
+    start = LogBilinear.start(mass)
+    got = train_part(start, np.arange(9000), np.arange(9000)[::-1], np.ones(9000), mass, 1, 0)
+    assert (got.r != start.r.astype(np.float32)).any(axis=1).all()
+
+
 def labelled_docs(spark, label, make, n=1500):
     r = random.Random(7)
     rows = [(k, *make(r, k)) for k in range(n)]
