@@ -226,18 +226,17 @@ def word_counts(docs: DataFrame, text_column: str) -> DataFrame:
 def vocabulary(counts: DataFrame, head: int = HEAD, rare: int = RARE, lookup: int = LOOKUP) -> Vocabulary:
     """Totals, the most frequent words (whole grades of frequency, `lookup` words at most), and the mass of each rare class."""
     total = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
+    end = counts.where("word = ''").first()
+    counts = counts.where("word <> ''")
     grade = F.floor(F.log2("n") * 256)  # grades of frequency, so few that they are counted in one place
     sizes = sorted((tuple(x) for x in counts.groupBy(grade).count().collect()), reverse=True)
-    fits = [g for (g, _), upto in zip(sizes, accumulate(n for _, n in sizes), strict=True) if upto <= lookup]
+    fits = [g for (g, _), upto in zip(sizes, accumulate(n for _, n in sizes), strict=True) if upto < lookup]
     top = counts.where(grade >= F.lit(fits[-1])).collect() if fits else []
-    top.sort(key=lambda x: (x.word != "", -x.n, x.word))  # the end is class 0
-    words = [x.word.encode() for x in top]
-    if b"" not in words:
-        words.insert(0, b"")
-        top.insert(0, None)
-    number = np.array([x.n if x else 0 for x in top], np.float64)
+    top.sort(key=lambda x: (-x.n, x.word))
+    words = [b"", *(x.word.encode() for x in top)]  # the end is class 0, with its own count
+    number = np.array([end.n if end else 0, *(x.n for x in top)], np.float64)
     own = min(head, len(words))
-    least = [(x.word, x.n) for x in top[:own] if x]
+    least = [(x.word, x.n) for x in top[: own - 1]]
     if least:
         fixed = counts.sparkSession.createDataFrame([(w,) for w, _ in least], "word string")
         counts = counts.join(F.broadcast(fixed), "word", "left_anti")

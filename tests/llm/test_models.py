@@ -11,7 +11,7 @@ import pytest
 
 from pairloom.llm import quality, toxicity
 from pairloom.llm.html_extract import Chain, blocks, extract_text, features, labelled, main_text, trained_chain
-from pairloom.llm.lm import LogBilinear, score_texts, train_part
+from pairloom.llm.lm import LogBilinear, score_texts, train_part, vocabulary
 
 
 def sentences(r, n):
@@ -58,6 +58,13 @@ def test_lm_training_sees_every_pair():
     assert (got.r != start.r.astype(np.float32)).any(axis=1).all()
 
 
+def test_lm_counts_the_end_apart(spark):
+    counts = spark.createDataFrame([(w, 1) for w in ["", *"abcdef"]], "word string, n long")
+    got = vocabulary(counts, head=2, rare=2, lookup=3)
+    assert got.words[0] == b"" and got.counts[0] == 1 and (got.tokens, got.distinct) == (7, 7)
+    assert got.rare_mass.sum() == pytest.approx(6 * 1.1 + 2 * 0.1)
+
+
 def labelled_docs(spark, label, make, n=1500):
     r = random.Random(7)
     rows = [(k, *make(r, k)) for k in range(n)]
