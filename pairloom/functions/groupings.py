@@ -12,6 +12,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.plans.numbering import exact_quantiles
+
 
 @dataclass(frozen=True)
 class KMeans:
@@ -39,6 +41,6 @@ class Quantiles:
             raise NotImplementedError("quantile groups are made of one measure")
         x = F.col(names[0])
         shares = [k / self.n_quantiles for k in range(1, self.n_quantiles)]
-        cuts = firms.agg(F.percentile(x, F.array(*map(F.lit, shares)))).first()[0] if shares else []
-        below = sum(((x > c).cast("long") for c in cuts or []), F.lit(0).cast("long"))
+        cuts = [c for c in exact_quantiles(firms, names[0], shares) if c is not None]
+        below = sum(((x > c).cast("long") for c in cuts), F.lit(0).cast("long"))
         return firms.select("j", below.alias("g"))

@@ -11,26 +11,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pairloom.plans.numbering import number_rows
+from pairloom.plans.numbering import running_sum
+from pairloom.plans.scratch import materialise
 
 
 def weighted_quantiles(rows: DataFrame, shares: list[float], value: str = "y") -> list[float]:
     """Quantiles of a weighted sample: the least value whose cumulative weight passes share * total; where it
     meets it exactly, the mean with the next value.
 
-    Weights are summed for distinct values first. The cumulative sum goes by ranges of values,
-    of which only the totals are summed in one place.
+    Weights are summed for distinct values first. The cumulative sum goes by ranges of values, of
+    which only the totals reach the driver.
     """
     sums = rows.groupBy(value).agg(F.sum("w").alias("w")).where("w > 0")
-    ranged = number_rows(sums, [F.col(value)], "_n").withColumn("_block", F.floor(F.col("_n") / 4096))
-    blocks = ranged.groupBy("_block").agg(F.sum("w").alias("_w"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("_block", F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_before"))
-    inside = Window.partitionBy("_block").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = sums.agg(F.sum("w")).first()[0] or 0.0
-    summed = ranged.join(offsets, "_block").withColumn("_c", F.col("_before") + F.sum("w").over(inside))
+    summed = materialise(running_sum(sums, [value], "w", "_c"), "cumulative")
+    total = summed.agg(F.max("_c")).first()[0] or 0.0
     near = 1e-9 * max(total, 1.0)
     asks = [F.struct(F.min(F.when(F.col("_c") >= s * total - near, F.col(value))), F.min(F.when(F.col("_c") > s * total + near, F.col(value)))) for s in shares]
     got = summed.agg(*asks).first()
@@ -60,10 +55,8 @@ class CDFs:
         if self.measure == "quantile_all":
             cuts = weighted_quantiles(rows, shares)
             return rows.groupBy("j").agg(*((F.sum(F.when(F.col("y") <= q, F.col("w")).otherwise(0.0)) / F.sum("w")).alias(f"cdf_{k}") for k, q in enumerate(cuts)))
-        firm = Window.partitionBy("j")
-        upto = firm.orderBy("y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        share = F.sum("w").over(upto) / F.sum("w").over(firm)
-        marked = rows.withColumn("_s", share)
+        sums = rows.groupBy("j", "y").agg(F.sum("w").alias("w"))
+        marked = running_sum(sums, ["y"], "w", "_c", ("j",)).join(sums.groupBy("j").agg(F.sum("w").alias("_all")), "j").withColumn("_s", F.col("_c") / F.col("_all"))
         return marked.groupBy("j").agg(*(F.coalesce(F.min(F.when(F.col("_s") > s, F.col("y"))), F.max("y")).alias(f"cdf_{k}") for k, s in enumerate(shares)))
 
 
@@ -77,9 +70,8 @@ class Moments:
     def columns(self, rows: DataFrame) -> DataFrame:
         listed = [self.measures] if isinstance(self.measures, str) else list(self.measures)
         y, w = F.col(self.outcome_col), F.col("w")
-        if "var" in listed:
-            firm = Window.partitionBy("j")
-            rows = rows.withColumn("_mu", F.sum(w * y).over(firm) / F.sum(w).over(firm))
+        if "var" in listed:  # two sums, the second about the means of the first; a large firm is summed in many tasks
+            rows = rows.join(rows.groupBy("j").agg((F.sum(w * y) / F.sum(w)).alias("_mu")), "j")
         ways = {"mean": lambda: F.sum(w * y) / F.sum(w), "var": lambda: F.sum(w * F.pow(y - F.col("_mu"), 2)) / F.sum(w), "max": lambda: F.max(y), "min": lambda: F.min(y)}
         if unknown := set(listed) - ways.keys():
             raise ValueError(f"unknown measures: {sorted(unknown)}")

@@ -82,14 +82,13 @@ def panel_size(panel: Panel, name: str) -> int:
 def part_sizes(panel: Panel, parts: DataFrame, name: str) -> DataFrame:
     """component, vertices, first firm and size of each component, all in one plan.
 
-    A worker whose rows fall into several components is a worker of each: i and component are
-    made one number, so that spells and m are worked out inside components.
+    A worker whose rows fall into several components is a worker of each: the worker's id is
+    written together with the component, so that spells and m are worked out inside components.
     """
     if name == "firms":
         return parts.groupBy("component").agg(F.first("vertices").alias("vertices"), F.min("j").alias("first"), F.count_distinct("j").alias("size"))
-    top = 1 + (parts.agg(F.max("component")).first()[0] or 0)
-    rows = panel.df.join(parts.select("j", "component"), "j").withColumn("i", F.col("i").cast("long") * top + F.col("component")).select(*panel.df.columns)
-    own = tidy(panel.rows(rows)).df.withColumn("_mover", worker_m()).withColumn("component", F.pmod("i", F.lit(top)))
+    rows = panel.df.join(parts.select("j", "component"), "j").withColumn("i", F.concat_ws(":", "i", "component")).select(*panel.df.columns)
+    own = tidy(panel.rows(rows)).df.withColumn("_mover", worker_m()).withColumn("component", F.substring_index("i", ":", -1).cast("long"))
     sizes = own.groupBy("component").agg(measure(name).alias("size"))
     facts = parts.groupBy("component").agg(F.first("vertices").alias("vertices"), F.min("j").alias("first"))
     return facts.join(sizes, "component")

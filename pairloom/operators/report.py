@@ -7,6 +7,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.plans.numbering import exact_quantiles
+
 if TYPE_CHECKING:
     from pairloom.operators.panel import Panel
 
@@ -15,7 +17,7 @@ def summary(panel: Panel) -> DataFrame:
     """One row: statistics of y over all periods, and numbers of rows and ids."""
     parts = panel.meta.parts("y")
     each = panel.df.select(F.explode(F.array(*parts)).alias("y"))
-    stats = each.agg(F.avg("y").alias("mean_y"), F.percentile("y", F.lit(0.5)).alias("median_y"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.var_pop("y").alias("var_y"))
+    stats = each.agg(F.avg("y").alias("mean_y"), F.lit(exact_quantiles(each, "y", [0.5])[0]).cast("double").alias("median_y"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.var_pop("y").alias("var_y"))
     counts = panel.df.agg(F.count("*").alias("n_rows"))
     for name, label in (("i", "n_workers"), ("j", "n_firms"), ("g", "n_clusters")):
         if panel.meta.has(name):

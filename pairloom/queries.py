@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from pairloom.operators.panel import Panel
 from pairloom.operators.params import ClusterParams, SimParams
 from pairloom.operators.report import compare
 from pairloom.operators.rows import returns_flag
+from pairloom.operators.transform import aggregate_transform
 from pairloom.sources.panels import event_rows, lineitem_rows
 from pairloom.sources.simulate import simulate
 
@@ -402,6 +404,21 @@ def _(spark, d):
     return sizes.select(F.lit(int(compare(p, p, "len", "geq"))).cast("long").alias("larger"), "*")
 
 
+MU = ", v AS (SELECT *, SUM(w * y) OVER (PARTITION BY j) / SUM(w) OVER (PARTITION BY j) AS mu FROM p)"
+query("aggregate_transform_var", base("AW") + MU + f" SELECT i, j, t, ROUND(SQRT(SUM(w * (y - mu) * (y - mu)) OVER (PARTITION BY j) / SUM(w) OVER (PARTITION BY j)), 2) AS sd FROM v")(
+    lambda spark, d: aggregate_transform(panel_aw(spark, d).df, "j", "y", "var", weights="w").select("i", "j", "t", F.round(F.sqrt("var"), 2).alias("sd"))
+)
+query("aggregate_transform_n_unique", base() + " SELECT i, j, t, k AS n_unique FROM p JOIN (SELECT j, COUNT(DISTINCT i) AS k FROM p GROUP BY j) USING (j)")(lambda spark, d: aggregate_transform(panel_a(spark, d).df, "j", "i", "n_unique").select("i", "j", "t", "n_unique"))
+query("aggregate_transform_sum", base("AW") + f" SELECT j, ROUND(SUM(y * w), 2) AS total FROM p GROUP BY j")(lambda spark, d: aggregate_transform(panel_aw(spark, d).df, "j", "y", "sum", weights="w", name="total", merge=False).select("j", F.round("total", 2).alias("total")))
+query("aggregate_transform_function", base() + f" SELECT j, ROUND(MEDIAN(y), {DIGITS}) AS mm FROM p GROUP BY j")(lambda spark, d: aggregate_transform(panel_a(spark, d).df, "j", "y", np.median, merge=False))
+
+KEPT = f", k AS (SELECT i, j, y, t FROM p WHERE j % 3 {{test}} 1), p2 AS (SELECT *, {MOVES} AS m FROM k)" + ES.replace("FROM p)", "FROM p2)") + f" SELECT i, j1, j2, {r('y1', 'y2')}, t1, t2, m FROM e"
+query("keep_ids_eventstudy", base() + KEPT.format(test="="))(lambda spark, d: (p := panel_a(spark, d)).to_eventstudy().keep_ids("j", p.df.where("j % 3 = 1").select("j")))
+query("drop_ids_eventstudy", base() + KEPT.format(test="<>"))(lambda spark, d: (p := panel_a(spark, d)).to_eventstudy().drop_ids("j", p.df.where("j % 3 = 1").select("j")))
+query("gen_m_eventstudy", base() + ES + f" SELECT i, j1, j2, {r('y1', 'y2')}, t1, t2, m FROM e")(lambda spark, d: panel_a(spark, d).to_eventstudy().gen_m(force=True))
+query("connected_eventstudy", base("E") + WEAK + BEST + f", p2 AS (SELECT *, {MOVES} AS m FROM k)" + ES.replace("FROM p)", "FROM p2)") + f" SELECT i, j1, j2, {r('y1', 'y2')}, t1, t2, m FROM e")(lambda spark, d: panel_e(spark, d).to_eventstudy().connected("connected"))
+
+
 query("diagnostic")(lambda spark, d: panel_e(spark, d).diagnostic())
 query("simulate")(lambda spark, d: simulate(spark, SimParams()))
 
