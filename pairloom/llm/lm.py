@@ -1,37 +1,40 @@
 """LM scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Words are mapped to classes: the most frequent `head` words are classes of their own, the text
-end is one, and all other words, known or not, share `rare` classes by their last two bytes.
-The model predicts a word's class from the class before it (the end, at the front):
-
-    s(c, h) = q(h) . v(c) + b(c),   q(h) = C * r(h),   P(c | h) = exp s(c, h) / sum over all classes
-
-with representations r, v, a diagonal context matrix C and biases b. Within a rare class a word
-has its share of the class's smoothed training count, and the unknown words of a class together
-have the share of one word never seen, so the probabilities of all words add up to one.
-
-Training. Pairs of classes are counted over all training documents, dealt into parts
-by the class before, and trained in numpy by noise-contrastive estimation: each round passes over
-all pairs of a part (once for every HEAVY of a pair's count, with the rest of the count as weight)
-against noise drawn from the class frequencies, one noise set for a batch, so a step is a few
-matrix products. Small parts are passed over again up to the least number of steps. After each
-round the parts' parameters are averaged. Scoring normalises
-exactly: the contexts' logits are batched matrix products over all classes.
-
-What reaches the driver: the most frequent words (a fixed number), one number for each rare
-class, and the parts' parameters. Word counts and pair counts grow with the
-corpus and stay distributed. Counts of words outside the `lookup` most frequent are joined by
-word, so no vocabulary is broadcast.
+Words are mapped to classes: the most frequent words are classes of their own, the text end is
+one, and all other words, known or not, share the rare classes by their last three bytes. The
+numbers of both follow the square root of the training vocabulary (`shape`), so what the model
+tells apart grows with the corpus. A word's class is predicted from the classes of the two
+words before it (the end, at the front):
+
+    q(h) = A1 r(h1) + A2 r(h2),   s(c, h) = q(h) . v(c) + b(c),   t(k, h) = q(h) . u(k) + g(k)
+
+with representations r, v, u, a full matrix for each place of the context, and biases. Classes
+lie in bands by frequency, the k-th of k + 1 classes. P(c | h) is the softmax of t over all
+bands at c's band times the softmax of s over the classes of that band. Both are normalised
+exactly by batched matrix products, whose cost for a token grows with the square root of the
+number of classes. Within a rare class a word has its share of the class's smoothed training
+count, and the unknown words of a class together have the share of one word never seen, so the
+probabilities of all words add up to one.
+
+Training passes over every token of every training document in numpy: each task starts from the
+same parameters and takes steps of noise-contrastive estimation over its documents, with noise
+drawn from the classes' and the bands' frequencies, one set for a batch, so a step is a few
+matrix products. There are ROUNDS rounds over disjoint, growing shares of the documents; after
+each, every parameter row becomes the mean of the tasks' rows weighted by how often each used it.
+A corpus of fewer than LEAST tokens is passed over several times.
+
+What reaches the driver: the words at hand and the parameters, both bounded by MOST classes, and
+one number for each grade of frequency and each rare class. Word counts stay distributed. Counts
+of words outside the `lookup` most frequent are joined by word, so no vocabulary is broadcast.
 
 Results for special input: a null or empty text is one end token; a null doc_id counts as the
 empty text in the split and is held out; a null or repeated doc_id gives a row each; without
-training documents every class is as likely as any other; an empty table gives no row; other
-columns are not read.
+training documents no word is known and classes have the model's first, random parameters; an
+empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
 
-import io
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -48,25 +51,45 @@ from pairloom.llm.common import slices, utf8
 from pairloom.llm.labelled import held_out
 from pairloom.plans.scratch import materialise
 
-#: Words with classes of their own, classes of other words, and words whose counts every task has at hand.
-HEAD, RARE, LOOKUP = 2048, 64, 1 << 16
-#: Parts and steps (of a part's round) at least; both grow with the pairs.
-DIM, PARTS, ROUNDS, STEPS, BATCH, NOISE = 32, 8, 3, 250, 2048, 256
-#: Distinct pairs of a part at most on average, the count that one visit of a pair stands for at most, and pairs shuffled at once.
-PART_PAIRS, HEAVY, SHUFFLED = 1_000_000, 16, 1 << 16
+#: Words with classes of their own for each square root of a distinct word, the bound of their number (reached at 10^9
+#: distinct words), rare classes as a share of them, and words whose counts every task has at hand at least.
+PER_ROOT, MOST, RARE_SHARE, LOOKUP = 8, 1 << 18, 1 / 16, 1 << 16
+DIM, ROUNDS, BATCH, NOISE, BAND_NOISE = 32, 4, 4096, 128, 32
+#: Tokens that training visits at least, tokens a training task has at least (so that fewer parameters are merged), and tokens shuffled at once.
+LEAST, PART_TOKENS, SHUFFLED = 2_000_000, 4_000_000, 1 << 18
+#: Parameter rows that are merged as one, and tokens scored at once.
+MERGED, TOGETHER = 1024, 1 << 16
 #: Distinct words a task counts before it passes them on.
 COUNTED = 400_000
 SMOOTH = 0.1
 LN10 = float(np.log(10.0))
 
 
+def shape(distinct: int) -> tuple[int, int]:
+    """Numbers of words with classes of their own and of rare classes for a vocabulary of that size."""
+    head = int(min(MOST, max(256, PER_ROOT * distinct**0.5)))
+    return head, max(16, int(head * RARE_SHARE))
+
+
 def rare_class(word: bytes, head: int, rare: int) -> int:
-    return head + zlib.crc32(word[-2:]) % rare
+    return head + zlib.crc32(word[-3:]) % rare
+
+
+def band_of(classes: np.ndarray) -> np.ndarray:
+    """The band of each class: band k begins at class k (k + 1) / 2."""
+    return ((np.sqrt(8.0 * classes + 1) - 1) / 2).astype(np.int64)
+
+
+def band_starts(n: int) -> np.ndarray:
+    """First class of each band of n classes, and n."""
+    bands = int(band_of(np.array([n - 1]))[0]) + 1
+    k = np.arange(bands)
+    return np.append(k * (k + 1) // 2, n)
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Training counts of the most frequent words (the first `head` have classes of their own; b'' is the text's end) and totals."""
+    """Training counts of the words at hand (the first `head` have classes of their own; b'' is the text's end) and totals."""
 
     words: list[bytes]
     counts: np.ndarray
@@ -88,111 +111,138 @@ class Vocabulary:
 
     def class_mass(self) -> np.ndarray:
         """Smoothed training count of each class."""
-        out = np.concatenate([np.full(self.head, SMOOTH), self.rare_mass])
-        n = min(self.head, len(self.words))
-        out[:n] += self.counts[:n]
-        return out
+        return np.concatenate([self.counts[: self.head] + SMOOTH, self.rare_mass])
 
 
 @dataclass(frozen=True)
 class LogBilinear:
+    """r: representations of context classes; v, b: of predicted classes; u, g: of bands; a: the two context matrices."""
+
     r: np.ndarray
     v: np.ndarray
-    c: np.ndarray
     b: np.ndarray
+    u: np.ndarray
+    g: np.ndarray
+    a: np.ndarray
 
     @classmethod
     def start(cls, mass: np.ndarray, dim: int = DIM, seed: int = 0) -> LogBilinear:
         rng = np.random.default_rng(seed)
         n = len(mass)
-        return cls(0.1 * rng.standard_normal((n, dim)), 0.1 * rng.standard_normal((n, dim)), np.ones(dim), np.log(mass / mass.sum()))
-
-    def log_norm(self, contexts: np.ndarray, block: int = 512) -> np.ndarray:
-        """Log of the sum over all classes, for each context, by batched matrix products."""
-        out = np.empty(len(contexts))
-        for a in range(0, len(contexts), block):
-            s = (self.r[contexts[a : a + block]] * self.c) @ self.v.T + self.b
-            top = s.max(axis=1)
-            out[a : a + block] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        share = mass / mass.sum()
+        starts = band_starts(n)
+        bands = np.add.reduceat(share, starts[:-1])
+        draw = lambda k: (0.1 * rng.standard_normal((k, dim))).astype(np.float32)
+        a = np.stack([np.eye(dim), 0.5 * np.eye(dim)]).astype(np.float32)
+        return cls(draw(n), draw(n), np.log(share).astype(np.float32), draw(len(bands)), np.log(bands).astype(np.float32), a)
+
+    def log_prob(self, second: np.ndarray, first: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """Natural log of P(now | the class before, the class before that), by batched matrix products."""
+        out = np.empty(len(now))
+        r1, r2 = self.r @ self.a[0], self.r @ self.a[1]
+        starts = band_starts(len(self.b))
+        for at in range(0, len(now), TOGETHER):
+            h2, h1, c = (x[at : at + TOGETHER] for x in (second, first, now))
+            q = r1[h1] + r2[h2]
+            band = band_of(c)
+            own = np.empty(len(c))
+            for k in range(0, len(c), 4096):
+                t = q[k : k + 4096] @ self.u.T + self.g
+                own[k : k + 4096] = t[np.arange(len(t)), band[k : k + 4096]] - _log_sum(t)
+            by = np.argsort(band, kind="stable")
+            present, begin = np.unique(band[by], return_index=True)
+            for k, rows in zip(present.tolist(), np.split(by, begin[1:]), strict=True):
+                if k == 0:
+                    continue
+                lo, hi = starts[k], starts[k + 1]
+                for part in np.array_split(rows, len(rows) * int(hi - lo) // (1 << 22) + 1):
+                    s = q[part] @ self.v[lo:hi].T + self.b[lo:hi]
+                    own[part] += s[np.arange(len(s)), c[part] - lo] - _log_sum(s)
+            out[at : at + TOGETHER] = own
         return out
 
-    def log_prob(self, before: np.ndarray, now: np.ndarray, norm: np.ndarray) -> np.ndarray:
-        """Natural log of P(now | before); norm has log_norm of every class."""
-        return np.einsum("nd,nd->n", self.r[before] * self.c, self.v[now]) + self.b[now] - norm[before]
+    def rows(self) -> np.ndarray:
+        """All parameters as rows of dim + 1 numbers."""
+        pad = lambda x, y=None: np.hstack([x, np.zeros((len(x), 1), np.float32) if y is None else y[:, None]])
+        return np.vstack([pad(self.r), pad(self.v, self.b), pad(self.u, self.g), pad(self.a.reshape(-1, self.a.shape[2]))])
 
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, r=self.r, v=self.v, c=self.c, b=self.b)
-        return out.getvalue()
+    def of_rows(self, x: np.ndarray) -> LogBilinear:
+        n, k, d = len(self.r), len(self.u), self.r.shape[1]
+        r, v, u, a = np.split(x.astype(np.float32), [n, 2 * n, 2 * n + k])
+        return LogBilinear(r[:, :d], v[:, :d], v[:, d], u[:, :d], u[:, d], a[:, :d].reshape(2, d, d))
 
-    @classmethod
-    def load(cls, blob: bytes) -> LogBilinear:
-        with np.load(io.BytesIO(blob)) as f:
-            return cls(f["r"], f["v"], f["c"], f["b"])
-
-
-def passes(n: np.ndarray, steps: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of pairs and their weights: a whole pass over the pairs, and further ones up to that many steps."""
-    visits = np.ceil(n / HEAVY).astype(np.int64)
-    weight = (n / visits * (visits.sum() / n.sum())).astype(np.float32)
-
-    def shuffled() -> Iterator[np.ndarray]:
-        while True:
-            order = rng.permutation(len(n))
-            for a in range(0, len(n), SHUFFLED):
-                own = order[a : a + SHUFFLED]
-                yield rng.permutation(np.repeat(own, visits[own]))
-
-    source, held = shuffled(), np.zeros(0, np.int64)
-    for _ in range(max(steps, -(-int(visits.sum()) // BATCH))):
-        if len(held) < BATCH:
-            more, size = [held], len(held)
-            while size < BATCH:
-                more.append(next(source))
-                size += len(more[-1])
-            held = np.concatenate(more)
-        yield held[:BATCH], weight[held[:BATCH]]
-        held = held[BATCH:]
-
-
-def train_part(model: LogBilinear, before: np.ndarray, now: np.ndarray, n: np.ndarray, mass: np.ndarray, steps: int, seed: int, rate: float = 0.1) -> LogBilinear:
-    """One part's pass, and `steps` steps at least, of noise-contrastive estimation with per-parameter step sizes."""
-    rng = np.random.default_rng(seed)
-    noise = mass / mass.sum()
-    log_noise = np.log(noise * NOISE)
-    draw_noise = np.cumsum(noise)
-    r, v, c, b = (x.astype(np.float32) for x in (model.r, model.v, model.c, model.b))
-    log_noise = log_noise.astype(np.float32)
-    seen = [np.full_like(x, 1e-2) for x in (r, v, c, b)]
-
-    def descend(x: np.ndarray, s: np.ndarray, g: np.ndarray, at=slice(None)) -> None:
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=1)
+    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+
+
+def _summed(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradients of the same row summed."""
+    by = np.argsort(at, kind="stable")
+    own, first = np.unique(at[by], return_index=True)
+    return own, np.add.reduceat(g[by], first, axis=0)
+
+
+class Trainer:
+    """Steps of noise-contrastive estimation on a copy of a model, with per-parameter step sizes; used counts the visits of each parameter row."""
+
+    def __init__(self, model: LogBilinear, mass: np.ndarray, seed: int, rate: float = 0.1):
+        self.rng, self.rate = np.random.default_rng(seed), rate
+        self.dim = model.r.shape[1]
+        self.r = model.r.copy()
+        self.v = np.hstack([model.v, model.b[:, None]])
+        self.u = np.hstack([model.u, model.g[:, None]])
+        self.a = model.a.copy()
+        self.seen = [np.full_like(x, 0.1) for x in (self.r, self.v, self.u, self.a)]
+        self.used = [np.zeros(len(x)) for x in (self.r, self.v, self.u)]
+        share = mass / mass.sum()
+        bands = np.add.reduceat(share, band_starts(len(mass))[:-1])
+        self.noise = [(np.cumsum(p), np.log(p * k).astype(np.float32), k) for p, k in ((share, NOISE), (bands, BAND_NOISE))]
+        self.steps = 0
+
+    def _descend(self, place: int, x: np.ndarray, at, g: np.ndarray, rate: float = 1.0) -> None:
+        s = self.seen[place]
         s[at] += g * g
-        x[at] += rate * g / np.sqrt(s[at])
-
-    def gather(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum the gradients of the same row."""
-        by = np.argsort(at, kind="stable")
-        own, first = np.unique(at[by], return_index=True)
-        return own, np.add.reduceat(g[by], first, axis=0)
-
-    for pair, weight in passes(n, steps, rng):
-        h, w = before[pair], now[pair]
-        k = np.minimum(np.searchsorted(draw_noise, rng.random(NOISE)), len(noise) - 1)
-        q = r[h] * c
-        up = 1 / (1 + np.exp(np.clip(np.einsum("nd,nd->n", q, v[w]) + b[w] - log_noise[w], -50, 50)))  # 1 - P(data)
-        down = -1 / (1 + np.exp(np.clip(log_noise[k] - (q @ v[k].T + b[k]), -50, 50)))  # -P(data) of noise
-        up *= weight
-        down *= weight[:, None]
-        gq = up[:, None] * v[w] + down @ v[k]
-        gv = np.concatenate([up[:, None] * q, down.T @ q])
-        gb = np.concatenate([up, down.sum(axis=0)])
-        descend(c, seen[2], (gq * r[h]).sum(axis=0) / BATCH)
-        own, g = gather(h, gq * c)
-        descend(r, seen[0], g, own)
-        own, g = gather(np.concatenate([w, k]), np.hstack([gv, gb[:, None]]))
-        descend(v, seen[1], g[:, :-1], own)
-        descend(b, seen[3], g[:, -1], own)
-    return LogBilinear(*(x.astype(np.float64) for x in (r, v, c, b)))
+        x[at] += rate * self.rate * g / np.sqrt(s[at])
+
+    def _contrast(self, q: np.ndarray, table: np.ndarray, place: int, now: np.ndarray) -> np.ndarray:
+        """Update one set of outputs; the gradient for q."""
+        cumulative, log_noise, n = self.noise[place - 1]
+        k = np.minimum(np.searchsorted(cumulative, self.rng.random(n)), len(cumulative) - 1)
+        w, x = table[now], table[k]
+        up = 1 / (1 + np.exp(np.clip(np.einsum("nd,nd->n", q, w[:, :-1]) + w[:, -1] - log_noise[now], -50, 50)))  # 1 - P(data)
+        down = -1 / (1 + np.exp(np.clip(log_noise[k] - (q @ x[:, :-1].T + x[:, -1]), -50, 50)))  # -P(data) of noise
+        gq = up[:, None] * w[:, :-1] + down @ x[:, :-1]
+        gx = np.vstack([np.hstack([up[:, None] * q, up[:, None]]), np.hstack([down.T @ q, down.sum(axis=0)[:, None]])])
+        at = np.concatenate([now, k])
+        np.add.at(self.used[place], at, 1)
+        self._descend(place, table, *_summed(at, gx))
+        return gq
+
+    def step(self, second: np.ndarray, first: np.ndarray, now: np.ndarray) -> None:
+        r1, r2 = self.r[first], self.r[second]
+        q = r1 @ self.a[0] + r2 @ self.a[1]
+        gq = self._contrast(q, self.v, 1, now) + self._contrast(q, self.u, 2, band_of(now))
+        at = np.concatenate([first, second])
+        np.add.at(self.used[0], at, 1)
+        self._descend(0, self.r, *_summed(at, np.vstack([gq @ self.a[0].T, gq @ self.a[1].T])))
+        self._descend(3, self.a, slice(None), np.stack([r1.T @ gq, r2.T @ gq]), 0.05)
+        self.steps += 1
+
+    def learn(self, second: np.ndarray, first: np.ndarray, now: np.ndarray) -> None:
+        """Steps over all the tokens, in a random order."""
+        order = self.rng.permutation(len(now))
+        for part in np.array_split(order, -(-len(order) // BATCH)) if len(order) else []:
+            self.step(second[part], first[part], now[part])
+
+    def model(self) -> LogBilinear:
+        return LogBilinear(self.r, self.v[:, :-1], self.v[:, -1], self.u[:, :-1], self.u[:, -1], self.a)
+
+    def weighted_rows(self) -> np.ndarray:
+        """Parameter rows times how often each was used, and that number as the last column."""
+        n = np.concatenate([*self.used, np.full(2 * self.dim, float(self.steps))]).astype(np.float32)[:, None]
+        return np.hstack([self.model().rows() * n, n])
 
 
 def _training(docs: DataFrame, id_column: str, text_column: str, folds: int) -> DataFrame:
@@ -223,9 +273,12 @@ def word_counts(docs: DataFrame, text_column: str) -> DataFrame:
     return docs.select(text_column).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD, rare: int = RARE, lookup: int = LOOKUP) -> Vocabulary:
-    """Totals, the most frequent words (whole grades of frequency, `lookup` words at most), and the mass of each rare class."""
+def vocabulary(counts: DataFrame, head: int | None = None, rare: int | None = None, lookup: int = LOOKUP) -> Vocabulary:
+    """Totals, the most frequent words (whole grades of frequency, `lookup` words or the number of classes at most), and the mass of each rare class."""
     total = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
+    by_size = shape(total.distinct or 0)
+    head, rare = head or by_size[0], rare or by_size[1]
+    lookup = max(lookup, head)
     end = counts.where("word = ''").first()
     counts = counts.where("word <> ''")
     grade = F.floor(F.log2("n") * 256)  # grades of frequency, so few that they are counted in one place
@@ -235,13 +288,12 @@ def vocabulary(counts: DataFrame, head: int = HEAD, rare: int = RARE, lookup: in
     top.sort(key=lambda x: (-x.n, x.word))
     words = [b"", *(x.word.encode() for x in top)]  # the end is class 0, with its own count
     number = np.array([end.n if end else 0, *(x.n for x in top)], np.float64)
-    own = min(head, len(words))
-    least = [(x.word, x.n) for x in top[: own - 1]]
-    if least:
-        fixed = counts.sparkSession.createDataFrame([(w,) for w, _ in least], "word string")
-        counts = counts.join(F.broadcast(fixed), "word", "left_anti")
-    last_two = F.expr("substring(cast(word as binary), -2, 2)")
-    got = counts.groupBy((F.crc32(last_two) % rare).alias("c")).agg(F.sum(F.col("n") + F.lit(SMOOTH)).alias("m")).collect()
+    head = min(head, len(words))
+    own = [(x.word,) for x in top[: head - 1]]
+    if own:
+        counts = counts.join(F.broadcast(counts.sparkSession.createDataFrame(own, "word string")), "word", "left_anti")
+    ending = F.expr("CASE WHEN octet_length(word) < 3 THEN CAST(word AS BINARY) ELSE substring(CAST(word AS BINARY), -3, 3) END")
+    got = counts.groupBy((F.crc32(ending) % rare).alias("c")).agg(F.sum(F.col("n") + F.lit(SMOOTH)).alias("m")).collect()
     mass = np.full(rare, SMOOTH)
     for x in got:
         mass[x.c] += x.m
@@ -256,95 +308,104 @@ def _sequence(words: list[bytes], place: dict[bytes, int], of: np.ndarray, vocab
     unknown = [words[k] for k in far.tolist()]
     if unknown:
         crc = zlib.crc32
-        cls[far] = np.fromiter((crc(w[-2:]) for w in unknown), np.int64, len(unknown)) % rare + vocab_head
+        cls[far] = np.fromiter((crc(w[-3:]) for w in unknown), np.int64, len(unknown)) % rare + vocab_head
     return at, cls, unknown
 
 
-def pair_counts(docs: DataFrame, text_column: str, vocab: Vocabulary, shared) -> DataFrame:
-    """before, now and n of class pairs over all rows."""
+def _contexts(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of a text, and its end: the class before the one before, the class before, and the class; the end stands at the front."""
+    seq = np.concatenate([[0, 0], cls, [0]])
+    return seq[:-2], seq[1:-1], seq[2:]
+
+
+def _train_task(shared, passes: int, turn: int):
+    """What a task does with its documents in one round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab: Vocabulary = shared.value
+        vocab, model, rate = shared.value
         place, of = vocab.tables()
-        size = vocab.classes
-        held: list[np.ndarray] = []
+        trainer = Trainer(model, vocab.class_mass(), 10_000 * turn + TaskContext.get().partitionId(), rate)
+        held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
-        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            codes = np.concatenate(held + [np.zeros(0, np.int64)])
-            own, n = np.unique(codes, return_counts=True)
+        def learn() -> None:
+            arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
+            for _ in range(passes):
+                trainer.learn(*arrays)
             held.clear()
-            every = np.concatenate([total[0], own])
-            keys, back = np.unique(every, return_inverse=True)
-            return keys, np.bincount(back, np.concatenate([total[1], n]), len(keys)).astype(np.int64)
 
         for batch in batches:
             for text in utf8(batch.column(0)):
                 _, cls, _ = _sequence(text.lower().split(), place, of, vocab.head, vocab.rare)
-                seq = np.concatenate([[0], cls, [0]])
-                held.append(seq[:-1] * size + seq[1:])
-                waiting += len(seq)
-                if waiting > 1 << 21:
-                    total, waiting = merge(), 0
-        codes, n = merge()
-        for a in range(0, len(codes), 1 << 18):
-            part = codes[a : a + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part // size, pa.int32()), pa.array(part % size, pa.int32()), pa.array(n[a : a + (1 << 18)])], ["before", "now", "n"])
-
-    return docs.select(text_column).mapInArrow(run, "before int, now int, n long").groupBy("before", "now").agg(F.sum("n").alias("n"))
-
-
-def _train_group(shared, steps: int, turn: int):
-    """What a task does with one part's pairs."""
-
-    def run(own: pa.Table) -> pa.Table:
-        model, mass = shared.value
-        order = np.lexsort((own.column("now").to_numpy(), own.column("before").to_numpy()))
-        before, now, n = (own.column(k).to_numpy()[order] for k in ("before", "now", "n"))
-        part = int(own.column("part")[0].as_py())
-        new = train_part(model, before, now, n.astype(float), mass, steps, 1000 * turn + part)
-        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([float(n.sum())]), "model": pa.array([new.dump()], pa.binary())})
+                context = _contexts(cls)
+                for at in range(0, len(cls) + 1, SHUFFLED):
+                    held.append(tuple(x[at : at + SHUFFLED] for x in context))
+                    waiting += len(held[-1][0])
+                    if waiting >= SHUFFLED:
+                        learn()
+                        waiting = 0
+        if held:
+            learn()
+        if trainer.steps:
+            rows = trainer.weighted_rows()
+            parts = [rows[at : at + MERGED].astype("<f4").tobytes() for at in range(0, len(rows), MERGED)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["slice", "sums"])
 
     return run
 
 
-def train(pairs: DataFrame, vocab: Vocabulary, *, parts: int = PARTS, rounds: int = ROUNDS, steps: int = STEPS) -> LogBilinear:
-    """Rounds of part-wise training over all pairs; there are `parts` parts at least, of PART_PAIRS pairs at most on average."""
-    mass = vocab.class_mass()
-    model = LogBilinear.start(mass)
-    sc = pairs.sparkSession.sparkContext
-    parts = max(parts, -(-pairs.count() // PART_PAIRS))
-    dealt = pairs.withColumn("part", F.pmod("before", F.lit(parts)))
-    for turn in range(rounds):
-        shared = sc.broadcast((model, mass))
+def _merge_task(width: int):
+    """Sum the tasks' weighted rows, one batch after another; the weighted means and the weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(blob.as_buffer(), "<f4").reshape(-1, width).astype(np.float64)
+                total[k] = total[k] + own if k in total else own
+        for k, x in total.items():
+            mean = np.hstack([x[:, :-1] / np.maximum(x[:, -1:], 1e-30), x[:, -1:]]).astype("<f4")
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["slice", "rows"])
+
+    return run
 
-        got = sorted(dealt.groupBy("part").applyInArrow(_train_group(shared, steps, turn), "part int, n double, model binary").collect(), key=lambda x: x.part)
+
+def train(training: DataFrame, text_column: str, vocab: Vocabulary, *, rounds: int = ROUNDS, least: int = LEAST, rate: float = 0.1) -> LogBilinear:
+    """Train over all tokens of all the rows; round t has 2 ** t shares of the documents, chosen by a hash of their text."""
+    sc = training.sparkSession.sparkContext
+    model = LogBilinear.start(vocab.class_mass())
+    passes = max(1, -(-least // max(1, vocab.tokens)))
+    whole = (1 << rounds) - 1
+    share = F.pmod(F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))), F.lit(whole))
+    for turn in range(rounds):
+        shared = sc.broadcast((vocab, model, rate * 0.7**turn))
+        own = training.where((share >= (1 << turn) - 1) & (share < (2 << turn) - 1)).select(text_column)
+        tasks = max(8, vocab.tokens * passes * (1 << turn) // whole // PART_TOKENS)
+        width = model.r.shape[1] + 2
+        parts = own.coalesce(tasks).mapInArrow(_train_task(shared, passes, turn), "slice int, sums binary")
+        slices_ = -(-len(model.rows()) // MERGED)
+        got = parts.repartition(slices_, "slice").mapInArrow(_merge_task(width), "slice int, rows binary").collect()
         shared.unpersist()
-        if not got:
-            return model
-        share = np.array([x.n for x in got]) / sum(x.n for x in got)
-        new = [LogBilinear.load(x.model) for x in got]
-        r = model.r.copy()
-        for x, m in zip(got, new, strict=True):  # a context's representation is trained in one part only
-            r[x.part :: parts] = m.r[x.part :: parts]
-        model = LogBilinear(r, *(sum(s * getattr(m, k) for s, m in zip(share, new, strict=True)) for k in ("v", "c", "b")))
+        rows = model.rows()
+        for x in got:
+            new = np.frombuffer(x.rows, "<f4").reshape(-1, width)
+            used = new[:, -1] > 0
+            rows[x.slice * MERGED : x.slice * MERGED + len(new)][used] = new[used, :-1]
+        model = model.of_rows(rows)
     return model
 
 
-def score_texts(docs: DataFrame, *, folds: int = 10, id_column: str = "doc_id", text_column: str = "text", head: int = HEAD, rare: int = RARE, lookup: int = LOOKUP, rounds: int = ROUNDS, steps: int = STEPS) -> DataFrame:
-    """Train on the rows that are not held out and score every row."""
+def score_texts(docs: DataFrame, *, folds: int = 10, id_column: str = "doc_id", text_column: str = "text", head: int | None = None, rare: int | None = None, lookup: int = LOOKUP, rounds: int = ROUNDS, least: int = LEAST) -> DataFrame:
+    """Train on the rows that are not held out and score every row. head, rare: numbers of classes, by the vocabulary's size if not given."""
     sc = docs.sparkSession.sparkContext
     training = _training(docs, id_column, text_column, folds)
     counts = materialise(word_counts(training, text_column), "words")
     vocab = vocabulary(counts, head, rare, lookup)
-    shared = sc.broadcast(vocab)
-    model = train(materialise(pair_counts(training, text_column, vocab, shared), "pairs"), vocab, rounds=rounds, steps=steps)
-    norm = model.log_norm(np.arange(vocab.classes))
-    shared = sc.broadcast((vocab, model, norm))
+    model = train(training, text_column, vocab, rounds=rounds, least=least)
+    shared = sc.broadcast((vocab, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model, norm = shared.value
+        vocab, model = shared.value
         place, of = vocab.tables()
         log_count = np.log10(vocab.counts + SMOOTH)
         within = log_count.copy()  # a word's share of its class; 0 for words that are a class
@@ -356,17 +417,30 @@ def score_texts(docs: DataFrame, *, folds: int = 10, id_column: str = "doc_id",
         for batch in batches:
             for part in slices(batch):
                 out: list[list] = [[] for _ in range(7)]
+                contexts: list[tuple[np.ndarray, ...]] = []
+                sums: list[float] = []
+
+                def score() -> None:
+                    lp = model.log_prob(*(np.concatenate(x) for x in zip(*contexts, strict=True)))
+                    ends = np.cumsum([len(x[0]) for x in contexts])
+                    sums.extend((np.add.reduceat(lp, np.append(0, ends[:-1])) / LN10).tolist())
+                    contexts.clear()
+
                 for text in utf8(part.column(1)):
                     words = text.lower().split()
                     at, cls, unknown = _sequence(words, place, of, vocab.head, vocab.rare)
-                    seq = np.concatenate([[0], cls, [0]])
-                    lp = float(model.log_prob(seq[:-1], seq[1:], norm).sum()) / LN10
+                    contexts.append(_contexts(cls))
                     near = np.append(at[at >= 0], 0)
-                    lp += float(within[near].sum() - log_mass[cls[at < 0] - vocab.head].sum())
+                    inside = float(within[near].sum() - log_mass[cls[at < 0] - vocab.head].sum())
                     far = Counter(unknown)
-                    for column, value in zip(out, (row, len(words) + 1, int(known[near].sum()), float(log_count[near].sum()), lp, list(far), list(far.values())), strict=True):
+                    for column, value in zip(out, (row, len(words) + 1, int(known[near].sum()), float(log_count[near].sum()), inside, list(far), list(far.values())), strict=True):
                         column.append(value)
                     row += 1
+                    if sum(len(x[0]) for x in contexts) >= TOGETHER:
+                        score()
+                if contexts:
+                    score()
+                out[4] = [a + b for a, b in zip(out[4], sums, strict=True)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
                 arrays = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
                 arrays[5] = arrays[5].cast(pa.list_(pa.string()))
@@ -375,11 +449,14 @@ def score_texts(docs: DataFrame, *, folds: int = 10, id_column: str = "doc_id",
     schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, lp double, far array<string>, far_n array<long>"
     rows = materialise(docs.select(F.col(id_column), F.col(text_column), held_out(id_column, folds).alias("held_out")).mapInArrow(run, schema), "scored")
     far = rows.where(F.size("far") > 0).select("row", F.explode(F.arrays_zip("far", "far_n")).alias("x")).select("row", F.col("x.far").alias("word"), F.col("x.far_n").alias("k"))
-    met = far.join(counts.withColumnRenamed("n", "c"), "word", "left")
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("far_known"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("far_sum"))
+    met = far.join(counts.where("n > 0").withColumnRenamed("n", "c"), "word")  # a word that was never seen meets nothing, however common it is
+    gain = F.log10(F.col("c") + F.lit(SMOOTH)) - F.lit(float(np.log10(SMOOTH)))
+    sums = met.groupBy("row").agg(F.sum("k").alias("far_known"), F.sum(F.col("k") * gain).alias("far_gain"))
     all_words = float(np.log10(vocab.tokens + SMOOTH * (vocab.distinct + 1)))
-    extra = F.coalesce("far_sum", F.lit(0.0))
-    return rows.drop("far", "far_n").join(sums, "row", "left").select(
+    far_words = F.aggregate("far_n", F.lit(0).cast("long"), lambda a, x: a + x)
+    extra = F.col("unseen") + F.coalesce("far_gain", F.lit(0.0))
+    own = rows.withColumn("unseen", far_words * F.lit(float(np.log10(SMOOTH)))).drop("far", "far_n")
+    return own.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

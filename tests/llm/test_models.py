@@ -11,7 +11,7 @@ import pytest
 
 from pairloom.llm import quality, toxicity
 from pairloom.llm.html_extract import Chain, blocks, extract_text, features, labelled, main_text, trained_chain
-from pairloom.llm.lm import LogBilinear, score_texts, train_part, vocabulary
+from pairloom.llm.lm import LogBilinear, Trainer, band_of, band_starts, score_texts, shape, train, vocabulary, word_counts
 
 
 def sentences(r, n):
@@ -26,7 +26,7 @@ def corpus(spark):
 
 
 def test_lm(corpus):
-    got = {x.doc_id: x for x in score_texts(corpus, head=20, rare=4, lookup=30, rounds=2, steps=60).collect()}
+    got = {x.doc_id: x for x in score_texts(corpus, head=20, rare=4, lookup=30, rounds=2, least=40_000).collect()}
     texts = {x.doc_id: re.findall(r"[^\x20\x09-\x0D]+", (x.text or "").lower()) + [None] for x in corpus.collect()}
     held = {k: zlib.crc32(str(k if k is not None else "").encode()) % 10 == 0 for k in texts}
     c = Counter(w for k, ws in texts.items() if not held[k] for w in ws)
@@ -37,25 +37,101 @@ def test_lm(corpus):
         assert math.isclose(x.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
     aside = [x for k, x in got.items() if held[k] and x.n_tokens > 5]
     assert sum(x.score for x in aside) > sum(x.base_score for x in aside)
-    assert score_texts(corpus.limit(0), head=5, rare=2, lookup=5, rounds=1, steps=2).count() == 0
-
-
-def test_lm_is_normalised():
-    mass = np.array([5.0, 3, 2, 1, 0.5])
-    model = LogBilinear.start(mass)
-    before, now = np.array([0, 1, 2, 0]), np.array([1, 2, 0, 1])
-    model = train_part(model, before, now, np.array([5.0, 5, 5, 5]), mass, 80, 0)
-    norm = model.log_norm(np.arange(5))
-    every = np.exp([[model.log_prob(np.array([h]), np.array([w]), norm)[0] for w in range(5)] for h in range(5)])
-    np.testing.assert_allclose(every.sum(axis=1), 1)
-    assert every[0, 1] > 0.5 and every[1, 2] > 0.5
-
-
-def test_lm_training_sees_every_pair():
-    mass = np.ones(9000)
-    start = LogBilinear.start(mass)
-    got = train_part(start, np.arange(9000), np.arange(9000)[::-1], np.ones(9000), mass, 1, 0)
-    assert (got.r != start.r.astype(np.float32)).any(axis=1).all()
+    assert score_texts(corpus.limit(0), head=5, rare=2, lookup=5, rounds=1, least=2).count() == 0
+
+
+def test_word_probabilities_add_up(spark, corpus, monkeypatch):
+    """Scores of texts of one more word, for every word there is and one for each rare class that is not."""
+    model = LogBilinear.start(np.arange(1.0, 15), seed=3)
+    monkeypatch.setattr("pairloom.llm.lm.train", lambda *a, **k: LogBilinear(*(5 * x for x in (model.r, model.v)), model.b, 5 * model.u, model.g, model.a))
+    counts = {x.word for x in word_counts(corpus, "text").collect()}
+    rare = {}
+    for k in range(100):
+        rare.setdefault(zlib.crc32(f"zq{k}"[-3:].encode()) % 4, f"zq{k}")
+    words = sorted(counts - {""}) + [rare[k] for k in range(4)]
+    ids = [i for i in range(10_000, 40_000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    asked = [(i, f"the cat0 {w}") for i, w in zip(ids, [*words, ""], strict=False)]
+    docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(asked, "doc_id long, text string"))
+    got = {x.doc_id: x.score for x in score_texts(docs, head=10, rare=4, lookup=30).collect()}
+    plain = counts_of(corpus)
+    m = plain_model(plain, model)
+    for i, t in asked:
+        assert got[i] == pytest.approx(m(t.split(" ") if t[-1] != " " else t[:-1].split(" ")), abs=1e-3), t
+    total = sum(10 ** m(["the", "cat0"], w) for w in [*[x for x in plain if x], None, *(("new", k) for k in range(4))])
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def counts_of(corpus):
+    held = lambda k: zlib.crc32(str(k if k is not None else "").encode()) % 10 == 0
+    texts = [x.text for x in corpus.select("doc_id", "text").collect() if not held(x.doc_id)]
+    return Counter(w for t in texts for w in [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), ""])
+
+
+def plain_model(c, start):
+    """The model word by word, without numpy: the end, the 9 most frequent words, and 4 rare classes."""
+    own = ["", *sorted((w for w in c if w), key=lambda w: (-c[w], w))[:9]]
+    ending = lambda w: zlib.crc32(w.encode()[-3:]) % 4
+    mass = [0.1] * 4
+    for w in c:
+        if w not in own:
+            mass[ending(w)] += c[w] + 0.1
+    r, v, u = 5 * start.r.astype(float), 5 * start.v.astype(float), 5 * start.u.astype(float)
+
+    def place(w):
+        return own.index(w) if w in own else 10 + (w[1] if isinstance(w, tuple) else ending(w))
+
+    def log_softmax(x, k):
+        return x[k] - math.log(sum(math.exp(y) for y in x))
+
+    def one(h2, h1, w):
+        q = r[place(h1)] @ start.a[0] + r[place(h2)] @ start.a[1]
+        k = place(w)
+        band = next(b for b in range(10) if (b + 1) * (b + 2) // 2 > k)
+        lo, hi = band * (band + 1) // 2, min(14, (band + 1) * (band + 2) // 2)
+        lp = log_softmax([q @ u[b] + start.g[b] for b in range(len(u))], band) + log_softmax([q @ v[j] + start.b[j] for j in range(lo, hi)], k - lo)
+        if k >= 10:
+            n = 0 if isinstance(w, tuple) else c[w]
+            lp += math.log((n + 0.1) / mass[k - 10])
+        return lp / math.log(10)
+
+    def score(words, last=False):
+        if last is not False:
+            return one(words[-2], words[-1], "" if last is None else last)
+        seq = ["", "", *words, ""]
+        return sum(one(*seq[k : k + 3]) for k in range(len(words) + 1))
+
+    return score
+
+
+def test_lm_learns_contexts():
+    mass = np.array([5.0, 3, 2, 1, 0.5, 0.5, 4])
+    trainer = Trainer(LogBilinear.start(mass), mass, 0)
+    h2, h1, now = np.array([0, 0, 2, 3, 1, 1]), np.array([1, 2, 0, 1, 1, 6]), np.array([2, 1, 3, 4, 6, 5])
+    for _ in range(150):
+        trainer.learn(*(np.tile(x, 40) for x in (h2, h1, now)))
+    model = trainer.model()
+    one = lambda a, b, c: math.exp(model.log_prob(np.array([a]), np.array([b]), np.array([c]))[0])
+    for a, b, c in zip(h2, h1, now, strict=True):
+        assert sum(one(a, b, k) for k in range(7)) == pytest.approx(1, abs=1e-5)
+        assert one(a, b, c) > 0.5
+
+
+def test_lm_training_sees_every_token(spark):
+    texts = [f"a{k} b{k} c{k}" for k in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    vocab = vocabulary(word_counts(docs, "text"), head=1000, rare=4)
+    start = LogBilinear.start(vocab.class_mass())
+    got = train(docs, "text", vocab, least=1)
+    moved = (got.r != start.r).any(axis=1) | (got.v != start.v).any(axis=1)
+    assert vocab.head == 901 and moved[: vocab.head].all()
+
+
+def test_lm_shapes_grow():
+    assert shape(0) == (256, 16) and shape(10_000) == (800, 50) and shape(10**8) == (80_000, 5_000) and shape(10**12)[0] == 1 << 18
+    for n in (1, 2, 3, 4, 500, 5151, 300_000):
+        starts = band_starts(n)
+        assert starts[0] == 0 and starts[-1] == n and (np.diff(starts) > 0).all()
+        assert (band_of(np.arange(n)) == np.repeat(np.arange(len(starts) - 1), np.diff(starts))).all()
 
 
 def test_lm_counts_the_end_apart(spark):
