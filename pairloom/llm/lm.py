@@ -53,12 +53,12 @@ from pairloom.plans.scratch import materialise
 
 #: Words with classes of their own for each square root of a distinct word, the bound of their number (reached at 10^9
 #: distinct words), rare classes as a share of them, and words whose counts every task has at hand at least.
-PER_ROOT, MOST, RARE_SHARE, LOOKUP = 8, 1 << 18, 1 / 16, 1 << 16
-DIM, ROUNDS, BATCH, NOISE, BAND_NOISE = 32, 4, 4096, 128, 32
+PER_ROOT, MOST, RARE_SHARE, LOOKUP = 4, 1 << 18, 1 / 16, 1 << 16
+DIM, ROUNDS, BATCH, NOISE, BAND_NOISE = 24, 4, 2048, 64, 32
 #: Tokens that training visits at least, tokens a training task has at least (so that fewer parameters are merged), and tokens shuffled at once.
-LEAST, PART_TOKENS, SHUFFLED = 2_000_000, 4_000_000, 1 << 18
+LEAST, PART_TOKENS, SHUFFLED = 6_000_000, 4_000_000, 1 << 18
 #: Parameter rows that are merged as one, and tokens scored at once.
-MERGED, TOGETHER = 1024, 1 << 16
+MERGED, TOGETHER = 1024, 1 << 15
 #: Distinct words a task counts before it passes them on.
 COUNTED = 400_000
 SMOOTH = 0.1
@@ -149,7 +149,7 @@ class LogBilinear:
             for k in range(0, len(c), 4096):
                 t = q[k : k + 4096] @ self.u.T + self.g
                 own[k : k + 4096] = t[np.arange(len(t)), band[k : k + 4096]] - _log_sum(t)
-            by = np.argsort(band, kind="stable")
+            by = np.argsort(band)
             present, begin = np.unique(band[by], return_index=True)
             for k, rows in zip(present.tolist(), np.split(by, begin[1:]), strict=True):
                 if k == 0:
@@ -173,15 +173,18 @@ class LogBilinear:
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Log of the sum of exp over each row; by one shift for all rows, unless one of them lies too far below."""
+    ones = np.ones(x.shape[1], x.dtype)
+    top = x.max()
+    sums = np.exp(x - top) @ ones
+    if sums.min() > 1e-25:
+        return top + np.log(sums)
     top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    return top + np.log(np.exp(x - top[:, None]) @ ones)
 
 
-def _summed(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The gradients of the same row summed."""
-    by = np.argsort(at, kind="stable")
-    own, first = np.unique(at[by], return_index=True)
-    return own, np.add.reduceat(g[by], first, axis=0)
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class Trainer:
@@ -201,33 +204,42 @@ class Trainer:
         self.noise = [(np.cumsum(p), np.log(p * k).astype(np.float32), k) for p, k in ((share, NOISE), (bands, BAND_NOISE))]
         self.steps = 0
 
-    def _descend(self, place: int, x: np.ndarray, at, g: np.ndarray, rate: float = 1.0) -> None:
-        s = self.seen[place]
-        s[at] += g * g
-        x[at] += rate * self.rate * g / np.sqrt(s[at])
+    def _descend(self, place: int, x: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
+        """Sum the gradients of the same row (at is in order), and move each row by them."""
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        own = at[first]
+        self.used[place][own] += np.diff(first, append=len(at))
+        g = np.add.reduceat(g, first, axis=0)
+        s = self.seen[place][own] + g * g
+        self.seen[place][own] = s
+        x[own] += self.rate * g / np.sqrt(s)
 
     def _contrast(self, q: np.ndarray, table: np.ndarray, place: int, now: np.ndarray) -> np.ndarray:
-        """Update one set of outputs; the gradient for q."""
+        """Update one set of outputs; the gradient for q, which ends in a column of ones. now is in order."""
         cumulative, log_noise, n = self.noise[place - 1]
-        k = np.minimum(np.searchsorted(cumulative, self.rng.random(n)), len(cumulative) - 1)
+        k = np.sort(np.minimum(np.searchsorted(cumulative, self.rng.random(n)), len(cumulative) - 1))
         w, x = table[now], table[k]
-        up = 1 / (1 + np.exp(np.clip(np.einsum("nd,nd->n", q, w[:, :-1]) + w[:, -1] - log_noise[now], -50, 50)))  # 1 - P(data)
-        down = -1 / (1 + np.exp(np.clip(log_noise[k] - (q @ x[:, :-1].T + x[:, -1]), -50, 50)))  # -P(data) of noise
-        gq = up[:, None] * w[:, :-1] + down @ x[:, :-1]
-        gx = np.vstack([np.hstack([up[:, None] * q, up[:, None]]), np.hstack([down.T @ q, down.sum(axis=0)[:, None]])])
-        at = np.concatenate([now, k])
-        np.add.at(self.used[place], at, 1)
-        self._descend(place, table, *_summed(at, gx))
+        up = _sigmoid(log_noise[now] - np.einsum("nd,nd->n", q, w))[:, None]  # 1 - P(data)
+        down = -_sigmoid(q @ x.T - log_noise[k])  # -P(data) of noise
+        gq = up * w + down @ x
+        self._descend(place, table, now, up * q)
+        self._descend(place, table, k, down.T @ q)
         return gq
 
     def step(self, second: np.ndarray, first: np.ndarray, now: np.ndarray) -> None:
+        by = np.argsort(now)
+        second, first, now = second[by], first[by], now[by]
         r1, r2 = self.r[first], self.r[second]
-        q = r1 @ self.a[0] + r2 @ self.a[1]
-        gq = self._contrast(q, self.v, 1, now) + self._contrast(q, self.u, 2, band_of(now))
-        at = np.concatenate([first, second])
-        np.add.at(self.used[0], at, 1)
-        self._descend(0, self.r, *_summed(at, np.vstack([gq @ self.a[0].T, gq @ self.a[1].T])))
-        self._descend(3, self.a, slice(None), np.stack([r1.T @ gq, r2.T @ gq]), 0.05)
+        q = np.empty((len(now), self.dim + 1), np.float32)
+        q[:, -1] = 1
+        np.add(r1 @ self.a[0], r2 @ self.a[1], out=q[:, :-1])
+        gq = (self._contrast(q, self.v, 1, now) + self._contrast(q, self.u, 2, band_of(now)))[:, :-1]
+        at, g = np.concatenate([first, second]), np.concatenate([gq @ self.a[0].T, gq @ self.a[1].T])
+        by = np.argsort(at)
+        self._descend(0, self.r, at[by], g[by])
+        g = np.stack([r1.T @ gq, r2.T @ gq])
+        self.seen[3] += g * g
+        self.a += 0.05 * self.rate * g / np.sqrt(self.seen[3])
         self.steps += 1
 
     def learn(self, second: np.ndarray, first: np.ndarray, now: np.ndarray) -> None:
@@ -419,6 +431,7 @@ def score_texts(docs: DataFrame, *, folds: int = 10, id_column: str = "doc_id",
                 out: list[list] = [[] for _ in range(7)]
                 contexts: list[tuple[np.ndarray, ...]] = []
                 sums: list[float] = []
+                waiting = 0
 
                 def score() -> None:
                     lp = model.log_prob(*(np.concatenate(x) for x in zip(*contexts, strict=True)))
@@ -436,8 +449,10 @@ def score_texts(docs: DataFrame, *, folds: int = 10, id_column: str = "doc_id",
                     for column, value in zip(out, (row, len(words) + 1, int(known[near].sum()), float(log_count[near].sum()), inside, list(far), list(far.values())), strict=True):
                         column.append(value)
                     row += 1
-                    if sum(len(x[0]) for x in contexts) >= TOGETHER:
+                    waiting += len(cls) + 1
+                    if waiting >= 8 * TOGETHER:
                         score()
+                        waiting = 0
                 if contexts:
                     score()
                 out[4] = [a + b for a, b in zip(out[4], sums, strict=True)]

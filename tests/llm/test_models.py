@@ -127,7 +127,7 @@ def test_lm_training_sees_every_token(spark):
 
 
 def test_lm_shapes_grow():
-    assert shape(0) == (256, 16) and shape(10_000) == (800, 50) and shape(10**8) == (80_000, 5_000) and shape(10**12)[0] == 1 << 18
+    assert shape(0) == (256, 16) and shape(10_000) == (400, 25) and shape(10**8) == (40_000, 2_500) and shape(10**12)[0] == 1 << 18
     for n in (1, 2, 3, 4, 500, 5151, 300_000):
         starts = band_starts(n)
         assert starts[0] == 0 and starts[-1] == n and (np.diff(starts) > 0).all()
