@@ -67,7 +67,7 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, words: set[bytes]) -> None:
-        """Add the words; a comma or full stop after a letter is always a token run of its own, so it is split off first."""
+        """Add the words; a comma or full stop after a letter (that stays one in lower case) is a token run of its own, so it is split off first."""
         known = self.known
         if len(known) + 2 * len(words) > REMEMBERED:
             known.clear()
@@ -77,7 +77,7 @@ class WordEncoder:
                 rest.append(w)
                 continue
             key = end = w.lower()
-            if key[-1] in b",." and len(key) > 1 and (key[-2:-1].isalpha() or key[-2] >= 0x80 and key[:-1].decode("utf-8")[-1].isalpha()):
+            if key[-1] in b",." and len(key) > 1 and (key[-2:-1].isalpha() or key[-2] >= 0x80 and key[:-1].decode("utf-8")[-1].lower()[-1].isalpha()):
                 key, end = key[:-1], key[-1:]
             if (ids := known.get(key)) is None:
                 if (ids := self._model_ids(key)) is None:
