@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.plans.scratch import materialise  # noqa: F401  for the operators
@@ -26,6 +28,16 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def slices_of_bytes(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts have about that many bytes, a longer text alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths.astype(np.int64) + 1) // size
+    bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A text column as bytes; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -36,31 +36,33 @@ empty table gives no row; other columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import slices, utf8
+from pairloom.llm.common import slices_of_bytes
 from pairloom.llm.labelled import held_out
 from pairloom.plans.scratch import materialise
 
 #: Words with classes of their own for each square root of a distinct word, the bound of their number (reached at 4 * 10^9
 #: distinct words), rare classes as a share of them, and words whose counts every task has at hand at least.
 PER_ROOT, MOST, RARE_SHARE, LOOKUP = 4, 1 << 18, 1 / 16, 1 << 18
-DIM, ROUNDS, BATCH, NOISE, BAND_NOISE = 24, 3, 2048, 64, 32
+DIM, ROUNDS, BATCH, NOISE, BAND_NOISE = 16, 3, 2048, 64, 32
 #: Tokens that training visits at least, tokens a training task has at least (so that fewer parameters are merged), and tokens shuffled at once.
 LEAST, PART_TOKENS, SHUFFLED = 6_000_000, 4_000_000, 1 << 18
 #: Parameter rows that are merged as one, and tokens scored at once.
 MERGED, TOGETHER = 1024, 1 << 15
-#: Distinct words a task counts before it passes them on.
-COUNTED = 400_000
+#: Bytes of the texts that are cut into words at once.
+TEXT_BYTES = 8 << 20
+#: Words and their counts that a task holds before it sums them and passes them on.
+COUNTED = 2_000_000
 SMOOTH = 0.1
 LN10 = float(np.log(10.0))
 
@@ -261,26 +263,53 @@ def _training(docs: DataFrame, id_column: str, text_column: str, folds: int) ->
     return docs.where(~held_out(id_column, folds)).select(text_column)
 
 
+@dataclass(frozen=True)
+class Words:
+    """The words of some texts: the distinct ones, and each text's as places among them."""
+
+    distinct: pa.Array
+    codes: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        """Lower-case (A-Z) runs of anything but ASCII white space."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+        coded = lists.flatten().dictionary_encode()
+        codes, sizes = coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        empty = pc.index(coded.dictionary, "").as_py()  # beside white space at a text's ends
+        if empty >= 0:
+            there = codes != empty
+            sizes = np.diff(np.append(0, np.cumsum(there))[np.append(0, np.cumsum(sizes))])
+            codes = codes[there]
+        return cls(coded.dictionary, codes, sizes)
+
+    def counts(self) -> pa.Table:
+        n = np.bincount(self.codes, minlength=len(self.distinct))
+        return pa.table({"word": self.distinct, "n": pa.array(n, pa.int64())}).filter(pa.array(n > 0))
+
+
 def word_counts(docs: DataFrame, text_column: str) -> DataFrame:
     """word and n over all rows; the empty word is the text end. Tasks count first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
         ends = 0
 
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return got
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                total = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+                held.clear()
+                yield from total.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches(max_chunksize=1 << 16)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices_of_bytes(batch, 0, TEXT_BYTES):
                 ends += part.num_rows
-                counts.update(b" ".join(t.lower() for t in utf8(part.column(0))).split())
-                if len(counts) > COUNTED:
-                    yield out()
-        counts[b""] = ends
-        yield out()
+                held.append(Words.of(part.column(0)).counts())
+                if sum(t.num_rows for t in held) > COUNTED:
+                    yield from out()
+        yield from out()
+        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([ends], pa.int64())], ["word", "n"])
 
     return docs.select(text_column).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
@@ -312,22 +341,47 @@ def vocabulary(counts: DataFrame, head: int | None = None, rare: int | None = No
     return Vocabulary(words, number, head, rare, int(total.tokens or 0), int(total.distinct or 0), mass)
 
 
-def _sequence(words: list[bytes], place: dict[bytes, int], of: np.ndarray, vocab_head: int, rare: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Places (-1: not at hand) and classes of the words, and the words not at hand."""
-    at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-    cls = of[at]
-    far = np.flatnonzero(at < 0)
-    unknown = [words[k] for k in far.tolist()]
-    if unknown:
-        crc = zlib.crc32
-        cls[far] = np.fromiter((crc(w[-3:]) for w in unknown), np.int64, len(unknown)) % rare + vocab_head
-    return at, cls, unknown
-
-
-def _contexts(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of a text, and its end: the class before the one before, the class before, and the class; the end stands at the front."""
-    seq = np.concatenate([[0, 0], cls, [0]])
-    return seq[:-2], seq[1:-1], seq[2:]
+class Sequences:
+    """The classes of some texts' words, one text after another, each with its end behind its words."""
+
+    def __init__(self, texts: pa.Array, vocab: Vocabulary, tables: tuple[dict[bytes, int], np.ndarray]):
+        place, of = tables
+        self.words = Words.of(texts)
+        distinct = self.words.distinct.cast(pa.binary()).to_pylist()
+        self.place = np.fromiter(map(place.get, distinct, repeat(-1)), np.int64, len(distinct))  # -1: not at hand
+        classes = of[self.place]
+        for k in np.flatnonzero(self.place < 0).tolist():
+            classes[k] = rare_class(distinct[k], vocab.head, vocab.rare)
+        sizes, codes = self.words.sizes, self.words.codes
+        ends = np.cumsum(sizes + 1)
+        self.starts = np.append(0, ends[:-1])
+        self.is_word = np.ones(len(codes) + len(sizes), bool)
+        self.is_word[ends - 1] = False
+        self.classes = classes
+        self.now = np.zeros(len(self.is_word), np.int64)
+        self.now[self.is_word] = classes[codes]
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word and end: the class before the one before, the class before, and the class; ends stand at the front."""
+        first, second = np.zeros_like(self.now), np.zeros_like(self.now)
+        first[1:], second[2:] = self.now[:-1], self.now[:-2]  # before a text stands the end of another
+        second[self.starts] = 0
+        return second, first, self.now
+
+    def sums(self, of_word: np.ndarray, of_end: float) -> np.ndarray:
+        """A number for each distinct word, summed over each text and its end."""
+        each = np.full(len(self.now), of_end, of_word.dtype)
+        each[self.is_word] = of_word[self.words.codes]
+        return np.add.reduceat(each, self.starts)
+
+    def far(self) -> tuple[pa.Array, pa.Array]:
+        """For each text its words that are not at hand, and how often each occurs."""
+        n, rows = len(self.place), len(self.words.sizes)
+        away = self.place[self.words.codes] < 0
+        row = np.repeat(np.arange(rows), self.words.sizes)[away]
+        key, count = np.unique(row * n + self.words.codes[away], return_counts=True)
+        ends = pa.array(np.searchsorted(key, np.arange(rows + 1) * n), pa.int32())
+        return pa.ListArray.from_arrays(ends, self.words.distinct.take(pa.array(key % max(1, n)))), pa.ListArray.from_arrays(ends, pa.array(count, pa.int64()))
 
 
 def _train_task(shared, passes: int, turn: int):
@@ -335,7 +389,7 @@ def _train_task(shared, passes: int, turn: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model, rate = shared.value
-        place, of = vocab.tables()
+        tables = vocab.tables()
         trainer = Trainer(model, vocab.class_mass(), 10_000 * turn + TaskContext.get().partitionId(), rate)
         held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
@@ -347,10 +401,9 @@ def _train_task(shared, passes: int, turn: int):
             held.clear()
 
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                _, cls, _ = _sequence(text.lower().split(), place, of, vocab.head, vocab.rare)
-                context = _contexts(cls)
-                for at in range(0, len(cls) + 1, SHUFFLED):
+            for part in slices_of_bytes(batch, 0, TEXT_BYTES):
+                context = Sequences(part.column(0), vocab, tables).contexts()
+                for at in range(0, len(context[0]), SHUFFLED):
                     held.append(tuple(x[at : at + SHUFFLED] for x in context))
                     waiting += len(held[-1][0])
                     if waiting >= SHUFFLED:
@@ -418,48 +471,24 @@ def score_texts(docs: DataFrame, *, folds: int = 10, id_column: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value
-        place, of = vocab.tables()
+        tables = vocab.tables()
         log_count = np.log10(vocab.counts + SMOOTH)
         within = log_count.copy()  # a word's share of its class; 0 for words that are a class
         within[: vocab.head] = 0
-        within[vocab.head :] -= np.log10(vocab.rare_mass)[of[vocab.head : -1] - vocab.head]
+        within[vocab.head :] -= np.log10(vocab.rare_mass)[tables[1][vocab.head : -1] - vocab.head]
         log_mass = np.log10(vocab.rare_mass)
-        known = vocab.counts > 0
+        known = (vocab.counts > 0).astype(np.int64)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch):
-                out: list[list] = [[] for _ in range(7)]
-                contexts: list[tuple[np.ndarray, ...]] = []
-                sums: list[float] = []
-                waiting = 0
-
-                def score() -> None:
-                    lp = model.log_prob(*(np.concatenate(x) for x in zip(*contexts, strict=True)))
-                    ends = np.cumsum([len(x[0]) for x in contexts])
-                    sums.extend((np.add.reduceat(lp, np.append(0, ends[:-1])) / LN10).tolist())
-                    contexts.clear()
-
-                for text in utf8(part.column(1)):
-                    words = text.lower().split()
-                    at, cls, unknown = _sequence(words, place, of, vocab.head, vocab.rare)
-                    contexts.append(_contexts(cls))
-                    near = np.append(at[at >= 0], 0)
-                    inside = float(within[near].sum() - log_mass[cls[at < 0] - vocab.head].sum())
-                    far = Counter(unknown)
-                    for column, value in zip(out, (row, len(words) + 1, int(known[near].sum()), float(log_count[near].sum()), inside, list(far), list(far.values())), strict=True):
-                        column.append(value)
-                    row += 1
-                    waiting += len(cls) + 1
-                    if waiting >= 8 * TOGETHER:
-                        score()
-                        waiting = 0
-                if contexts:
-                    score()
-                out[4] = [a + b for a, b in zip(out[4], sums, strict=True)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-                arrays = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
-                arrays[5] = arrays[5].cast(pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), *arrays], ["doc_id", "held_out", "row", "n_tokens", "known", "base", "lp", "far", "far_n"])
+            for part in slices_of_bytes(batch, 1, TEXT_BYTES):
+                seq = Sequences(part.column(1), vocab, tables)
+                near = seq.place >= 0
+                inside = np.where(near, within[seq.place], -log_mass[np.where(near, 0, seq.classes - vocab.head)])
+                lp = np.add.reduceat(model.log_prob(*seq.contexts()), seq.starts) / LN10 + seq.sums(inside, within[0])
+                counts = (seq.words.sizes + 1, seq.sums(np.where(near, known[seq.place], 0), known[0]), seq.sums(np.where(near, log_count[seq.place], 0.0), log_count[0]), lp)
+                rows = np.arange(row, row + part.num_rows)
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), *map(pa.array, (rows, *counts)), *seq.far()], ["doc_id", "held_out", "row", "n_tokens", "known", "base", "lp", "far", "far_n"])
 
     schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, lp double, far array<string>, far_n array<long>"
     rows = materialise(docs.select(F.col(id_column), F.col(text_column), held_out(id_column, folds).alias("held_out")).mapInArrow(run, schema), "scored")
