@@ -53,16 +53,16 @@ from pairloom.plans.scratch import materialise
 
 #: Words with classes of their own for each square root of a distinct word, the bound of their number (reached at 4 * 10^9
 #: distinct words), rare classes as a share of them, and words whose counts every task has at hand at least.
-PER_ROOT, MOST, RARE_SHARE, LOOKUP = 4, 1 << 18, 1 / 16, 1 << 18
+PER_ROOT, MOST, RARE_SHARE, LOOKUP = 4, 1 << 18, 1 / 16, 1 << 17
 DIM, ROUNDS, BATCH, NOISE, BAND_NOISE = 16, 3, 2048, 64, 32
 #: Tokens that training visits at least, tokens a training task has at least (so that fewer parameters are merged), and tokens shuffled at once.
 LEAST, PART_TOKENS, SHUFFLED = 6_000_000, 4_000_000, 1 << 18
 #: Parameter rows that are merged as one, and tokens scored at once.
 MERGED, TOGETHER = 1024, 1 << 15
 #: Bytes of the texts that are cut into words at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 #: Words and their counts that a task holds before it sums them and passes them on.
-COUNTED = 2_000_000
+COUNTED = 600_000
 SMOOTH = 0.1
 LN10 = float(np.log(10.0))
 
@@ -294,21 +294,24 @@ def word_counts(docs: DataFrame, text_column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        ends = 0
+        ends = waiting = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                total = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
-                held.clear()
-                yield from total.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches(max_chunksize=1 << 16)
+        def summed() -> pa.Table:
+            total = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return total.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
         for batch in batches:
             for part in slices_of_bytes(batch, 0, TEXT_BYTES):
                 ends += part.num_rows
                 held.append(Words.of(part.column(0)).counts())
-                if sum(t.num_rows for t in held) > COUNTED:
-                    yield from out()
-        yield from out()
+                waiting += held[-1].num_rows
+                if waiting > COUNTED:
+                    held, waiting = [summed()], 0
+                    if held[0].num_rows > COUNTED:
+                        yield from held[0].to_batches(max_chunksize=1 << 16)
+                        held = []
+        if held:
+            yield from summed().to_batches(max_chunksize=1 << 16)
         yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([ends], pa.int64())], ["word", "n"])
 
     return docs.select(text_column).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
