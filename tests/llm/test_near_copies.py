@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from pairloom.llm.near_copies import drop_near_copies
 from pairloom.llm.simhash import fingerprint
 
 
@@ -50,3 +51,14 @@ def test_rows_of_one_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.near_duplicates_stage(spark, docs, "")
     assert sorted((x.doc_id or 0, x.text) for x in got.collect()) == [(0, a), (3, b), (7, a)]
+
+
+def test_names_that_clash(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "x", 1, 2, 3), (2, text + " more", "y", 4, 5, 6), (2, text + " more", "y", 4, 5, 6), (3, None, None, None, None, None), (4, "", "z", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, `set` long, own long, c0 long")
+    got = drop_near_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(x) for x in got.collect()) == [rows[0], rows[3]]
+    assert drop_near_copies(docs.limit(0)).count() == 0
+    assert sorted(x.doc_id for x in drop_near_copies(docs.where("doc_id > 1")).collect()) == [2, 3]
