@@ -45,6 +45,20 @@ def test_near_copies_stage(spark):
     assert sorted(tuple(x) for x in got.collect()) == plain_kept(rows)
 
 
+def test_crowded_bands(spark, monkeypatch):
+    """Texts that share most of a passage, far below the similarity, and pairs of near copies among them."""
+    monkeypatch.setattr("pairloom.llm.near_copies.CROWDED", 4)
+    r = random.Random(5)
+    passage = [f"p{k}" for k in range(120)]
+    texts = []
+    for k in range(60):
+        own = [f"o{k}x{j}" for j in range(60)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-2] + ["other", str(r.randrange(10**6))])]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(tuple(x) for x in got.collect()) == plain_kept(rows) == rows[::2]
+
+
 def test_rows_of_one_id(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(50)) for c in "ab")
     rows = [(3, b), (7, a), (7, b), (9, a), (None, a), (3, b)]
