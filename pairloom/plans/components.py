@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating star contraction.
 
-Every round is two aggregations and two joins on the edge table, written to the shared folder;
-nothing is collected and no task ever holds a component. A round rewires each node's edges to
+Every half of a round is an aggregation and a join on the edge table, written to the shared folder;
+nothing is collected and no task ever holds a component. A node with more than a thousandth of
+all edges is joined by broadcast, so that its edges stay where they are. A round rewires each node's edges to
 the least node it knows of, first on the larger side of the node and then on its smaller side,
 until each component is a star around its least node (about log2 of the node count rounds).
 """
@@ -14,16 +15,33 @@ from pyspark.sql import functions as F
 from pairloom.plans.scratch import drop_scratch, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Share of all rows from which on a key counts as hot, and rows from which on it can; there are no more hot keys than 1 / HOT.
+HOT, HOT_ROWS = 1 / 1000, 256
+
+
+def join_skewed(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with facts, which has one row for each key and, in _rows, how many of the `total` rows have it.
+
+    Facts of hot keys are broadcast, which at most 1 / HOT of them can be; the other rows are
+    joined as Spark sees fit.
+    """
+    hot = F.col("_rows") >= max(HOT_ROWS, HOT * total)
+    few = facts.where(hot).drop("_rows")
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(others.join(facts.where(~hot).drop("_rows"), key))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_rows")).select("u", F.least("u", "m").alias("m"), "_rows")
+    return join_skewed(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Edges point from the larger node u to the smaller node v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    pairs = edges.join(least, "u")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_rows"))
+    pairs = join_skewed(edges, least, "u", n)
+    least = least.drop("_rows")
     moved = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -44,7 +62,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now = materialise(ends.where("u <> v").distinct(), "edges")
     before = _state(now)
     while before[0]:
-        after = materialise(_small_star(_large_star(now)), "edges")
+        turned = materialise(_large_star(now, before[0]), "edges")
+        after = materialise(_small_star(turned, before[0]), "edges")
+        drop_scratch(turned)
         state = _state(after)
         drop_scratch(now)
         now = after
