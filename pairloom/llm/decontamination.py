@@ -54,8 +54,6 @@ class Index:
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
         seqs = [np.array([number(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int64) for _, t in items]
-        if len(self.vocabulary) >= 1 << 21:
-            raise ValueError("a block has at most two million different words")
         self.flat = np.concatenate([*seqs, np.zeros(0, np.int64)])
         base = np.cumsum([0, *map(len, seqs)])
         start, size, item = [], [], []
@@ -66,18 +64,22 @@ class Index:
             item.append(np.full(n, k))
         self.start, self.size, self.item = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (start, size, item))
         self.containment = containment
+        self.pairs: list[np.ndarray] = []  # two words are numbered among the block's pairs of words, a number and a word among those
+        for _ in range(SHINGLE - 1):
+            codes = self._codes(self.flat, len(self.pairs) + 1)
+            n = max(0, len(self.flat) - len(self.pairs) - 1)
+            self.pairs.append(np.unique((codes[:n] << 32) | self.flat[len(self.flat) - n :]))
         self.shingles = {k: np.unique(self._codes(self.flat, k)[self._inside(k)]) for k in range(1, SHINGLE + 1)}
 
     def _widths(self) -> np.ndarray:
         return np.minimum(self.size, SHINGLE)
 
-    @staticmethod
-    def _codes(ids: np.ndarray, k: int) -> np.ndarray:
-        """Each run of k words as one number; exact, since word numbers have 21 bits."""
-        n = max(0, len(ids) - k + 1)
-        out = ids[:n].copy()
+    def _codes(self, ids: np.ndarray, k: int) -> np.ndarray:
+        """Each run of k words of the block as one number, for any number of different words."""
+        out = ids
         for j in range(1, k):
-            out = (out << 21) | ids[j : n + j]
+            n = max(0, len(ids) - j)
+            out = np.searchsorted(self.pairs[j - 1], (out[:n] << 32) | ids[len(ids) - n :])
         return out
 
     def _inside(self, k: int) -> np.ndarray:
@@ -101,9 +103,12 @@ class Index:
         for j in range(1, k):
             ok &= all_known[j : n + j]
         at = np.flatnonzero(ok)
-        code = ids[at].copy()
+        code = ids[at]
         for j in range(1, k):
-            code = (code << 21) | ids[at + j]
+            step = (code << 32) | ids[at + j]
+            code = np.searchsorted(self.pairs[j - 1], step)
+            there = self.pairs[j - 1][np.minimum(code, len(self.pairs[j - 1]) - 1)] == step
+            at, code = at[there], code[there]
         which = np.searchsorted(known, code)
         hit = known[np.minimum(which, len(known) - 1)] == code
         return at[hit], which[hit]
