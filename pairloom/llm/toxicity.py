@@ -41,12 +41,10 @@ WORD = re.compile(r"\w+")
 END = "$"
 SHORTEST, LONGEST = 3, 8
 FUZZY_LENGTH = 5
-#: Entries of the lexicon at most; the strongest by weight.
-LEXICON = 2_000
 #: Characters on each side of a match that its context covers.
 AROUND = 48
 #: Words whose match a worker remembers; beyond it the memory is emptied. Changes the speed only.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 QUOTES = re.compile("[\"“”„«»‘‹›]")
 #: Verbs and nouns of reporting in the languages of the documents.
 REPORTING = re.compile(r"\b(?:said|says|quote[ds]?|wrote|called|term|word|slur|sagte|schrieb|zitat|zitiert|wort|dit|cite|citation|mot|dijo|cita|palabra)\b")
@@ -138,7 +136,7 @@ def terms(text: str) -> set[str]:
     return out
 
 
-def choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int, limit: int = LEXICON) -> dict[str, float]:
+def choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Entries from the numbers of toxic and clean documents that hold each term."""
     least = max(4, round(0.004 * toxic))
 
@@ -162,7 +160,7 @@ def choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int, limit: in
             continue  # a longer beginning says the same
         kept[t] = weight(p, n)
         done.add(t)
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:limit])
+    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0])))
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
