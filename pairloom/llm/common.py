@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.plans.scratch import materialise  # noqa: F401  for the operators
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark only (the folder may be in any store)."""
@@ -22,6 +26,25 @@ def map_batches(df: DataFrame, columns: list[str], schema: str, rows: Callable[[
     return df.select(*columns).mapInArrow(rows, schema)
 
 
+def give_back() -> None:
+    """Hand memory that is free back to the system: a worker lives on from task to task, and what an earlier one held counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of about that many bytes for what is run inside, for rows that hold texts."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batch in parts of few rows, so that what is made from long texts stays small."""
     for at in range(0, batch.num_rows, rows):
@@ -47,6 +70,7 @@ def keep_rows(df: DataFrame, text_column: str, kept: Callable[[list[bytes]], lis
     """The rows whose text kept() says yes to, with all their columns; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for part in slices(batch):
                 yield part.filter(pa.array(kept(utf8(part.column(at))), pa.bool_()))

@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pairloom.llm import ann
-from pairloom.llm.decontamination import decontaminate, drop_contaminated
-from pairloom.llm.simhash import cell_masks, drop_near_duplicates, fingerprint, links, near_duplicates
+from pairloom.llm.decontamination import Index, decontaminate, drop_contaminated
+from pairloom.llm.simhash import GRIDS, cell_masks, drop_near_duplicates, fingerprint, links, near_duplicates
 from pairloom.plans.components import connected_components
 
 
@@ -38,14 +38,14 @@ def test_fingerprint(text):
 
 
 def test_cells_never_miss():
-    masks = cell_masks(2)
     r = random.Random(0)
+    grids = [cell_masks(2, n) for n in GRIDS]
     for _ in range(500):
         a = r.getrandbits(64)
         b = a ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64))
         u = lambda x: (x | x >> 1) & 0x5555555555555555 | ((x & x >> 1 & 0x5555555555555555) << 1)
         assert (u(a) ^ u(b)).bit_count() <= (a ^ b).bit_count()
-        assert any((u(a) ^ u(b)) & (m % 2**64) == 0 for m in masks)
+        assert all(any((u(a) ^ u(b)) & (m % 2**64) == 0 for m in masks) for masks in grids)
 
 
 def test_links_of_crowded_cells(spark):
@@ -62,8 +62,8 @@ def test_links_of_crowded_cells(spark):
 def test_near_duplicates(spark):
     base = " ".join(random.Random(2).choice("ka lo mi ru te so".split()) + str(k) for k in range(400))
     texts = [base, base + " end", None, "", "other words here", base.upper(), base, "x " * 20_000]
-    rows = [(k * 10, t, "c") for k, t in enumerate(texts)] + [(None, "", "c")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    rows = [(k * 10, t, "c", 7, 8) for k, t in enumerate(texts)] + [(None, "", "c", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, _id long, c1 long")
     got = {(x.doc_id, x.fingerprint): x.component_id for x in near_duplicates(docs).collect()}
     fps = [plain_fingerprint(t) for t in texts]
     for k, (f, p) in enumerate(zip(fps, plain_groups(fps), strict=True)):
@@ -118,6 +118,16 @@ def test_decontamination(spark, block):
     assert decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_many_words():
+    """More different words in a block than 21 bits number."""
+    n = (1 << 21) + 500
+    index = Index([("a", " ".join(f"w{k:x}" for k in range(n)).encode())], 10)
+    index.order({k: np.zeros(len(v), np.int64) for k, v in index.shingles.items()})
+    ids = index.number([f"w{k:x}".encode() for k in range(n - 12, n)])
+    windows, places = index.hits(ids)
+    assert sorted(places.tolist()) == [0, 1, 2] and sorted(index.start[windows].tolist()) == [n - 12, n - 11, n - 10]
+
+
 def test_partial_containment(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x a b c d e f g h i Z"), (2, "a b c d e q q q q q")], "doc_id long, text string")

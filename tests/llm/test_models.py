@@ -206,6 +206,11 @@ def test_automaton_is_exact():
         assert lexicon.match(word) == best, word
 
 
+def test_lexicon_has_every_term():
+    counts = {f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}zz$": (10, 0) for k in range(5000)}
+    assert len(toxicity.choose(counts, 20, 20)) == 5000
+
+
 def test_toxicity(spark):
     def make(r, k):
         words = sentences(r, r.randint(5, 60)).split()
