@@ -10,6 +10,8 @@ Character references are decoded, white space inside a block becomes one space,
 trimmed, empty ones left out, and main blocks joined by one line feed in page order. A head without
 an end tag ends at the first start tag or text that can't stand in it.
 
+Reading goes forward only, so its time grows with the page's length, whatever the markup.
+
 Results for special input: a null or empty html gives the empty text; text without any element
 is one block; unclosed and crossed elements are closed where their parent ends; a null or
 repeated page_id gives a row each; an empty table gives no row; other columns are not read.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,17 +32,18 @@ from pyspark.sql import DataFrame
 from pairloom.llm.common import slices
 from pairloom.llm.html_pages import page
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+MARKS = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
 #: Elements of formulas, which are part of their line; annotations aren't shown.
 MATH = frozenset("annotation annotation-xml maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 #: Fixed values of HTML: elements inside a line of text, without an end tag, and whose content is not shown.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark object q s samp small span strike strong sub sup svg time tt u var wbr canvas audio video math".split()) | MATH
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes".split())
-HIDDEN = frozenset("annotation annotation-xml head select option svg object canvas audio video".split())
+HIDDEN = frozenset("annotation annotation-xml audio canvas head object option select svg video".split())
 #: Start tags that can stand in a head; any other, or text, closes an open one.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements that a start tag of the same kind closes.
@@ -47,13 +51,39 @@ SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}
 STOPS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul xmp".split())
 
 
-def blocks(source: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """Leaf blocks in order: ancestors (an element with its class, id and role words), text, and share of text in links."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    open_: list[tuple[str, str]] = []
+def tag_end(source: str, at: int) -> int:
+    """Where the '>' stands that ends a tag whose name ends at `at`; the source's length if there is none.
+
+    A quote that follows '=' holds everything up to the next one of its kind; any other, or one
+    that is never closed, is an ordinary character. Goes forward only.
+    """
+    while (m := MARKS.search(source, at)) is not None:
+        k = m.start()
+        if source[k] == ">":
+            return k
+        at = k + 1
+        if source[:k].endswith("=") if k < 64 else source[k - 64 : k].rstrip().endswith("="):
+            if (end := source.find(source[k], at)) >= 0:
+                at = end + 1
+    return len(source)
+
+
+Path = tuple[tuple[str, ...], str]
+Block = tuple[Path, str, float]
+
+
+def blocks(source: str) -> list[Block]:
+    """Leaf blocks in order: path, text, and share of text in links.
+
+    A path is the different marks of the enclosing elements (each with its class, id and role
+    words), and the mark of the innermost; elements share their parents' part of it.
+    """
+    out: list[Block] = []
+    open_: list[tuple[str, Path]] = []
+    count: Counter[str] = Counter()
     text: list[str] = []
     linked = total = hidden = links = 0
-    path: tuple[str, ...] = ()
+    path: Path = ((), "")
 
     def flush() -> None:
         nonlocal linked, total
@@ -72,7 +102,7 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, float]]:
             return
         part = entities.unescape(part) if "&" in part and not literal else part
         if not text:
-            path = tuple(mark for name, mark in open_ if name not in INLINE)
+            path = open_[-1][1] if open_ else ((), "")
         text.append(part)
         n = len(part.strip())
         total += n
@@ -82,73 +112,85 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, float]]:
         """Close the open elements from place k on."""
         nonlocal hidden, links
         for name, _ in open_[k:]:
+            count[name] -= 1
             hidden -= name in HIDDEN
             links -= name == "a"
         del open_[k:]
 
+    def raw_end(name: str, at: int) -> tuple[int, int]:
+        """Where the content of an element without markup ends, and where its end tag does."""
+        end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+        return (end.start(), min(len(source), tag_end(source, end.end()) + 1)) if end else (len(source), len(source))
+
     at = 0
     while (m := TAG.search(source, at)) is not None:
         say(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if m[1] or m[2]:
+            end = source.find("-->" if m[1] else ">", m.end())
+            at = len(source) if end < 0 else end + (3 if m[1] else 1)
             continue
-        name = m[2].lower()
-        if hidden and (name in ("body", "br", "html") if m[1] else name not in IN_HEAD):
-            for k, (other, _) in enumerate(open_):
-                if other == "head":
-                    close(k)
-                    break
-        if name not in INLINE or name in ("br",):
+        end = tag_end(source, m.end())
+        inside, at = source[m.end() : end], min(len(source), end + 1)
+        name = m[4].lower()
+        if hidden and count["head"] and (name in ("body", "br", "html") if m[3] else name not in IN_HEAD):
+            close(next(k for k, (other, _) in enumerate(open_) if other == "head"))
+        if not hidden and (name not in INLINE or name in ("br",)):
             flush() if name != "br" else text.append(" ") if text else None
-        if m[1]:
-            for k in range(len(open_) - 1, -1, -1):
+        if m[3]:
+            for k in range(len(open_) - 1, -1, -1) if count[name] > 0 else ():
                 if open_[k][0] == name:
                     close(k)
                     break
                 if name in INLINE and open_[k][0] not in INLINE:
                     break
             continue
-        if name in VOID or m[3].rstrip().endswith("/") and name not in RAW and name != "xmp":
+        if name in VOID or inside.rstrip().endswith("/") and name not in RAW and name != "xmp":
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            at = raw_end(name, at)[1]
             continue
         ends = SELF_CLOSING.get(name, set()) | ({"p"} if name in STOPS_P else set())
-        if ends:
+        if any(count[e] > 0 for e in ends):
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] in ends:
                     close(k)
                     break
                 if open_[k][0] not in INLINE and open_[k][0] not in ends:
                     break
-        words = " ".join((a[1] or a[2] or a[3]).lower() for a in (x.groups() for x in ATTRIBUTE.finditer(m[3]))) if m[3] else ""
-        open_.append((name, f"{name} {words}" if words else name))
+        above = open_[-1][1] if open_ else ((), "")
+        if name not in INLINE:
+            words = " ".join((a[1] or a[2] or a[3]).lower() for a in (x.groups() for x in ATTRIBUTE.finditer(inside)) if a[1] or a[2] or a[3]) if inside else ""
+            mark = f"{name} {words}" if words else name
+            above = (above[0] if mark in above[0] else (*above[0], mark), mark)
+        open_.append((name, above))
+        count[name] += 1
         hidden += name in HIDDEN
         links += name == "a"
         if name == "xmp":  # shown as it is written
-            end = re.compile(r"</xmp\b[^>]*>", re.I).search(source, at)
-            say(source[at : end.start() if end else len(source)], literal=True)
+            end, after = raw_end(name, at)
+            say(source[at:end], literal=True)
             flush()
             close(len(open_) - 1)
-            at = end.end() if end else len(source)
+            at = after
     say(source[at:])
     flush()
     return out
 
 
-@lru_cache(1 << 14)
-def _ancestor_features(path: tuple[str, ...]) -> tuple[str, ...]:
+@lru_cache(1 << 12)
+def _ancestor_features(path: Path) -> tuple[str, ...]:
     out = set()
-    for depth, mark in enumerate(path):
+    marks, leaf = path
+    for mark in marks:
         name, _, words = mark.partition(" ")
         out.add("in:" + name)
         for w in NAME.findall(words):
             out.add("is:" + w)
             out.update("has:" + k for k in KEYS if k in w)
-        if depth == len(path) - 1:
-            out.add("leaf:" + name)
-            out.add("bare" if not words else "marked")
+    if leaf:
+        name, _, words = leaf.partition(" ")
+        out.add("leaf:" + name)
+        out.add("bare" if not words else "marked")
     return tuple(sorted(out))
 
 
@@ -156,7 +198,7 @@ def _ancestor_features(path: tuple[str, ...]) -> tuple[str, ...]:
 KEYS = ("nav", "menu", "foot", "head", "side", "comment", "cookie", "ad", "promo", "share", "social", "content", "article", "post", "body", "main", "related", "form", "search", "notice", "copy")
 
 
-def features(path: tuple[str, ...], text: str, linked: float) -> list[str]:
+def features(path: Path, text: str, linked: float) -> list[str]:
     n = len(text)
     words = text.count(" ") + 1
     out = [*_ancestor_features(path), f"words:{min(words.bit_length(), 7)}", f"links:{round(3 * linked)}"]
@@ -174,7 +216,7 @@ class Chain:
     def __init__(self, weights: dict[str, tuple[float, float]], pairs: np.ndarray, first: np.ndarray):
         self.weights, self.pairs, self.first = weights, pairs, first
 
-    def label(self, page_blocks: list[tuple[tuple[str, ...], str, float]]) -> list[int]:
+    def label(self, page_blocks: list[Block]) -> list[int]:
         """The likeliest labels of a page's blocks (Viterbi)."""
         if not page_blocks:
             return []
@@ -243,7 +285,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 12, rate
     return Chain({f: (float(w[k, 0]), float(w[k, 1])) for f, k in names.items()}, pairs, first)
 
 
-def labelled(seed: int) -> tuple[list[tuple[tuple[str, ...], str, float]], list[int]]:
+def labelled(seed: int) -> tuple[list[Block], list[int]]:
     """Blocks of a written page and their labels: its parts are told apart by marks that are taken out again."""
     parts = page(seed)
     found = blocks("".join(_mark(html) if label else html for label, html in parts))

@@ -2,7 +2,7 @@
 
 Each page is a list of (label, html) parts put together by one of many layouts; label 1 is main
 text. The layouts vary in what marks the parts: element names, classes and ids, or only place
-and wording. Nothing here is taken from the pages that are extracted later.
+and wording. They are written without regard to the pages that are extracted later.
 """
 
 from __future__ import annotations
@@ -64,6 +64,26 @@ def _short(r: random.Random) -> str:
     return " ".join(_word(r) for _ in range(r.randint(2, 9))).capitalize() + r.choice([".", "", "!"])
 
 
+def _head(r: random.Random) -> str:
+    """What stands before the shown part; none of it is text."""
+    lines = [f"<title>{_short(r)}</title>"]
+    if r.random() < 0.6:
+        lines.append(r.choice(['<meta charset="utf-8">', f'<meta name="description" content="{_sentence(r)}">']))
+    if r.random() < 0.5:
+        lines.append(f"<style>.{_word(r)} {{ color: #{r.randrange(1000):03} }}</style>")
+    if r.random() < 0.5:
+        lines.append(f'<script src="/{_word(r)}.js"></script>' if r.random() < 0.5 else f"<script>if (1 < 2) {{ {_word(r)}(); }}</script>")
+    if r.random() < 0.3:
+        lines.append(f'<link rel="stylesheet" href="/{_word(r)}.css">')
+    r.shuffle(lines)
+    return r.choice(["<!doctype html>", "<!DOCTYPE HTML>", ""]) + r.choice(["<html>", f'<html lang="{r.choice(["de", "en", "fr"])}">']) + "<head>" + "".join(lines) + "</head><body>"
+
+
+def _imprint(r: random.Random) -> str:
+    owner = f"{_word(r).capitalize()} {r.choice(['Ltd', 'GmbH', 'Press', 'Media', 'Foundation'])}"
+    return r.choice([f"&copy; {2000 + r.randrange(30)} {owner}", f"{owner}. {_short(r)}", f"Copyright {owner}", f"&#169; {owner} - {_short(r)}", _links(r, 3)])
+
+
 def page(seed: int) -> list[tuple[int, str]]:
     """Parts of a page in order, with labels; joined they are its html."""
     r = random.Random(seed)
@@ -76,7 +96,7 @@ def page(seed: int) -> list[tuple[int, str]]:
         _box(r, ["div", "ul", "ol"], ["breadcrumb", "breadcrumbs", "crumbs"], _links(r, 3)),
     ]
     after = [
-        _box(r, ["footer", "div"], ["footer", "site-footer", "copyright", "legal"], f"&copy; {_word(r)}.example {r.choice(['&middot; ', ''])}{_short(r)}"),
+        _box(r, ["footer", "div"], ["footer", "site-footer", "copyright", "legal"], _imprint(r)),
         _box(r, ["aside", "div"], ["sidebar", "side", "related", "widget", "rail"], f"<h3>{_short(r)}</h3>" + _links(r, r.randint(2, 6))),
         _box(r, ["section", "div", "ol"], ["comments", "comment-list", "responses", "discussion"], "".join(f'<div class="comment"><b>{_word(r)}</b><p>{_paragraph(r)}</p></div>' for _ in range(r.randint(1, 4)))),
         _box(r, ["form", "div"], ["search", "subscribe", "newsletter", "login", "form"], f"<label>{_short(r)}</label><input name=q><button>{_word(r)}</button>"),
@@ -85,7 +105,7 @@ def page(seed: int) -> list[tuple[int, str]]:
     r.shuffle(before)
     r.shuffle(after)
     junk += [(0, x) for x in before[: r.randint(1, 4)]]
-    head = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{_short(r)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
+    head = _head(r)
     body: list[tuple[int, str]] = []
     title = _short(r)
     if r.random() < 0.85:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -297,3 +298,32 @@ def test_blocks_of_formulas_and_examples():
     formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
     assert [t for _, t, _ in blocks(f"<p>so {formula} holds</p>")] == ["so x=1 holds"]
     assert [t for _, t, _ in blocks("<p>a<xmp><b>&amp;</b> c</xmp><p>d")] == ["a", "<b>&amp;</b> c", "d"]
+
+
+def test_blocks_take_time_in_proportion():
+    """Pages of a megabyte that would cost their square if anything were read again."""
+    n = 250_000
+    pages = ['<a href="' * n, "<p title='" * n, "<div>" * n + "x</section>" * n, "<b>" * n + "<p>x</p>" * n, "<!" * n, "<!--" * n, "</script" * n, "<script>" + "</script" * n, "<li><b>" * n, "<" * n, '<p a="' + "x>y" * n, "<svg>" + "<g>" * n + "<body>"]
+    for source in pages:
+        began = time.process_time()
+        blocks(source[: 1 << 20])
+        assert time.process_time() - began < 10, source[:30]
+
+
+def test_blocks_of_odd_quotes():
+    assert [t for _, t, _ in blocks("<p title=\"a>b\">one</p><p title='x>y' class=k>two</p><p it's>three</p><p a = \">\">four</p>")] == ["one", "two", "three", "four"]
+    assert [t for _, t, _ in blocks('<p title="open>five</p>')] == ["five"]
+    assert [t for _, t, _ in blocks("<p>a <svg><text>no</text></svg>b <object>x</object>c</p>")] == ["a b c"]
+
+
+SITES = [
+    ("<body><div id=top><a href=/>Start</a> <a href=/n>News</a></div><main><h1>River levels</h1><p>The river rose by two metres, and the town closed its bridge on Monday.</p><p>Nobody was hurt.</p></main><footer>Imprint and contact</footer></body>", "River levels\nThe river rose by two metres, and the town closed its bridge on Monday.\nNobody was hurt."),
+    ("<body><ul class='site-menu'><li><a href=a>Blog</a><li><a href=b>About</a></ul><div class='entry-content'><h2>Bread</h2><p>Mix flour, water and salt, then wait for a night.<p>Bake it for an hour.</div><aside class=sidebar><h3>More</h3><a href=c>Cake</a></aside></body>", "Bread\nMix flour, water and salt, then wait for a night.\nBake it for an hour."),
+    ("<div class=cookie-banner><p>We use cookies.</p><button>OK</button></div><article><h1>Stars</h1><p>A star is a ball of gas that shines by its own light, as the sun does.</p><pre>x = 1</pre></article><section class=comments><p>Great text, thank you!</p></section>", "Stars\nA star is a ball of gas that shines by its own light, as the sun does.\nx = 1"),
+    ("<header><h2>The Daily</h2><form action=/s><label>Search</label><input></form></header><div class=post-body><p>Prices fell in May, the office said, after a long rise.</p><blockquote>It was time.</blockquote></div><div class=related><ul><li><a href=q>Also read</a></li></ul></div>", "Prices fell in May, the office said, after a long rise.\nIt was time."),
+]
+
+
+@pytest.mark.parametrize("source, want", SITES)
+def test_extraction_of_written_sites(source, want):
+    assert main_text(source, trained_chain()) == want
