@@ -14,6 +14,7 @@ library does by default; an empty table gives no row; other columns are not read
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,10 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 NONE = np.iinfo(np.int32).max
 
 
+#: A space behind white space, in UTF-8.
+SPACED = re.compile(rb"(?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80) ")
+
+
 class PairRanks:
     """Rank and result of each mergeable pair, found by two open hash tables without probing."""
 
@@ -139,8 +144,8 @@ class RankMerger:
         """Parts of the text whose counts add up to the text's, and the special tokens between them.
 
         A pre-token takes a space only at its front, so a text can be cut in front of any space
-        that follows a non-space. Where spaces follow each other, the pattern looks ahead; such
-        texts are cut by the pattern itself.
+        that follows a non-space. Where a space follows white space, the pattern looks ahead;
+        texts in which one does are cut by the pattern itself.
         """
         special = 0
         if self.cut and any(s.encode() in text for s in self.special):
@@ -155,7 +160,7 @@ class RankMerger:
     def _pieces_plain(self, text: bytes) -> list[bytes]:
         if not text:
             return []
-        if b"  " in text:
+        if SPACED.search(text):
             return [x.encode("utf-8") for x in self.pattern.findall(text.decode("utf-8"))]
         head, *rest = text.split(b" ")
         return ([head] if head else []) + [b" " + x for x in rest]
