@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,18 +34,22 @@ from pairloom.llm.encoding import encoder
 
 #: Ids a shard holds before the next one begins.
 SHARD_IDS = 1 << 20
+#: Bytes of text for each range of doc_id, ranges at most (their bounds are held by the driver and every task), and documents whose offsets are selected at once.
+PART_BYTES, MOST_PARTS, READ_DOCS = 64 << 20, 10_000, 4096
 HEAD = struct.Struct("<4sIQQIQ")
 
 
 class EliasFano:
-    """A monotone sequence of integers in near-minimal space, with select by block counts."""
+    """A monotone sequence of integers in near-minimal space, with select by block counts of 32 bits."""
 
     BLOCK = 64
 
     def __init__(self, count: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.count, self.low_bits, self.low, self.high = count, low_bits, low, high
-        ones = np.bitwise_count(high).astype(np.int64)
-        self.before = np.concatenate([[0], np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), self.BLOCK)))]) if len(ones) else np.zeros(1, np.int64)
+        if count >= 1 << 32:
+            raise ValueError("a shard holds fewer than 2^32 documents")
+        ones = np.add.reduceat(np.bitwise_count(high), np.arange(0, len(high), self.BLOCK), dtype=np.uint32) if len(high) else np.zeros(0, np.uint32)
+        self.before = np.append(np.uint32(0), np.cumsum(ones, dtype=np.uint32))
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -69,21 +72,19 @@ class EliasFano:
         got = (self.low[bit >> 3] >> (bit & 7)) & 1
         return (got.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
-    def select(self, i: int) -> int:
-        """Value i: the block that holds the i-th set bit by bisection, then its place inside."""
-        if not 0 <= i < self.count:
-            raise IndexError(i)
-        block = bisect_left(self.before, i + 1) - 1
-        part = self.high[block * self.BLOCK : (block + 1) * self.BLOCK]
-        place = int(np.flatnonzero(np.unpackbits(part, bitorder="little"))[i - int(self.before[block])])
-        high = block * self.BLOCK * 8 + place - i
-        return (high << self.low_bits) | int(self._low(np.array([i]))[0])
-
-    def values(self) -> np.ndarray:
-        """All values, as select() would return them one by one."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
-        index = np.arange(self.count)
-        return ((at - index) << self.low_bits) | self._low(index)
+    def select(self, first: int, n: int = 1) -> np.ndarray:
+        """Values first, first + 1, ... (n of them): the blocks that hold their set bits by bisection, then the places inside."""
+        if not 0 <= first <= first + n <= self.count:
+            raise IndexError(first)
+        index = np.arange(first, first + n)
+        if not n:
+            return index
+        begin = int(np.searchsorted(self.before, first, side="right")) - 1
+        end = int(np.searchsorted(self.before, first + n - 1, side="right"))
+        part = np.unpackbits(self.high[begin * self.BLOCK : end * self.BLOCK], bitorder="little")
+        skip = first - int(self.before[begin])
+        place = np.flatnonzero(part)[skip : skip + n] + begin * self.BLOCK * 8
+        return ((place - index) << self.low_bits) | self._low(index)
 
     def n_bytes(self) -> int:
         return self.low.nbytes + self.high.nbytes
@@ -119,14 +120,18 @@ class Shard:
         self.flat = np.frombuffer(blob, f"<u{width}", self.n_ids, at + high)
 
     def offset(self, i: int) -> int:
-        return self.ends.select(i)
+        return int(self.ends.select(i)[0])
 
     def ids(self, i: int) -> np.ndarray:
-        return self.flat[self.offset(i) : self.offset(i + 1)].astype("<u4")
+        a, b = self.ends.select(i, 2).tolist()
+        return self.flat[a:b].astype("<u4")
 
 
-def _ranges(docs: DataFrame, id_column: str, parts: int) -> list[float]:
-    """Bounds that cut doc_id into ranges of about as many rows; reads that column alone."""
+def _ranges(docs: DataFrame, id_column: str, text_column: str, parts: int | None) -> list[float]:
+    """Bounds that cut doc_id into ranges of about as many rows, one for PART_BYTES of text."""
+    if parts is None:
+        total = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+        parts = min(MOST_PARTS, -(-total // PART_BYTES))
     if parts < 2:
         return []
     share = [k / parts for k in range(1, parts)]
@@ -139,10 +144,11 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, *, id_column: str =
 
     Its columns: part int, shard int (both ascending with doc_id), before long (ids of the part
     that lie in earlier shards), n_docs long, n_ids long, blob binary. Rows are encoded once,
-    before the only shuffle, which moves ids and no texts.
+    before the only shuffle, which moves ids and no texts. The number of ranges follows the
+    texts' bytes; a range is sorted (and spilled) by Spark and written shard by shard, so a task
+    holds one shard, however many rows have one doc_id.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(_ranges(docs, id_column, parts))
+    bounds = np.array(_ranges(docs, id_column, text_column, parts))
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +201,10 @@ def read_token_index(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, before, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 shard = Shard(blob)
-                ends = shard.ends.values()
-                ids = [shard.flat[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts[part] + before + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for at in range(0, shard.n_docs, READ_DOCS):
+                    n = min(READ_DOCS, shard.n_docs - at)
+                    ends = shard.ends.select(at, n + 1)
+                    ids = [shard.flat[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[at : at + n], pa.int64()), pa.array(starts[part] + before + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.select("part", "before", "blob").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

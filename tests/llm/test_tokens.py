@@ -15,7 +15,7 @@ from pairloom.llm.token_counts import RankMerger, count_tokens
 from pairloom.llm.token_output import EliasFano, Shard, read_token_index, write_shard, write_token_shards
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-TEXTS = [None, "", " ", "Hello, world.", "a  b\n\n  c\t d", "<|endoftext|> x<|endoftext|>", "İstanbul ΣΑΣ é, €. don't I'M ½", "aaaa" * 300, "x" + " y" * 400, "<|ENDOFTEXT|> 'S foo\x1cbar", "naïve. café, 日本語テキスト。"]
+TEXTS = [None, "", " ", "Hello, world.", "a  b\n\n  c\t d", "<|endoftext|> x<|endoftext|>", "İstanbul ΣΑΣ é, €. don't I'M ½", "aaaa" * 300, "x" + " y" * 400, "<|ENDOFTEXT|> 'S foo\x1cbar", "naïve. café, 日本語テキスト。", "a\n \nb \n c\u3000 d\t \te"]
 SCHEMA = "doc_id long, text string, start string, ids long"
 
 
@@ -60,8 +60,18 @@ def test_counts(docs, libraries):
 def test_elias_fano(steps):
     values = np.cumsum(steps) if steps else np.zeros(0, np.int64)
     coded = EliasFano.encode(values)
-    assert coded.values().tolist() == values.tolist()
-    assert [coded.select(k) for k in range(len(values))] == values.tolist()
+    assert coded.select(0, len(values)).tolist() == values.tolist()
+    assert [coded.select(k).tolist() for k in range(len(values))] == [[v] for v in values.tolist()]
+    assert coded.before.dtype == np.uint32
+
+
+def test_select_over_many_blocks():
+    values = np.cumsum(np.random.default_rng(0).integers(0, 900, 60_000))
+    coded = EliasFano.encode(values)
+    for first, n in ((0, 60_000), (0, 1), (511, 2), (59_999, 1), (30_000, 4097), (60_000, 0)):
+        assert (coded.select(first, n) == values[first : first + n]).all()
+    with pytest.raises(IndexError):
+        coded.select(60_000)
 
 
 def test_shard_round_trip():
