@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.plans.scratch import materialise  # noqa: F401  for the operators
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark only (the folder may be in any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,15 +30,9 @@ def give_back() -> None:
         trim(0)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """Arrow batches of about that many bytes for what is run inside, for rows that hold texts."""
-    before = spark.conf.get(BATCH_BYTES)
-    spark.conf.set(BATCH_BYTES, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_BYTES, before)
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of about that many bytes from here on: texts vary in length, and a batch is in memory several times on its way."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import unicodedata
 import numpy as np
 
 #: Distinct words a worker remembers; beyond it the memory is emptied. Changes the speed only.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 
 
 def _shown_bytes() -> dict[int, str]:

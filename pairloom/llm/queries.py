@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import ann, quality, toxicity
-from pairloom.llm.common import table
+from pairloom.llm.common import small_batches, table
 from pairloom.llm.decontamination import decontaminate
 from pairloom.llm.html_extract import extract_text
 from pairloom.llm.lm import score_texts
@@ -64,17 +64,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+#: Each asks for small Arrow batches first, a setting of the session that bounds the tasks' memory.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_lm_scoring": op1_lm_scoring,
-    "op2_nearest_neighbours": op2_nearest_neighbours,
-    "op3_token_counts": op3_token_counts,
-    "op4_near_duplicates": op4_near_duplicates,
-    "op5_html_extraction": op5_html_extraction,
-    "op6_toxicity": op6_toxicity,
-    "op7_packing": op7_packing,
-    "op8_quality": op8_quality,
-    "op9_token_output": op9_token_output,
-    "op10_decontamination": op10_decontamination,
+    q.__name__: _bounded(q)
+    for q in (
+        op1_lm_scoring,
+        op2_nearest_neighbours,
+        op3_token_counts,
+        op4_near_duplicates,
+        op5_html_extraction,
+        op6_toxicity,
+        op7_packing,
+        op8_quality,
+        op9_token_output,
+        op10_decontamination,
+    )
 }
 WORDS = r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 #: The other operators need hashes, tokenizers, learned models or an approximate index, which SQL doesn't have.
