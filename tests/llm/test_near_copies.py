@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from pairloom.llm.near_copies import drop_near_copies
+from pairloom.llm.near_copies import drop_near_copies, prefixes
 from pairloom.llm.simhash import fingerprint
 
 
@@ -45,9 +45,8 @@ def test_near_copies_stage(spark):
     assert sorted(tuple(x) for x in got.collect()) == plain_kept(rows)
 
 
-def test_crowded_bands(spark, monkeypatch):
+def test_crowded_bands(spark):
     """Texts that share most of a passage, far below the similarity, and pairs of near copies among them."""
-    monkeypatch.setattr("pairloom.llm.near_copies.CROWDED", 4)
     r = random.Random(5)
     passage = [f"p{k}" for k in range(120)]
     texts = []
@@ -76,3 +75,16 @@ def test_names_that_clash(spark):
     assert sorted(tuple(x) for x in got.collect()) == [rows[0], rows[3]]
     assert drop_near_copies(docs.limit(0)).count() == 0
     assert sorted(x.doc_id for x in drop_near_copies(docs.where("doc_id > 1")).collect()) == [2, 3]
+
+
+def test_prefixes_meet(spark):
+    """Any two sets similar enough share a shingle of their prefixes."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(x if r.random() > 0.015 * (k % 4) else f"z{r.randrange(40)}" for x in base[r.randrange(5) :]) for k in range(60)]
+    found = spark.createDataFrame(list(enumerate(texts)), "`set` long, text string").repartition(3)
+    own = {}
+    for x in prefixes(found, 0.8, 5).collect():
+        own.setdefault(x["set"], set()).add(x.shingle)
+    close = [(a, b) for a in range(60) for b in range(a) if similarity(texts[a], texts[b]) >= 0.8]
+    assert len(close) > 100 and all(own[a] & own[b] for a, b in close)
