@@ -35,7 +35,7 @@ from pairloom.llm.encoding import encoder
 #: Ids a shard holds before the next one begins.
 SHARD_IDS = 1 << 20
 #: Bytes of text for each range of doc_id, ranges at most (their bounds are held by the driver and every task), and documents whose offsets are selected at once.
-PART_BYTES, MOST_PARTS, READ_DOCS = 64 << 20, 10_000, 4096
+PART_BYTES, MOST_PARTS, READ_DOCS = 16 << 20, 10_000, 4096
 HEAD = struct.Struct("<4sIQQIQ")
 
 
