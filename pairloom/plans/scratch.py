@@ -13,8 +13,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir, or a local one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset and all runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return named or LOCAL_SCRATCH
 
 
 def new_path(spark: SparkSession, name: str) -> str:
