@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from pairloom.llm.near_copies import drop_near_copies, prefixes
+from pairloom.llm.near_copies import drop_near_copies, meetings, prefixes
 from pairloom.llm.simhash import fingerprint
 
 
@@ -88,3 +88,24 @@ def test_prefixes_meet(spark):
         own.setdefault(x["set"], set()).add(x.shingle)
     close = [(a, b) for a in range(60) for b in range(a) if similarity(texts[a], texts[b]) >= 0.8]
     assert len(close) > 100 and all(own[a] & own[b] for a, b in close)
+
+
+def test_meetings_lose_no_pair(spark):
+    """Texts of many sizes from one: every pair similar enough is a candidate, few others are."""
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(150):
+        cut = base[r.randrange(12) : len(base) - r.randrange(12)]
+        rate = 0.006 * (k % 6)
+        texts.append(" ".join(x if r.random() > rate else f"z{r.randrange(400)}" for x in cut))
+    texts += [f"a b c d e{k}" for k in range(5)] + ["a", "a b"]
+    sizes = [max(1, len({tuple(w[i : i + 5]) for i in range(len(w) - 4)})) for w in map(str.split, texts)]
+    found = spark.createDataFrame(list(enumerate(texts)), "`set` long, text string").repartition(3)
+    facts = spark.createDataFrame([(k, n, k // 2) for k, n in enumerate(sizes)], "`set` long, n long, c long")
+    got = {tuple(x) for x in meetings(prefixes(found, 0.8, 5).join(facts, "set"), 0.8).collect()}
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if a // 2 != b // 2]
+    close = {(a, b) for a, b in pairs if similarity(texts[a], texts[b]) >= 0.8}
+    assert len(close) > 100 and close <= got
+    assert len(got) < len(pairs) / 2
+    assert meetings(prefixes(found.limit(0), 0.8, 5).join(facts, "set"), 0.8).count() == 0
