@@ -16,6 +16,7 @@ from pairloom.llm.packing import pack_documents
 from pairloom.llm.simhash import near_duplicates
 from pairloom.llm.token_counts import count_tokens
 from pairloom.llm.token_output import read_token_index, write_token_shards
+from pairloom.llm.vector_codes import compress
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -64,6 +65,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_token_output,
         op10_decontamination,
+        op11_vector_codes,
     )
 }
 WORDS = r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -108,3 +114,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIG
 FROM d LEFT JOIN found USING (rid) LEFT JOIN listed USING (rid)
 """
 }
+
+#: Four rounds of assigning parts to entries and averaging them; dot products of whole numbers are exact in doubles.
+_NEAREST = "SELECT x.rid, x.part, arg_min(b.entry, (list_dot_product(x.v, x.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(x.v, b.v)) * 1000 + b.entry) AS entry, MIN(list_dot_product(x.v, x.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(x.v, b.v)) AS error FROM parts x JOIN book{k} b ON x.part = b.part GROUP BY x.rid, x.part"
+_ROUND = """
+near{k} AS MATERIALIZED ({nearest}),
+sums{k} AS (SELECT part, entry, place, floor(SUM(v[place]) / COUNT(*)) AS c FROM near{k} JOIN parts USING (rid, part), generate_series(1, len(v)) AS g(place) GROUP BY ALL),
+means{k} AS (SELECT part, entry, list(c ORDER BY place) AS v FROM sums{k} GROUP BY ALL),
+book{n} AS MATERIALIZED (SELECT b.part, b.entry, COALESCE(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m USING (part, entry)),"""
+ORACLE_SQL["op11_vector_codes"] = f"""
+WITH kept AS (SELECT vec_id, label, ROW_NUMBER() OVER (ORDER BY vec_id NULLS LAST) AS rid, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, part, q[part * len(q) // 4 + 1 : (part + 1) * len(q) // 4] AS v FROM kept, generate_series(0, 3) AS g(part)),
+book0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, v FROM parts WHERE rid <= 256),{"".join(_ROUND.format(k=k, n=k + 1, nearest=_NEAREST.format(k=k)) for k in range(4))}
+final AS MATERIALIZED ({_NEAREST.format(k=4)}),
+coded AS (SELECT rid, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(SUM(error) AS BIGINT) AS error FROM final GROUP BY rid),
+text AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY part, entry)) AS s FROM book4)
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM kept JOIN coded USING (rid), text
+"""
