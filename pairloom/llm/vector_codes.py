@@ -5,7 +5,8 @@ is found by lower bounds. A part is cut into blocks; a block's mean, times the r
 and the norm of what the means leave over are features whose squared distance is never above the
 true one. One block is coarse, more blocks are finer. An entry stays while its bound is not above
 the least exact distance known for the row; survivors of the finest level get exact integer
-distances. Bounds are in floating point with a margin far above its error, so none is lost.
+distances. A level's bounds are one matrix
+product of features, in floating point with a margin far above its error, so none is lost.
 
 Each round is one pass over the rows with the codebooks (a fixed number of entries) sent along.
 Tasks add up their rows by entry, Spark adds up the tasks' sums, and the driver gets one number
@@ -61,20 +62,14 @@ class Codebook:
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and squared distance of each row's nearest entry; of equal ones the lower index."""
         norm = (x.astype(np.float64) ** 2).sum(axis=1)
-        coarse = norm[:, None] + self.norm - 2 * features(x, LEVELS[0]) @ self.levels[0].T
+        apart = norm[:, None] + self.norm
         slack = MARGIN * (norm + self.norm.max()) + 1e-6
-        least = self._exact(x, np.arange(len(x)), coarse.argmin(axis=1))
-        row, entry = np.nonzero(coarse <= (least + slack)[:, None])
-        for blocks, own in zip(LEVELS[1:], self.levels[1:], strict=True):
-            apart = features(x, blocks)[row] - own[entry]
-            bound = np.einsum("pf,pf->p", apart, apart)
-            first = np.searchsorted(row, np.arange(len(x)))  # every row keeps an entry: its nearest one
-            best = np.minimum.reduceat(bound, first)
-            guess = np.flatnonzero(bound == best[row])
-            guess = guess[np.searchsorted(row[guess], np.arange(len(x)))]
-            least = np.minimum(least, self._exact(x, row[guess], entry[guess]))
-            kept = bound <= (least + slack)[row]
-            row, entry = row[kept], entry[kept]
+        least, alive = np.full(len(x), 2**63 - 1), np.ones(apart.shape, bool)
+        for blocks, own in zip(LEVELS, self.levels, strict=True):
+            bound = apart - 2 * features(x, blocks) @ own.T
+            least = np.minimum(least, self._exact(x, np.arange(len(x)), bound.argmin(axis=1)))
+            alive &= bound <= (least + slack)[:, None]
+        row, entry = np.nonzero(alive)  # every row keeps an entry: its nearest one
         exact = self._exact(x, row, entry)
         first = np.searchsorted(row, np.arange(len(x)))
         least = np.minimum.reduceat(exact, first)
