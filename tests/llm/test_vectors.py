@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 
+from pairloom.llm.hard_negatives import Scan, Space, mine, route, scores
 from pairloom.llm.vector_codes import LEVELS, Codebook, compress, features
 
 SCHEMA = "vec_id long, embedding array<double>, label int, q string, code string, v long"
@@ -78,3 +79,64 @@ def test_codes_of_odd_rows(spark):
     assert sorted((x.vec_id is None, x.vec_id or 0, x.code, x.error) for x in got) == [(False, 3, "00000000", 0), (False, 7, "01010000", 0), (False, 7, "01010000", 0), (True, 0, "03030300", 0)]
     assert compress(spark.createDataFrame([], SCHEMA)).count() == 0
     assert compress(spark.createDataFrame([(9, None, 1, *CLASH)], SCHEMA)).count() == 0
+
+
+def plain_mine(rows, anchor, positives=5, negatives=10):
+    """Results of rows (vec_id, vector, label), each anchor against each row."""
+    rows = [(k, [math.floor(256 * x) for x in v], label) for k, v, label in rows]
+    out = []
+    for k, q, label in rows:
+        if not anchor(k):
+            continue
+        near = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), n, m != label) for n, v, m in rows if n != k or m != label)
+        for p, (minus, name, _) in [(p, x) for p, x in enumerate(x for x in near if not x[2])][:positives]:
+            fit = [(n, -s) for s, n, other in near if other and -30 * minus <= -100 * s <= -90 * minus][:negatives]
+            out += [(k, name, r + 1, n, -minus, s) for r, (n, s) in enumerate(fit)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["ties", "groups"])
+def test_hard_negatives(spark, kind, monkeypatch):
+    from pairloom.llm import hard_negatives
+
+    monkeypatch.setattr(hard_negatives, "PAGE_ROWS", 32)
+    monkeypatch.setattr(hard_negatives, "BLOCK_ANCHORS", 7)
+    monkeypatch.setattr(hard_negatives, "STREAM_PAGES", 3)
+    r = np.random.default_rng(5)
+    x = {"ties": r.integers(-1, 2, (600, 4)).astype(float), "groups": r.normal(size=(6, 8))[r.integers(0, 6, 600)] + r.normal(size=(600, 8)) / 9}[kind]
+    if kind == "ties":
+        x[::3] = x[0]  # a third of all rows are copies
+    good = [(k, v.tolist(), k % 4 if k % 2 else 1) for k, v in enumerate(x)]
+    bad = [(None, [1.0] * x.shape[1], 1), (1000, None, 1), (1020, [math.inf] * x.shape[1], 1), (1040, [0.5, None], 1), (1060, [1.0] * x.shape[1], None)]
+    rows = spark.createDataFrame([(k, v, label, *CLASH) for k, v, label in good + bad], SCHEMA).repartition(3)
+    got = sorted(tuple(r) for r in mine(rows, "vec_id % 20 = 0").collect())
+    assert got == plain_mine(good, lambda k: k % 20 == 0) and got
+
+
+def test_hard_negatives_of_odd_rows(spark):
+    near = [0.9, 0.1]
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (5, near, 1), (6, [0.6], 2), (6, [0.6], 2), (7, [0.0, 0.0], 2), (8, [1e300, 0.0], 2)]
+    got = sorted(tuple(r) for r in mine(spark.createDataFrame([(k, v, m, *CLASH) for k, v, m in rows], SCHEMA)).collect())
+    assert got == [(0, 5, 1, 6, 256 * 230, 256 * 153)] * 2 + [(0, 5, 2, 6, 256 * 230, 256 * 153)] * 2
+    assert mine(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert mine(spark.createDataFrame([(1, near, 1, *CLASH)], SCHEMA)).count() == 0
+
+
+def test_scores_of_large_numbers():
+    q = np.array([[2**29 + 1, -(2**29), 3]])
+    assert scores(q, q)[0, 0] == (2**29 + 1) ** 2 + 2**58 + 9
+
+
+def test_far_cells_are_not_read():
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(16, 8)) * 900
+    x = np.concatenate([c + r.normal(size=(40, 8)) * 9 for c in centres]).astype(np.int64)
+    space = Space.fit(x, float((x**2).sum(axis=1).max()), 16)
+    apart = space.of_rows(x)
+    near, key = apart.argmin(axis=1), apart.min(axis=1)
+    names = np.unique(near)
+    cells = np.rec.fromarrays([names, names, [key[near == p].min() for p in names], [key[near == p].max() for p in names], np.ones(len(names), int)], names="cell,pivot,low,high,pages")
+    top = np.argmax((x**2).sum(axis=1))
+    block = {"q": x[top : top + 1], "id": np.array([-1]), "row": np.array([0]), "label": np.array([0]), "high": np.array([[2**62]]), "low": np.sort(x @ x[top])[-5:-4, None]}
+    asked = route(space, cells, block, Scan(space, block, 5, True), first=False)
+    assert len(asked) < len(names) - 4
