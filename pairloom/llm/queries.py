@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import ann, quality, toxicity
+from pairloom.llm.best_fit import pack_best_fit
 from pairloom.llm.common import small_batches, table
 from pairloom.llm.decontamination import decontaminate
 from pairloom.llm.hard_negatives import mine
@@ -74,6 +75,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(table(spark, sf_dir, "embeddings"), label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
 
 
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontamination,
         op11_vector_codes,
         op12_hard_negatives,
+        op13_best_fit,
     )
 }
 WORDS = r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
