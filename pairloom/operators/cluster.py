@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,24 +65,48 @@ def cluster(panel: Panel, params: ClusterParams, seed: int = 0) -> Panel | tuple
     return (out, silhouettes(firms, names, groups)) if params.silhouette else out
 
 
-def silhouettes(firms: DataFrame, names: list[str], groups: DataFrame) -> DataFrame:
-    """Silhouette of each firm by squared distance, from each group's size, sum and sum of squares.
+#: Firms of a block; two blocks meet in a task.
+BLOCK = 2048
 
-    The mean squared distance of a point to a group is |x|^2 - 2 x . mean + mean |y|^2, so no pair
-    of firms is ever formed; what is broadcast is one row for each group.
+
+def silhouettes(firms: DataFrame, names: list[str], groups: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Silhouette of each firm: (b - a) / max(a, b), a being its mean Euclidean distance to the others of its group and b the least mean distance to another group.
+
+    Firms lie in blocks of bounded size. A task takes two blocks and adds up the distances from
+    each firm of the one to the other's firms of each group; Spark adds up these sums, so there is
+    no table of pairs. A firm alone in its group has 0; where there is one group only, or a
+    measure is null, the silhouette is null.
     """
-    own = firms.join(groups, "j")
-    square = sum((F.col(n) * F.col(n) for n in names), F.lit(0.0))
-    stats = own.groupBy("g").agg(F.count("*").alias("n"), F.array(*(F.avg(n) for n in names)).alias("mean"), F.avg(square).alias("square"))
-    table = stats.agg(F.collect_list(F.struct("g", "n", "mean", "square")).alias("groups"))
-    points = own.withColumn("_x", F.array(*names)).withColumn("_xx", square).crossJoin(F.broadcast(table))  # one row, as many groups as there are
-
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-    far = F.transform("groups", lambda g: F.struct(g["g"].alias("g"), g["n"].alias("n"), (F.col("_xx") - 2 * dot(F.col("_x"), g["mean"]) + g["square"]).alias("d")))
-    points = points.withColumn("_far", far)
-    own_d = F.filter("_far", lambda d: d["g"] == F.col("g"))[0]
-    a = F.when(own_d["n"] > 1, own_d["d"] * own_d["n"] / (own_d["n"] - 1))
-    b = F.array_min(F.transform(F.filter("_far", lambda d: d["g"] != F.col("g")), lambda d: d["d"]))
-    return points.withColumns({"_a": a, "_b": b}).select("j", "g", F.when(F.col("_a").isNull(), 0.0).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")).alias("silhouette"))
+    own = materialise(firms.join(groups, "j").select(F.monotonically_increasing_id().alias("_row"), "j", F.col("g").cast("long").alias("g"), F.array(*(F.col(n).cast("double") for n in names)).alias("x")), "points")
+    blocks = max(1, -(-own.count() // block))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        x = np.array(table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64)
+        return pa.table({"block": pa.array([key[0].as_py()]), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("rows", table.column("_row").to_numpy()), ("groups", table.column("g").to_numpy()), ("points", x))}})
+
+    packed = materialise(own.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(blocks))).groupBy("block").applyInArrow(pack, "block long, rows binary, groups binary, points binary"), "blocks")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row, x, g, y = (np.frombuffer(batch.column(k)[at].as_py(), t) for k, t in enumerate(("<i8", "<f8", "<i8", "<f8")))
+                x, y = x.reshape(len(row), -1), y.reshape(len(g), -1)
+                known, of = np.unique(g, return_inverse=True)
+                member = np.eye(len(known))[of]
+                for a in range(0, len(row), 256):
+                    near = np.zeros((len(row[a : a + 256]), len(g)))
+                    for c in range(x.shape[1]):
+                        near += (x[a : a + 256, c, None] - y[:, c]) ** 2
+                    total = np.sqrt(near) @ member
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row[a : a + 256], len(known))), pa.array(np.tile(known, len(total))), pa.array(total.ravel())], ["_row", "to", "total"])
+
+    left = packed.select("block", F.col("rows"), F.col("points").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
+    right = packed.select(F.col("block").alias("other"), F.col("groups"), F.col("points").alias("y"))
+    met = left.join(right, "other").repartition("block", "other").select("rows", "x", "groups", "y").mapInArrow(sums, "_row long, to long, total double")
+    sizes = own.groupBy(F.col("g").alias("to")).agg(F.count("*").alias("n"))
+    far = met.groupBy("_row", "to").agg(F.sum("total").alias("total")).join(sizes, "to").join(own.select("_row", "j", "g"), "_row")
+    same = F.col("to") == F.col("g")
+    means = far.groupBy("_row", "j", "g").agg(F.max(F.when(same, F.col("n"))).alias("_n"), F.max(F.when(same & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("_a"), F.min(F.when(~same, F.col("total") / F.col("n"))).alias("_b"))
+    most = F.greatest("_a", "_b")
+    score = F.when(F.col("_b").isNull() | F.isnan("_b"), None).when(F.col("_n") == 1, 0.0).when(F.isnan("_a"), None).when(most == 0, 0.0).otherwise((F.col("_b") - F.col("_a")) / most)
+    return means.select("j", "g", score.alias("silhouette"))

@@ -14,8 +14,7 @@ from pyspark.sql.window import Window
 
 from pairloom.operators.rows import by_worker, keep_ids, min_moves_frame, one_worker, tidy, with_spell, worker_m
 from pairloom.plans.components import connected_components
-from pairloom.plans.graph import blocks, cut_vertices, strong_components
-from pairloom.plans.numbering import number_rows
+from pairloom.plans.graph import blocks, bridges, cut_vertices, strong_components
 from pairloom.plans.scratch import materialise
 
 if TYPE_CHECKING:
@@ -100,7 +99,7 @@ def _firms(parts: DataFrame, component: int) -> DataFrame:
 
 def largest(panel: Panel, parts: DataFrame, name: str, to_stays: bool) -> Panel:
     """The rows of the component of the largest size; of equal ones that of more vertices, then of the smallest firm."""
-    best = part_sizes(panel, parts, name).orderBy(F.col("size").desc(), F.col("vertices").desc(), "first").first()
+    best = part_sizes(panel, parts, name).orderBy(F.col("size").desc(), F.col("vertices").desc(), "first", "component").first()
     return panel if best is None else keep_ids(panel, "j", _firms(parts, best.component), to_stays)
 
 
@@ -118,7 +117,7 @@ def articulation_rows(panel: Panel, group: str, cross_membership: bool = False)
     links = materialise(worker_links(panel), "links")
     if group == "worker":
         return cut_vertices(links).where("node < 0").select((-1 - F.col("node")).alias("i"))
-    found = blocks(links).where("bridge").select("src", "dst").join(links, ["src", "dst"])
+    found = bridges(links).join(links, ["src", "dst"])
     if group != "match":
         found = found.where("rows = 1" if group == "observation" else "spells = 1")
     pairs = found.select((-1 - F.col("src")).alias("i"), F.col("dst").alias("j"))
@@ -133,54 +132,140 @@ def _without(panel: Panel, rows: DataFrame, to_stays: bool) -> Panel:
     return tidy(panel.rows(kept), to_stays)
 
 
+def _may_grow(size: str) -> bool:
+    """Whether a size can grow when rows go: movers may become stayers."""
+    return "stay" in size
+
+
+def _span(panel: Panel) -> int:
+    """A number above every firm, by which a worker and a firm make one id."""
+    low, workers, firms = panel.df.agg(F.least(F.min("i"), F.min("j")), F.max("i"), F.max("j")).first()
+    if low is not None and (low < 0 or (workers + 1) * (firms + 1) >= 2**62):
+        raise ValueError("ids must be dense (clean() makes them so)")
+    return 1 if low is None else firms + 1
+
+
+def _branches(parts: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """Firms (j) with their branch: the part's least firm, and its path, which sorts branches as they are tried."""
+    facts = parts.groupBy("component").agg(F.min("j").alias("branch"), F.first("vertices").alias("_n"))
+    named = parts.select("j", "component").join(facts, "component")
+    step = F.array((-F.col("_n")).cast("long"), F.col("branch").cast("long"))
+    if above is None:
+        return materialise(named.select("j", "branch", step.alias("path")), "branches")
+    old = above.select(F.col("j").alias("branch"), F.col("path").alias("_above"))
+    return materialise(named.join(old, "branch").select("j", "branch", F.concat("_above", step).alias("path")), "branches")
+
+
+def _apart(panel: Panel, firms: DataFrame, origin, span: int, to_stays: bool) -> Panel:
+    """The rows of the branches' firms. A worker of several branches becomes one of each: its id and the least firm it has there make the new id."""
+    rows = panel.df.join(firms.select("j", "branch"), "j")
+    first = F.min("j").over(Window.partitionBy("i", "branch")).cast("long")
+    split = rows.withColumn("_first", first).withColumn("i", origin * F.lit(span).cast("long") + F.col("_first"))
+    return _held(tidy(panel.rows(split.select(*panel.df.columns)), to_stays))
+
+
+def _branch_sizes(panel: Panel, firms: DataFrame, size: str, suffix: str) -> DataFrame:
+    rows = panel.df.withColumn("_mover", worker_m()).join(firms.select("j", "branch"), "j")
+    return rows.groupBy("branch").agg(measure(size).alias(f"size{suffix}"), F.count("*").alias(f"rows{suffix}"))
+
+
+def _of(panel: Panel, firms: DataFrame, branches: DataFrame) -> Panel:
+    """The rows of some branches."""
+    js = firms.join(branches.select("branch"), "branch", "left_semi").select("j")
+    return panel.on(panel.df.join(js, "j", "left_semi").select(*panel.df.columns))
+
+
+def _several(panel: Panel, firms: DataFrame, strong: bool) -> DataFrame:
+    """Parts (j, component, vertices, branch) of the branches that fall into more than one."""
+    found = firm_parts(panel, _graph(panel, strong), strong).join(firms.select("j", "branch"), "j")
+    many = found.groupBy("branch").agg(F.count_distinct("component").alias("n")).where("n > 1")
+    return materialise(found.join(many.select("branch"), "branch", "left_semi").select("j", "component", "vertices", "branch"), "several")
+
+
 def leave_out(panel: Panel, group: str, strong: bool, size: str, to_stays: bool, cross_membership: bool = False) -> Panel:
     """The largest set of firms that no single observation, spell, match or worker holds together.
 
-    Components are tried from the most vertices down, and only while one could beat the best so
-    far. Rows that hold a set together are taken out to see what it falls into, and stay in the
-    parts that are kept.
+    A set of firms is a branch. It loses firms of fewer than two moves. Rows that hold it together
+    are taken out to see what it falls into, and stay in the parts, which are the branches of the
+    next level; a branch that doesn't fall apart is a candidate. All branches of a level go
+    through the same jobs, as one panel in which they share no firm and no worker, so jobs grow
+    with the levels and not with the branches. Branches come by path: most vertices first, then
+    the smallest firm, inside the branch they are part of. Of the largest candidates the first
+    one wins, and branches that can't beat the best one so far are left. For sizes that may grow
+    when rows go, all branches are looked at, and the candidate is the one that trying the
+    branches in order, and only those larger than the best so far, would end with.
     """
-    best: tuple[Panel, int] | None = None
-
-    def size_of(p: Panel) -> int:
-        return panel_size(p, size)
-
-    def explore(frame: Panel, parts: DataFrame) -> None:
-        nonlocal best
-        table = materialise(part_sizes(frame, parts, size), "sizes")
-        last = None
-        while True:
-            rest = table if best is None else table.where(F.col("size") > best[1])
-            if last is not None:
-                rest = rest.where((F.col("vertices") < last.vertices) | ((F.col("vertices") == last.vertices) & (F.col("first") > last.first)))
-            last = rest.orderBy(F.col("vertices").desc(), "first").first()
-            if last is None:
-                return
-            consider(_held(keep_ids(frame, "j", _firms(parts, last.component), to_stays)))
-
-    def consider(own: Panel) -> None:
-        nonlocal best
-        pruned = min_moves_frame(own, 2, to_stays)
-        if strong and pruned.df.count() != own.df.count():
-            again = firm_parts(pruned, firm_links(pruned), True)
-            if again.select("component").distinct().count() > 1:
-                explore(pruned, again)
-                return
-        if best is not None and best[1] >= size_of(pruned):
-            return
-        loose = materialise(articulation_rows(pruned, group, cross_membership), "articulation")
-        if not loose.isEmpty():
-            less = _held(_without(pruned, loose, to_stays))
-            after = firm_parts(less, _graph(less, strong), strong)
-            if after.select("component").distinct().count() > 1:
-                explore(pruned, after)
-                return
-        found = size_of(pruned)
-        if best is None or found > best[1]:
-            best = pruned, found
-
-    explore(panel, firm_parts(panel, _graph(panel, strong), strong))
-    return best[0] if best else panel.rows(panel.df.limit(0))
+    span, grows = _span(panel), _may_grow(size)
+    frame, origin, firms = panel, F.col("i").cast("long"), _branches(firm_parts(panel, _graph(panel, strong), strong))
+    best, looked = None, []
+    while True:
+        own = _apart(frame, firms, origin, span, to_stays)
+        origin = F.floor(F.col("i") / F.lit(span).cast("decimal(20,0)")).cast("long")
+        table = firms.select("branch", "path").distinct().join(_branch_sizes(own, firms, size, ""), "branch")
+        table = materialise(_beating(table, "size", best if not grows else None), "tried")
+        if table.isEmpty():
+            break
+        pruned = min_moves_frame(_of(own, firms, table), 2, to_stays)
+        after = table.join(_branch_sizes(pruned, firms, size, "_after"), "branch", "left").na.fill(0, ["size_after", "rows_after"])
+        after = materialise(after.withColumn("resplit", F.lit(False)), "pruned")
+        parts = None
+        if strong:
+            parts = _several(_of(pruned, firms, after.where("rows <> rows_after")), firms, True)
+            again = parts.select("branch", F.lit(True).alias("_again")).distinct()
+            after = materialise(after.join(again, "branch", "left").withColumn("resplit", F.coalesce("_again", F.lit(False))).drop("_again"), "pruned")
+        whole = _beating(after.where("not resplit"), "size_after", best if not grows else None)
+        asked = _held(_of(pruned, firms, whole))
+        loose = materialise(articulation_rows(asked, group, cross_membership), "articulation")
+        touched = asked.df.join(loose, loose.columns, "left_semi").select("j").join(firms, "j").select("branch").distinct()
+        less = _held(_without(_of(asked, firms, materialise(touched, "touched")), loose, to_stays))
+        fallen = _several(less, firms, strong)
+        parts = fallen if parts is None else parts.unionByName(fallen)
+        held = whole.join(fallen.select("branch").distinct(), "branch", "left_anti")
+        if grows:
+            leaves = held.select("branch", F.lit(True).alias("_leaf"))
+            looked.append((after.join(leaves, "branch", "left").select("path", "branch", "size", "size_after", "resplit", F.coalesce("_leaf", F.lit(False)).alias("leaf"), F.lit(len(looked)).alias("level")), pruned, firms, origin))
+        else:
+            top = _beating(held, "size_after", best[:2] if best else None).orderBy(F.col("size_after").desc(), "path").first()
+            if top is not None and (best is None or top.size_after > best[0] or list(top.path) < best[1]):
+                best = top.size_after, list(top.path), pruned, firms, top.branch
+        if parts.isEmpty():
+            break
+        frame, above = pruned, firms
+        paths = above.select("branch", "path").distinct().withColumnRenamed("branch", "_up")
+        kids = parts.withColumnRenamed("branch", "_up").join(paths, "_up")
+        firms = _branches(parts, kids.select("j", "path"))
+    if grows:
+        best = _tried_in_order(looked)
+    if best is None:
+        return panel.rows(panel.df.limit(0))
+    _, _, pruned, firms, branch = best
+    rows = pruned.df.join(firms.where(F.col("branch") == branch).select("j"), "j", "left_semi").withColumn("i", F.floor(F.col("i") / F.lit(span).cast("decimal(20,0)")).cast(dict(panel.df.dtypes)["i"]))
+    return pruned.on(rows.select(*panel.df.columns))
+
+
+def _beating(table: DataFrame, column: str, best: tuple | None) -> DataFrame:
+    """Branches that could take the place of the best candidate: larger, or as large and earlier."""
+    if best is None:
+        return table
+    size, path = best[:2]
+    return table.where((F.col(column) > size) | ((F.col(column) == size) & (F.col("path") < F.array(*(F.lit(x).cast("long") for x in path)))))
+
+
+def _tried_in_order(looked: list[tuple]) -> tuple | None:
+    """The candidate that trying the branches one after another ends with, where a branch not larger than the best so far is left with all its parts. Branches stream by in order; one is held."""
+    log = looked[0][0]
+    for more in looked[1:]:
+        log = log.unionByName(more[0])
+    best, left = None, None
+    for x in log.orderBy("path").toLocalIterator():
+        path = list(x.path)
+        if left is not None and path[: len(left)] == left:
+            continue
+        if best is not None and (x.size <= best[0] or not x.resplit and x.size_after <= best[0]):
+            left = path
+        elif x.leaf:
+            best = x.size_after, path, *looked[x.level][1:3], x.branch
+    return best
 
 
 def _held(panel: Panel) -> Panel:
@@ -198,12 +283,8 @@ def connected(panel: Panel, how: str | None, size: str = "firms", drop_single_st
         strong = how != "connected"
         out = largest(panel, firm_parts(panel, firm_links(panel), strong), size, to_stays)
     elif how == "leave_out_firm":
-        edges = materialise(blocks(firm_links(panel, 2)), "edges")
-        ends = edges.select("component", "block", F.explode(F.array("src", "dst")).alias("j")).distinct()
-        names = number_rows(edges.select("component", "block").distinct(), [F.col("component"), F.col("block")], "number")
-        named = ends.join(names, ["component", "block"]).select("j", F.col("number").alias("component"))
-        sizes = Window.partitionBy("component")
-        parts = materialise(named.select("j", "component", F.count("*").over(sizes).alias("vertices")), "blocks")
+        ends = materialise(blocks(firm_links(panel, 2)).select(F.col("block").alias("component"), F.explode(F.array("src", "dst")).alias("j")).distinct(), "ends")
+        parts = materialise(ends.join(ends.groupBy("component").agg(F.count("*").alias("vertices")), "component").select("j", "component", "vertices"), "blocks")
         out = largest(panel, parts, size, to_stays)
     else:
         strong = how.startswith("strongly_")

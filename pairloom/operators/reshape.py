@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 from pairloom.operators.model import Layout
 from pairloom.operators.rows import by_worker, gen_m, one_worker, row_order, with_spell, worker_m
+from pairloom.plans.numbering import running_sum
+from pairloom.plans.scratch import materialise
 
 if TYPE_CHECKING:
     from pairloom.operators.panel import Panel
@@ -250,7 +252,9 @@ def to_permutedeventstudy(panel: Panel, order: str = "sequential", move_to_worke
     """All pairs of a mover's spells, and each stayer's spell with itself.
 
     sequential: the earlier spell first. income: for each pair of firms, the half of its workers
-    with the lower mean income goes one way, the other half the other way, an odd one by a coin.
+    with the lower mean income goes one way, the other half the other way, an odd one by a coin
+    (the first digit of a checksum of the two firms and the seed). Workers are ranked in ranges of
+    the order, so a pair of firms with many workers is in no task as a whole.
     A worker may not come back to a firm. The result has n (n - 1) / 2 rows for n spells.
     """
     if panel.meta.layout is not Layout.COLLAPSED:
@@ -271,10 +275,10 @@ def to_permutedeventstudy(panel: Panel, order: str = "sequential", move_to_worke
     right = rows.where("_mover").select("i", F.struct(*split, "_at").alias("b"))
     pairs = left.join(right, "i").where("a._at < b._at")
     if order == "income":
-        firms = Window.partitionBy("_lo", "_hi")
-        pairs = pairs.withColumns({"_lo": F.least("a.j", "b.j"), "_hi": F.greatest("a.j", "b.j")})
-        pairs = pairs.withColumns({"_rank": F.row_number().over(firms.orderBy("_income", "i")), "_n": F.count("*").over(firms)})
-        coin = F.pmod(F.xxhash64("_lo", "_hi", F.lit(seed)), F.lit(2)).cast("int")
+        pairs = pairs.withColumns({"_lo": F.least("a.j", "b.j"), "_hi": F.greatest("a.j", "b.j"), "_one": F.lit(1)})
+        ranked = materialise(running_sum(pairs, ["_income", "i"], "_one", "_rank", within=("_lo", "_hi")), "ranked")  # a pair of firms may span ranges
+        pairs = ranked.join(ranked.groupBy("_lo", "_hi").agg(F.count("*").alias("_n")), ["_lo", "_hi"])
+        coin = (F.substring(F.md5(F.concat_ws("|", "_lo", "_hi", F.lit(seed))), 1, 1) < "8").cast("int")
         half = F.floor(F.col("_n") / 2) + F.when(F.col("_n") % 2 == 1, coin).otherwise(0)
         from_hi = F.col("_rank") <= half
         first_is_a = from_hi == (F.col("a.j") == F.col("_hi"))

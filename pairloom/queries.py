@@ -268,9 +268,17 @@ def _(spark, d):
     return panel_a(spark, d).collapse("match").to_permutedeventstudy().df.select("i", "j1", "j2", "y1", "y2", "m")
 
 
-@query("permuted_income")
+INCOME = MATCHES.replace("AVG(y) AS y", "AVG(y) AS y, CAST(COUNT(*) AS DOUBLE) AS w") + f""", inc AS (SELECT *, SUM(w * y) OVER (PARTITION BY i) / SUM(w) OVER (PARTITION BY i) AS income FROM cm),
+pr AS (SELECT a.i, a.income, LEAST(a.j, b.j) AS lo, GREATEST(a.j, b.j) AS hi, CASE WHEN a.j < b.j THEN a.y ELSE b.y END AS ylo, CASE WHEN a.j < b.j THEN b.y ELSE a.y END AS yhi FROM inc a JOIN inc b ON a.i = b.i AND a.k < b.k),
+rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lo, hi ORDER BY income, i) AS rk, COUNT(*) OVER (PARTITION BY lo, hi) AS n FROM pr),
+h AS (SELECT *, rk <= n // 2 + CASE WHEN n % 2 = 1 AND substr(md5(lo || '|' || hi || '|0'), 1, 1) < '8' THEN 1 ELSE 0 END AS turned FROM rk)
+SELECT i, CASE WHEN turned THEN hi ELSE lo END AS j1, CASE WHEN turned THEN lo ELSE hi END AS j2, ROUND(CASE WHEN turned THEN yhi ELSE ylo END, {DIGITS}) AS y1, ROUND(CASE WHEN turned THEN ylo ELSE yhi END, {DIGITS}) AS y2, CAST(1 AS BIGINT) AS m FROM h
+UNION ALL SELECT i, j, j, ROUND(y, {DIGITS}), ROUND(y, {DIGITS}), CAST(0 AS BIGINT) FROM cm WHERE n = 1"""
+
+
+@query("permuted_income", base() + INCOME)
 def _(spark, d):
-    return panel_a(spark, d).collapse("match").to_permutedeventstudy("income")
+    return panel_a(spark, d).collapse("match").to_permutedeventstudy("income").df.select("i", "j1", "j2", "y1", "y2", "m")
 
 
 AGAIN_M = f"SELECT i, j, {r('y')}, t, {MOVES} AS m FROM k"
@@ -361,7 +369,7 @@ def _(spark, d):
     return panel_aw(spark, d).cluster(measures=CDFs(5), grouping=KMeans(5, seed=1))
 
 
-GROUPED = ", z AS (SELECT j, g, x FROM f JOIN gg USING (j)), st AS (SELECT g, COUNT(*) AS n, AVG(x) AS mu, AVG(x * x) AS sq FROM z GROUP BY g), dd AS (SELECT z.j, z.g, st.g AS h, st.n, z.x * z.x - 2 * z.x * st.mu + st.sq AS dist FROM z CROSS JOIN st), ab AS (SELECT j, g, MAX(CASE WHEN g = h AND n > 1 THEN dist * n / (n - 1) END) AS a, MIN(CASE WHEN g <> h THEN dist END) AS b FROM dd GROUP BY j, g)"
+GROUPED = ", z AS (SELECT j, g, x FROM f JOIN gg USING (j)), dd AS (SELECT a.j, a.g, b.g AS h, SUM(SQRT((a.x - b.x) * (a.x - b.x))) AS total, COUNT(*) AS n FROM z a CROSS JOIN z b GROUP BY a.j, a.g, b.g), ab AS (SELECT j, g, MAX(CASE WHEN g = h AND n > 1 THEN total / (n - 1) END) AS a, MIN(CASE WHEN g <> h THEN total / n END) AS b FROM dd GROUP BY j, g)"
 
 
 @query("silhouette", base("AW") + QG + GROUPED + " SELECT j, g, ROUND(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / GREATEST(a, b) END, 4) AS silhouette FROM ab")

@@ -182,3 +182,26 @@ def test_leave_out_against_recursion(panel, rows_of, group, name, seed):
     assert want
     got = panel([(i, j, 1.0, t) for i, j, t, _ in rows]).gen_m().connected(f"leave_out_{group}", size=name)
     assert rows_of(got, "i", "j", "t", "m") == sorted(want)
+
+
+def test_jobs_grow_with_levels_and_not_with_parts(panel):
+    """Four copies of a network are looked at by as many tables as one."""
+    from pairloom.plans import scratch
+
+    def tables(copies):
+        rows = [(100 * c + i, 100 * c + j, 1.0, t) for c in range(copies) for i, j, t, _ in random_panel(5)]
+        p = panel(rows).gen_m()
+        before = len(scratch._made)
+        got = p.connected("leave_out_match", size="len")
+        return len(scratch._made) - before, got.df.count()
+
+    one, four = tables(1), tables(4)
+    assert one[1] == four[1] and four[0] <= one[0] + 2
+
+
+@pytest.mark.parametrize("group, name, seed", [("match", "stays", 11), ("observation", "firms_plus_stayers", 12)])
+def test_leave_out_by_sizes_that_may_grow(panel, rows_of, group, name, seed):
+    rows = random_panel(seed, 14, 12) + [(50 + r[0], 50 + r[1], *r[2:]) for r in random_panel(seed + 50, 7, 6)]
+    want = plain_leave_out(rows, group, name)
+    got = panel([(i, j, 1.0, t) for i, j, t, _ in rows]).gen_m().connected(f"leave_out_{group}", size=name)
+    assert rows_of(got, "i", "j", "t", "m") == sorted(want)

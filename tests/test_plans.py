@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.measures import weighted_quantiles
 from pairloom.plans.components import connected_components
-from pairloom.plans.graph import search, strong
+from pairloom.plans.graph import blocks, bridges, cut_vertices, strong_components
 from pairloom.plans.numbering import number_rows
+from tests.plain_graph import search, strong
 
 GRAPHS = st.integers(1, 9).flatmap(lambda n: st.tuples(st.just(n), st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1)), max_size=16)))
 
@@ -56,6 +57,62 @@ def test_strong_components(graph):
     assert all((of[a] == of[b]) == both[a, b] for a in range(n) for b in range(n))
 
 
+def many_graphs():
+    """Random graphs, a path, a wheel with a tail and a large dense one, all in one table of edges."""
+    r = random.Random(3)
+    graphs = [[(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(2 * n + 1))] for n in (r.randint(1, 12) for _ in range(150))]
+    graphs.append([(k, k + 1) for k in range(9)] + [(9, 4)])
+    graphs.append([(0, k) for k in range(1, 40)] + [(k, k % 39 + 1) for k in range(1, 40)] + [(39, 40), (40, 41)])
+    graphs.append([(r.randrange(90), r.randrange(90)) for _ in range(400)])
+    return [[(1000 * g + a, 1000 * g + b) for a, b in e] for g, e in enumerate(graphs)]
+
+
+def local(edges):
+    names = sorted({v for e in edges for v in e})
+    at = {v: k for k, v in enumerate(names)}
+    return names, *(np.array([at[e[k]] for e in edges], np.int64) for k in (0, 1))
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame([e for g in many_graphs() for e in g] + [(None, 1), (5, None)], "src long, dst long")
+
+
+def test_strong_components_of_many_graphs(edges):
+    got = {x.node: x.component for x in strong_components(edges).collect()}
+    want = {}
+    for graph in many_graphs():
+        names, a, b = local([e for e in graph if e[0] != e[1]])
+        least = {}
+        for v, c in zip(names, strong(a, b, len(names)).tolist(), strict=True):
+            want[v] = least.setdefault(c, v)
+    assert got == want
+
+
+def test_blocks_of_many_graphs(edges):
+    got = {(x.src, x.dst): (x.block, x.bridge) for x in blocks(edges).collect()}
+    cut, pairs, names_of = set(), set(), {}
+    for graph in many_graphs():
+        own = sorted({(min(e), max(e)) for e in graph if e[0] != e[1]})
+        names, a, b = local(own)
+        bridge, block, cuts = search(a, b, len(names))
+        cut |= {names[k] for k in np.flatnonzero(cuts)}
+        pairs |= {e for e, x in zip(own, bridge, strict=True) if x}
+        for e, c in zip(own, block.tolist(), strict=True):
+            names_of.setdefault((own[0], c), set()).add(got[e][0])
+    assert all(len(x) == 1 for x in names_of.values()) and len(names_of) == len({b for b, _ in got.values()})
+    assert {e for e, (_, x) in got.items() if x} == pairs
+    assert {(x.src, x.dst) for x in bridges(edges).collect()} == pairs
+    assert {x.node for x in cut_vertices(edges).collect()} == cut
+
+
+def test_graphs_without_edges(edges):
+    none = edges.limit(0)
+    assert [f(none).count() for f in (strong_components, blocks, bridges, cut_vertices)] == [0] * 4
+    loops = none.sparkSession.createDataFrame([(1, 1)], "src long, dst long")
+    assert strong_components(loops).count() == 0 and blocks(loops).count() == 0
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random", "empty"])
 def test_components(spark, shape):
     r = random.Random(5)
