@@ -205,7 +205,7 @@ def leave_out(panel: Panel, group: str, strong: bool, size: str, to_stays: bool,
         table = materialise(_beating(table, "size", best if not grows else None), "tried")
         if table.isEmpty():
             break
-        pruned = min_moves_frame(_of(own, firms, table), 2, to_stays)
+        pruned = _held(min_moves_frame(_of(own, firms, table), 2, to_stays))
         after = table.join(_branch_sizes(pruned, firms, size, "_after"), "branch", "left").na.fill(0, ["size_after", "rows_after"])
         after = materialise(after.withColumn("resplit", F.lit(False)), "pruned")
         parts = None

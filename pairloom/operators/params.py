@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields
 from typing import Any
 
+from pairloom.functions.aggregates import is_custom
+
 #: The names that options take.
 CONNECTEDNESS = ("connected", "strongly_connected", "leave_out_observation", "leave_out_spell", "leave_out_match", "leave_out_worker", "leave_out_firm", "strongly_leave_out_observation", "strongly_leave_out_spell", "strongly_leave_out_match", "strongly_leave_out_worker")
 SIZES = ("len", "length", "firms", "workers", "stayers", "movers", "firms_plus_workers", "firms_plus_stayers", "firms_plus_movers", "len_stayers", "length_stayers", "len_movers", "length_movers", "stays", "moves")
@@ -41,7 +43,7 @@ class CleanParams(Describe):
         _one_of("connectedness", self.connectedness, (None, *CONNECTEDNESS))
         _one_of("component_size_variable", self.component_size_variable, SIZES)
         _one_of("drop_returns", self.drop_returns, (False, *RETURNS))
-        if not callable(self.i_t_how) and not isinstance(self.i_t_how, str):
+        if not is_custom(self.i_t_how) and not isinstance(self.i_t_how, str):
             raise ValueError("i_t_how must be the name of an aggregate or a function")
 
 

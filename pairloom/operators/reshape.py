@@ -7,14 +7,13 @@ whose result is all pairs of a worker's spells, does.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairloom.functions.aggregates import group_values, is_custom
 from pairloom.operators.model import Layout
 from pairloom.operators.rows import by_worker, gen_m, one_worker, row_order, with_spell, worker_m
 from pairloom.plans.numbering import running_sum
@@ -28,7 +27,8 @@ def _merged(rows: DataFrame, panel: Panel, keys: list[str], again: bool) -> Data
     """One row for each key: every column by its rule. rows has _at, the place of a row in its worker.
 
     Means, variances and deviations are weighted if there are weights: variance is then that of
-    the population, otherwise of a sample. again: spells are merged that were merged before, so a
+    the population, otherwise of a sample. Functions of values and two-stage aggregates are worked
+    out for themselves and joined. again: spells are merged that were merged before, so a
     variance can't be told any more and is null.
     """
     weighted = panel.meta.has("w")
@@ -55,22 +55,17 @@ def _merged(rows: DataFrame, panel: Panel, keys: list[str], again: bool) -> Data
             return F.min_by(x, at) if how == "first" else F.max_by(x, at)
         if how == "nunique":
             return F.count_distinct(x)
-        if callable(how):
-            return F.pandas_udf(_named(how), "double")(x.cast("double"))
         return {"sum": F.sum, "min": F.min, "max": F.max, "median": F.median, "count": F.count, "size": lambda _: F.count("*")}[how](x)
 
     spans = panel.meta.base("t") if panel.meta.has("t") else []
     times = [F.min(spans[0]).alias("t1"), F.max(spans[-1]).alias("t2")] if spans else []
     firm = [] if "j" in keys else [F.min("j").alias("j")]
     weight = F.sum("w") if weighted else F.count("*").cast("double")
-    return rows.groupBy(*keys).agg(*firm, *times, *(rule(c).alias(c) for c in kept), weight.alias("w"), F.count("*").alias("_rows"))
-
-
-def _named(how: Callable) -> Callable:
-    def aggregate(x: pd.Series) -> float:
-        return float(how(x))
-
-    return aggregate
+    staged = [c for c in kept if is_custom(panel.meta.columns[c].collapse)]
+    got = rows.groupBy(*keys).agg(*firm, *times, *(rule(c).alias(c) for c in kept if c not in staged), weight.alias("w"), F.count("*").alias("_rows"))
+    for c in staged:
+        got = got.join(group_values(rows, keys, c, panel.meta.columns[c].collapse, c), keys)
+    return got
 
 
 def _collapsed(panel: Panel, rows: DataFrame, **facts) -> Panel:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from pairloom.functions.aggregates import TwoStage, as_column, group_values, is_custom
 from pairloom.plans.scratch import drop_scratch, materialise
 
 if TYPE_CHECKING:
@@ -78,7 +79,8 @@ def drop_i_t_duplicates(panel: Panel, how: str | Callable = "max") -> Panel:
     """One row for each worker and period: the one of largest y.
 
     Other than for max, y first becomes its aggregate over the worker's rows of the firm and
-    period. Equal y: the smaller j stays, then the row first in order of the other columns. Spells
+    period. how is a name, a function of a column, a function of the values (a numpy array) or a
+    TwoStage aggregate. Equal y: the smaller j stays, then the row first in order of the other columns. Spells
     are first taken apart into periods and then merged again. Without t equal rows are merged.
     """
     if panel.meta.layout.collapsed and panel.meta.has("t"):
@@ -86,9 +88,10 @@ def drop_i_t_duplicates(panel: Panel, how: str | Callable = "max") -> Panel:
     if not panel.meta.has("t"):
         return panel.rows(panel.df.dropDuplicates(), no_duplicates=True)
     df = panel.df
-    if callable(how):
+    if is_custom(how):
         key = ["i", "t", "j"]
-        merged = df.groupBy(*key).agg(how(F.col("y")).alias("y"))
+        made = None if isinstance(how, TwoStage) else as_column(how, "y")
+        merged = group_values(df, key, "y", how, "y") if made is None else df.groupBy(*key).agg(made.alias("y"))
         df = df.drop("y").join(merged, key).select(*df.columns)
     elif how != "max":
         df = df.withColumn("y", AGGREGATES[how](F.col("y")).over(Window.partitionBy("i", "t", "j")).cast("double"))
@@ -209,6 +212,72 @@ def until_stable(panel: Panel, step: Callable[[Panel], Panel], loop: bool = True
         before = count
 
 
+def _moves_of(rows: DataFrame, distinct: bool) -> DataFrame:
+    """How many rows of m > 0 each worker has at a firm; with distinct, one for each such worker."""
+    count = F.lit(1).cast("long") if distinct else F.count("*")
+    return rows.where("m > 0").groupBy("i", "j").agg(count.alias("n"))
+
+
+def peel_firms(panel: Panel, threshold: int, distinct: bool) -> Panel:
+    """Drop firms of too few moves (distinct: movers) until all that stay have enough, by what changes.
+
+    Firms' counts are kept in a table. When firms go, only workers with rows there can have other
+    moves than before: their rows before and after give what to take from the counts of other
+    firms, and those that fall below the threshold go next. The panel itself is written once and
+    then filtered; a round shuffles rows of touched workers only.
+    """
+    rows = materialise(panel.df.where("j is not null"), "panel")
+    counts = _moves_of(rows, distinct).groupBy("j").agg(F.sum("n").alias("n"))
+    counts = materialise(rows.select("j").distinct().join(counts, "j", "left").na.fill(0, ["n"]), "counts")
+    gone = counts.where(F.col("n") < threshold).select("j")
+    last = None
+    while not gone.isEmpty():
+        touched = materialise(rows.join(rows.join(gone, "j", "left_semi").select("i").distinct(), "i", "left_semi"), "touched")
+        was = touched if last is None else touched.join(last, "j", "left_anti").select(*panel.df.columns)
+        every = materialise(gone if last is None else last.unionByName(gone), "gone")
+        now = touched.join(every, "j", "left_anti").select(*panel.df.columns)
+        less = _moves_of(gen_m(panel.on(was)).df, distinct).unionByName(_moves_of(gen_m(panel.on(now)).df, distinct).withColumn("n", -F.col("n")))
+        lost = less.groupBy("j").agg(F.sum("n").alias("lost")).where("lost <> 0")
+        left = counts.join(every, "j", "left_anti").join(lost, "j", "left")
+        after = materialise(left.select("j", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n")), "counts")
+        for table in (counts, touched):
+            drop_scratch(table)
+        counts, last = after, every
+        gone = counts.where(F.col("n") < threshold).select("j")
+    if last is None:
+        return panel.on(rows)
+    return gen_m(panel.rows(rows.join(last, "j", "left_anti").select(*panel.df.columns)))
+
+
+def peel_pairs(panel: Panel, thresholds: dict[str, int]) -> Panel:
+    """Drop ids of either column with too few rows until all that stay have enough, by what changes.
+
+    Rows are counted by pair of ids once. Rows of ids that go, and haven't gone already, are taken
+    from the counts of the other column's ids.
+    """
+    a, b = thresholds
+    rows = materialise(panel.df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), "panel")
+    pairs = materialise(rows.groupBy(a, b).agg(F.count("*").alias("n")), "pairs")
+    counts = {c: materialise(pairs.groupBy(c).agg(F.sum("n").alias("n")), "counts") for c in (a, b)}
+    gone: dict[str, DataFrame | None] = {a: None, b: None}
+    name, other, idle = a, b, 0
+    while idle < 2:
+        new = materialise(counts[name].where(F.col("n") < thresholds[name]).select(name), "gone")
+        idle = idle + 1 if new.isEmpty() else 0
+        if not idle:
+            went = pairs.join(new, name, "left_semi")
+            went = went if gone[other] is None else went.join(gone[other], other, "left_anti")
+            lost = went.groupBy(other).agg(F.sum("n").alias("lost"))
+            counts[other] = materialise(counts[other].join(lost, other, "left").select(other, (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n")), "counts")
+            counts[name] = counts[name].join(new, name, "left_anti")
+            gone[name] = new if gone[name] is None else materialise(gone[name].unionByName(new), "gone")
+        name, other = other, name
+    kept = rows
+    for c, ids in gone.items():
+        kept = kept if ids is None else kept.join(ids, c, "left_anti")
+    return gen_m(panel.rows(kept.select(*panel.df.columns)))
+
+
 def _merges(panel: Panel) -> bool:
     return panel.meta.layout.collapsed and panel.meta.no_returns is not True
 
@@ -228,6 +297,8 @@ def min_joint_obs_frame(panel: Panel, threshold_1: int = 2, threshold_2: int = 2
     """Rows of the largest set in which every id of either column has enough rows."""
     if panel.meta.layout.wide:
         return panel.through_long(lambda long: min_joint_obs_frame(long, threshold_1, threshold_2, name_1, name_2, drop_returns_to_stays))
+    if not _merges(panel) and name_1 != name_2:
+        return peel_pairs(panel, {name_1: threshold_1, name_2: threshold_2})
     return until_stable(panel, lambda p: min_obs_frame(min_obs_frame(p, threshold_1, name_1, drop_returns_to_stays), threshold_2, name_2, drop_returns_to_stays))
 
 
@@ -237,11 +308,20 @@ def min_workers_frame(panel: Panel, threshold: int = 15, drop_returns_to_stays:
 
 def min_moves_frame(panel: Panel, threshold: int = 2, drop_returns_to_stays: bool = False) -> Panel:
     """Rows of firms with enough moves, where dropping firms takes moves from others: until nothing changes."""
-    return panel if threshold <= 0 else _frame(panel, lambda p: min_moves_firms(p, threshold), "j", drop_returns_to_stays, True)
+    return panel if threshold <= 0 else _peeled(panel, threshold, False, drop_returns_to_stays)
 
 
 def min_movers_frame(panel: Panel, threshold: int = 15, drop_returns_to_stays: bool = False) -> Panel:
-    return panel if threshold <= 0 else _frame(panel, lambda p: min_movers_firms(p, threshold), "j", drop_returns_to_stays, True)
+    return panel if threshold <= 0 else _peeled(panel, threshold, True, drop_returns_to_stays)
+
+
+def _peeled(panel: Panel, threshold: int, distinct: bool, to_stays: bool) -> Panel:
+    """Spells that merge change a worker's rows for good, so such panels are gone through as a whole in each round."""
+    if panel.meta.layout.wide:
+        return panel.through_long(lambda long: _peeled(long, threshold, distinct, to_stays))
+    if not _merges(panel):
+        return peel_firms(panel, threshold, distinct)
+    return _frame(panel, lambda p: (min_movers_firms if distinct else min_moves_firms)(p, threshold), "j", to_stays, True)
 
 
 def fill_missing_periods(panel: Panel, fill: dict | None = None) -> DataFrame:

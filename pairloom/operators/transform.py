@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Aggregate = str | Callable[[np.ndarray], float]
+from pairloom.functions.aggregates import TwoStage, group_values, is_custom
+
+Aggregate = str | TwoStage | Callable[[np.ndarray], float]
 PLAIN: dict[str, Callable[[Column], Column]] = {
     "array": F.collect_list,
     "n_unique": F.count_distinct,
@@ -29,12 +30,8 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def _grouped(df: DataFrame, by: str, column: str, func: Aggregate, weights: str | None, name: str) -> DataFrame:
     x = F.col(column)
-    if callable(func):
-
-        def own(values: pd.Series) -> float:
-            return float(func(values.to_numpy()))
-
-        return df.groupBy(by).agg(F.pandas_udf(own, "double")(x).alias(name))
+    if is_custom(func):
+        return group_values(df, [by], column, func, name)
     if func not in PLAIN:
         raise ValueError(f"func must be a function or one of {sorted(PLAIN)}")
     if weights is None or func not in ("sum", "var"):
@@ -50,12 +47,12 @@ def _grouped(df: DataFrame, by: str, column: str, func: Aggregate, weights: str
 def aggregate_transform(df: DataFrame, by: str, column: str, func: Aggregate, *, weights: str | None = None, name: str | None = None, merge: bool = True) -> DataFrame:
     """Aggregate column by the values of `by`.
 
-    func is array, n_unique, max, min, sum or var (of the population), or a function from the
-    group's values (a numpy array, in no stated order) to a number. Weights count for sum and var.
+    func is array, n_unique, max, min, sum or var (of the population), a function from the
+    group's values (a numpy array, in no stated order) to a number, or a TwoStage aggregate. Weights count for sum and var.
     With merge every row of df comes back with the group's value in a new column, called `name`
     (func's name, or m for a function) with an m added until it is free; without, one row for each
     group with the columns `by` and that one. Groups are summed in the tasks first and joined, so
-    one that holds much of the table is split; only array and functions bring a group to one task.
+    one that holds much of the table is split; only array and plain functions bring a group to one task.
 
     Rows with a null in `by` are a group of their own. Nulls in column count for nothing but in a
     function's array. The order of the rows doesn't matter. An empty table gives no row.

@@ -3,7 +3,7 @@
 Panels: A has orders as workers, suppliers as firms, line numbers as periods and prices as
 outcomes (with quantities as weights in AW). D has users as workers, the number in an event's
 props as firm and days as periods. E is D with firms kept apart for every ten users, which gives
-many components. All of them are cleaned of repeated worker-periods first.
+many components. S is E with a firm for every ten days, which leaves few links. All of them are cleaned of repeated worker-periods first.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions.aggregates import TwoStage
 from pairloom.functions.groupings import KMeans, Quantiles
 from pairloom.functions.measures import CDFs, Moments
+from pairloom.leave_out_sql import leave_out_firm_sql, leave_out_sql
 from pairloom.operators import connect
 from pairloom.operators.cluster import firm_measures
 from pairloom.operators.panel import Panel
@@ -73,11 +75,17 @@ def panel_e(spark: SparkSession, d: str) -> Panel:
     return Panel.of(rows).drop_i_t_duplicates()
 
 
+def panel_s(spark: SparkSession, d: str) -> Panel:
+    rows = event_rows(spark, d).withColumn("j", F.floor(F.col("i") / 10) * 10000 + F.col("j") * 10 + F.floor(F.col("t") / 10))
+    return Panel.of(rows).drop_i_t_duplicates()
+
+
 RAW = {
     "A": "SELECT CAST(l_orderkey AS BIGINT) AS i, CAST(l_suppkey AS BIGINT) AS j, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_linenumber AS BIGINT) AS t FROM lineitem",
     "AW": "SELECT CAST(l_orderkey AS BIGINT) AS i, CAST(l_suppkey AS BIGINT) AS j, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_linenumber AS BIGINT) AS t, CAST(l_quantity AS DOUBLE) AS w FROM lineitem",
     "D": "SELECT CAST(user_id AS BIGINT) AS i, CAST(json_extract_string(props, '$.k') AS BIGINT) AS j, CAST(value AS DOUBLE) AS y, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t FROM events",
     "E": "SELECT CAST(user_id AS BIGINT) AS i, (user_id // 10) * 1000 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS j, CAST(value AS DOUBLE) AS y, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t FROM events",
+    "S": "SELECT CAST(user_id AS BIGINT) AS i, (user_id // 10) * 10000 + CAST(json_extract_string(props, '$.k') AS BIGINT) * 10 + datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 10 AS j, CAST(value AS DOUBLE) AS y, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t FROM events",
 }
 O = "(PARTITION BY i ORDER BY t, j)"
 MOVES = f"COALESCE(CAST(LAG(j) OVER {O} <> j AS BIGINT), 0) + COALESCE(CAST(LEAD(j) OVER {O} <> j AS BIGINT), 0)"
@@ -127,6 +135,13 @@ for how, sql in (("max", "MAX"), ("sum", "SUM"), ("mean", "AVG"), ("min", "MIN")
     query(f"it_dedup_{how}", text)(lambda spark, d, how=how: raw_a(spark, d).drop_i_t_duplicates(how))
 
 
+#: Root mean square in two stages: sums and numbers of squares.
+RMS = TwoStage(lambda: (0.0, 0), lambda s, v: (s[0] + float((v * v).sum()), s[1] + len(v)), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: (s[0] / s[1]) ** 0.5)
+for how, sql, function in (("values", "MEDIAN(y)", np.median), ("two_stage", "SQRT(AVG(y * y))", RMS)):
+    text = f"WITH raw AS ({RAW['D']}), v AS (SELECT i, j, t, {sql} AS y FROM raw GROUP BY i, j, t), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY i, t ORDER BY y DESC, j) AS r FROM v), d AS (SELECT i, j, t, y FROM k WHERE r = 1) SELECT i, j, {r('y')}, t, {MOVES} AS m FROM d"
+    query(f"it_dedup_{how}", text)(lambda spark, d, function=function: Panel.of(event_rows(spark, d)).drop_i_t_duplicates(function))
+
+
 @query("drop_duplicates_without_t", f"WITH raw AS ({RAW['A']}) SELECT DISTINCT i, j, {r('y')} FROM raw")
 def _(spark, d):
     return Panel.of(lineitem_rows(spark, d).drop("t")).drop_i_t_duplicates().df.select("i", "j", "y")
@@ -204,6 +219,10 @@ for how, (sql, weighted) in CUSTOM.items():
     text = base("AW" if weighted else "D") + f", c AS (SELECT *, y / 7.3 AS c{mu} FROM p) SELECT i, j, MIN(t) AS t1, MAX(t) AS t2, ROUND({sql}, {DIGITS}) AS c FROM c GROUP BY i, j"
     query(f"collapse_custom_{how}", text)(_custom(how, weighted))
 
+for how, sql, function in (("values", "MEDIAN(c)", np.median), ("two_stage", "SQRT(AVG(c * c))", RMS)):
+    text = base("D") + f", c AS (SELECT *, y / 7.3 AS c FROM p) SELECT i, j, MIN(t) AS t1, MAX(t) AS t2, ROUND({sql}, {DIGITS}) AS c FROM c GROUP BY i, j"
+    query(f"collapse_custom_{how}", text)(lambda spark, d, function=function: panel_d(spark, d).add_column("c", F.col("y") / 7.3, dtype="float", how_collapse=function).collapse("match").df.select("i", "j", "t1", "t2", "c"))
+
 SPELL_CTE = ", c AS (SELECT i, j, MIN(t) AS t1, MAX(t) AS t2, AVG(y) AS y, CAST(COUNT(*) AS DOUBLE) AS w FROM s GROUP BY i, j, spell)"
 AGAIN = ", x AS (SELECT *, CASE WHEN LAG(j) OVER {o} = j THEN 0 ELSE 1 END AS new FROM {of}), z AS (SELECT *, SUM(new) OVER (PARTITION BY i ORDER BY t1, t2, j ROWS UNBOUNDED PRECEDING) AS sp FROM x), c2 AS (SELECT i, j, MIN(t1) AS t1, MAX(t2) AS t2, SUM(w * y) / SUM(w) AS y, SUM(w) AS w FROM z GROUP BY i, j, sp)"
 
@@ -214,7 +233,15 @@ def _(spark, d):
     return p.drop_ids("j", p.df.where("j % 10 = 3").select("j"))
 
 
-@query("recollapse_drop")
+def lone(n: int) -> str:
+    """n rounds of dropping spells that have become neighbours of one of the same firm; more than the tables need."""
+    out = base("D", spells=True) + SPELL_CTE + ", k0 AS (SELECT * FROM c WHERE j % 10 <> 3)"
+    for k in range(n):
+        out += f", x{k} AS (SELECT *, CASE WHEN LAG(j) OVER {O1} = j THEN 0 ELSE 1 END AS new FROM k{k}), z{k} AS (SELECT * EXCLUDE (new), SUM(new) OVER (PARTITION BY i ORDER BY t1, t2, j ROWS UNBOUNDED PRECEDING) AS sp FROM x{k}), k{k + 1} AS (SELECT * EXCLUDE (sp, n) FROM (SELECT *, COUNT(*) OVER (PARTITION BY i, sp) AS n FROM z{k}) WHERE n = 1)"
+    return out + f" SELECT i, j, t1, t2, {r('y', 'w')}, {MOVES1} AS m FROM k{n}"
+
+
+@query("recollapse_drop", lone(5))
 def _(spark, d):
     p = panel_d(spark, d).collapse()
     return p.drop_ids("j", p.df.where("j % 10 = 3").select("j"), True)
@@ -330,14 +357,31 @@ WEAK = REACH.format(edges="both_") + ", comp AS (SELECT a AS j, MIN(b) AS c, COU
 STRONG = REACH.format(edges="ed") + ", comp AS (SELECT f.a AS j, MIN(f.b) AS c, COUNT(*) AS n FROM reach f JOIN reach g ON f.a = g.b AND f.b = g.a GROUP BY f.a)"
 query("components", base("E") + WEAK + " SELECT j, c AS component, n AS vertices FROM comp")(lambda spark, d: connect.firm_parts(p := panel_e(spark, d), connect.firm_links(p)))
 query("strong_components", base("E") + STRONG + " SELECT j, c AS component, n AS vertices FROM comp")(lambda spark, d: connect.firm_parts(p := panel_e(spark, d), connect.firm_links(p), True))
+query("strong_components_giant", base("D") + STRONG + " SELECT j, c AS component, n AS vertices FROM comp")(lambda spark, d: connect.firm_parts(p := panel_d(spark, d), connect.firm_links(p), True))
+TWO_ENDS = ", lk AS MATERIALIZED (SELECT i, j FROM (SELECT *, MAX(m) OVER (PARTITION BY i) AS mm FROM p) WHERE mm > 0 GROUP BY i, j), ve AS MATERIALIZED (SELECT j AS u, -1 - i AS v FROM lk UNION ALL SELECT -1 - i, j FROM lk)"
+
+
+def without(kind: str) -> str:
+    """What is still reached from a pair's firm, or from a worker's least firm, when the pair or the worker is taken out."""
+    if kind == "worker":
+        return TWO_ENDS + ", wk AS (SELECT i, MIN(j) AS z FROM lk GROUP BY i UNION SELECT w.i, e.v FROM wk w JOIN ve e ON w.z = e.u WHERE e.v <> -1 - w.i)"
+    return TWO_ENDS + ", wk AS (SELECT i, j, j AS z FROM lk UNION SELECT w.i, w.j, e.v FROM wk w JOIN ve e ON w.z = e.u WHERE NOT (e.u = w.j AND e.v = -1 - w.i) AND NOT (e.v = w.j AND e.u = -1 - w.i))"
+
+
+query("articulation_matches", base("S") + without("match") + " SELECT i, j FROM lk EXCEPT SELECT i, j FROM wk WHERE z = -1 - i")(lambda spark, d: connect.articulation_rows(panel_s(spark, d), "match"))
+query("articulation_workers", base("S") + without("worker") + " SELECT DISTINCT lk.i FROM lk LEFT JOIN wk ON lk.i = wk.i AND lk.j = wk.z WHERE wk.z IS NULL")(lambda spark, d: connect.articulation_rows(panel_s(spark, d), "worker"))
 BEST = ", best AS (SELECT c FROM comp GROUP BY c ORDER BY COUNT(*) DESC, MAX(n) DESC, MIN(j) LIMIT 1), k AS (SELECT i, j, y, t FROM p WHERE j IN (SELECT j FROM comp WHERE c = (SELECT c FROM best))) "
 query("connected", base("E") + WEAK + BEST + AGAIN_M)(lambda spark, d: panel_e(spark, d).connected("connected"))
 query("strongly_connected", base("E") + STRONG + BEST + AGAIN_M)(lambda spark, d: panel_e(spark, d).connected("strongly_connected"))
 BY_MOVES = ", best AS (SELECT c FROM p JOIN comp USING (j) GROUP BY c ORDER BY COUNT(CASE WHEN m > 0 THEN 1 END) DESC, MAX(n) DESC, MIN(j) LIMIT 1), k AS (SELECT i, j, y, t FROM p WHERE j IN (SELECT j FROM comp WHERE c = (SELECT c FROM best))) "
 query("connected_by_moves", base("E") + WEAK + BY_MOVES + AGAIN_M)(lambda spark, d: panel_e(spark, d).connected("connected", size="moves"))
 
-for measure in ("leave_out_observation", "leave_out_spell", "leave_out_match", "leave_out_worker", "leave_out_firm", "strongly_leave_out_observation", "strongly_leave_out_spell", "strongly_leave_out_match", "strongly_leave_out_worker"):
-    query(measure)(lambda spark, d, measure=measure: panel_e(spark, d).connected(measure))
+for group in ("observation", "spell", "match", "worker"):
+    for strong in (False, True):
+        measure = "strongly_" * strong + f"leave_out_{group}"
+        query(measure, leave_out_sql(base("E"), group, strong))(lambda spark, d, measure=measure: panel_e(spark, d).connected(measure))
+query("strongly_leave_out_worker_sparse", leave_out_sql(base("S"), "worker", True))(lambda spark, d: panel_s(spark, d).connected("strongly_leave_out_worker"))
+query("leave_out_firm", leave_out_firm_sql(base("E")) + AGAIN_M)(lambda spark, d: panel_e(spark, d).connected("leave_out_firm"))
 query("connected_drop_single_stayers", base("E") + WEAK + BEST + f", k2 AS (SELECT *, {MOVES} AS m FROM k), k3 AS (SELECT *, MAX(m) OVER (PARTITION BY i) AS mm, COUNT(*) OVER (PARTITION BY i) AS nn FROM k2) SELECT i, j, {r('y')}, t, m FROM k3 WHERE mm > 0 OR nn > 1")(lambda spark, d: panel_e(spark, d).connected("connected", drop_single_stayers=True))
 
 
@@ -420,9 +464,27 @@ query("aggregate_transform_n_unique", base() + " SELECT i, j, t, k AS n_unique F
 query("aggregate_transform_sum", base("AW") + f" SELECT j, ROUND(SUM(y * w), 2) AS total FROM p GROUP BY j")(lambda spark, d: aggregate_transform(panel_aw(spark, d).df, "j", "y", "sum", weights="w", name="total", merge=False).select("j", F.round("total", 2).alias("total")))
 query("aggregate_transform_function", base() + f" SELECT j, ROUND(MEDIAN(y), {DIGITS}) AS mm FROM p GROUP BY j")(lambda spark, d: aggregate_transform(panel_a(spark, d).df, "j", "y", np.median, merge=False))
 
+query("aggregate_transform_two_stage", base() + f" SELECT j, ROUND(SQRT(AVG(y * y)), 2) AS rms FROM p GROUP BY j")(lambda spark, d: aggregate_transform(panel_a(spark, d).df, "j", "y", RMS, name="rms", merge=False).select("j", F.round("rms", 2).alias("rms")))
+
 KEPT = f", k AS (SELECT i, j, y, t FROM p WHERE j % 3 {{test}} 1), p2 AS (SELECT *, {MOVES} AS m FROM k)" + ES.replace("FROM p)", "FROM p2)") + f" SELECT i, j1, j2, {r('y1', 'y2')}, t1, t2, m FROM e"
 query("keep_ids_eventstudy", base() + KEPT.format(test="="))(lambda spark, d: (p := panel_a(spark, d)).to_eventstudy().keep_ids("j", p.df.where("j % 3 = 1").select("j")))
 query("drop_ids_eventstudy", base() + KEPT.format(test="<>"))(lambda spark, d: (p := panel_a(spark, d)).to_eventstudy().drop_ids("j", p.df.where("j % 3 = 1").select("j")))
+BY_ROW = "ROW_NUMBER() OVER (ORDER BY i, t1, j1) - 1 AS i, " + ees_out(3).removeprefix("i, ")
+EES_KEPT = base() + ees(3) + LONG_AGAIN + f", p2 AS (SELECT *, {MOVES} AS m FROM a WHERE j % 3 {{test}} 1)" + ees(3).replace("FROM p)", "FROM p2)").replace(" v AS", " v2 AS").replace("FROM v ", "FROM v2 ").replace(" e AS", " e2 AS") + f" SELECT {BY_ROW} FROM e2"
+for name, test in (("keep_ids", "="), ("drop_ids", "<>")):
+    query(f"{name}_extendedeventstudy", EES_KEPT.format(test=test))(lambda spark, d, name=name: getattr((p := panel_a(spark, d)).to_extendedeventstudy(2, 1, move_to_worker=False), name)("j", p.df.where("j % 3 = 1").select("j")))
+query("gen_m_extendedeventstudy", base() + ees(3) + f" SELECT {ees_out(3)} FROM e")(lambda spark, d: panel_a(spark, d).to_extendedeventstudy(2, 1, move_to_worker=False).gen_m(force=True))
+WIDE_PLACES = ES + ", o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY i, t1, t2) - 1 AS place FROM e)"
+for name, test in (("keep_rows", "IN"), ("drop_rows", "NOT IN")):
+    query(f"{name}_eventstudy", base() + WIDE_PLACES + f" SELECT i, j1, j2, {r('y1', 'y2')}, t1, t2, m FROM o WHERE place {test} (0, 2, 3, 50, 51, 57, 100)")(lambda spark, d, name=name: getattr(panel_a(spark, d).to_eventstudy(), name)([0, 2, 3, 50, 51, 57, 100]))
+
+
+@query("collapse_at_leave_out_match", leave_out_sql(base("E") + ", merged AS (SELECT i, j, MIN(t) AS t, AVG(y) AS y FROM p GROUP BY i, j)" + f", whole_p AS (SELECT i, j, y, t, {MOVES} AS m FROM merged)", "observation", False, table="whole_p"))
+def _(spark, d):
+    p = panel_e(spark, d)
+    return p.collapse("match").connected("leave_out_observation").df.select("i", "j", "y", F.col("t1").alias("t"), "m")
+
+
 query("gen_m_eventstudy", base() + ES + f" SELECT i, j1, j2, {r('y1', 'y2')}, t1, t2, m FROM e")(lambda spark, d: panel_a(spark, d).to_eventstudy().gen_m(force=True))
 query("connected_eventstudy", base("E") + WEAK + BEST + f", p2 AS (SELECT *, {MOVES} AS m FROM k)" + ES.replace("FROM p)", "FROM p2)") + f" SELECT i, j1, j2, {r('y1', 'y2')}, t1, t2, m FROM e")(lambda spark, d: panel_e(spark, d).to_eventstudy().connected("connected"))
 
