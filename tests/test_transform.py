@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from pairloom.functions.aggregates import TwoStage, group_values
 from pairloom.operators.transform import aggregate_transform
 from pairloom.plans.numbering import exact_quantiles, running_sum
 
@@ -54,3 +55,45 @@ def test_quantiles(spark):
     shares = [0.0, 0.25, 0.5, 0.9, 1.0]
     assert exact_quantiles(df, "x", shares) == pytest.approx(np.quantile([3, 1, 1, 1, 8], shares).tolist())
     assert exact_quantiles(df.limit(0), "x", shares) == [None] * 5
+
+
+def two_stage_range():
+    def wider(a, b):
+        return b if a is None else a if b is None else (min(a[0], b[0]), max(a[1], b[1]))
+
+    return TwoStage(lambda: None, lambda s, v: wider(s, (np.nanmin(v), np.nanmax(v))) if (~np.isnan(v)).any() else s, wider, lambda s: None if s is None else s[1] - s[0])
+
+
+RANGE = two_stage_range()
+
+
+def test_two_stages(rows):
+    def got(func):
+        return {r.k: r[-1] for r in aggregate_transform(rows, "k", "x", func, merge=False).collect()}
+
+    assert got(RANGE) == got(lambda x: np.nanmax(x) - np.nanmin(x)) == {"a": 2, "b": 0, None: 2}
+    assert aggregate_transform(rows.limit(0), "k", "x", RANGE).count() == 0
+    nulls = rows.where("x is null")
+    assert [r[-1] for r in aggregate_transform(nulls, "k", "x", RANGE, merge=False).collect()] == [None]
+    two = {(r.k, r.w): r.v for r in group_values(rows, ["k", "w"], "x", RANGE, "v").collect()}
+    assert two == {("a", 2.0): 0, ("a", 1.0): 0, ("b", 1.0): None, ("b", 2.0): 0, (None, 1.0): 0, (None, 3.0): 0}
+
+
+@pytest.mark.parametrize("how", [None, RANGE])
+def test_functions_where_rows_are_merged(panel, rows_of, how):
+    how = how or (lambda y: y.max() - y.min())
+    rows = [(0, 0, 1, 1), (0, 0, 5, 1), (0, 1, 3, 1), (0, 1, 2, 2), (1, 0, 4, 1), (1, 0, 4, 2)]
+    got = panel(rows).drop_i_t_duplicates(how)
+    assert rows_of(got, "i", "j", "y", "t") == [(0, 0, 4, 1), (0, 1, 0, 2), (1, 0, 0, 1), (1, 0, 0, 2)]
+    from pyspark.sql import functions as F
+
+    p = panel(rows).drop_i_t_duplicates().add_column("c", F.col("y") * 2, dtype="float", how_collapse=how).collapse()
+    assert rows_of(p, "i", "j", "c") == [(0, 0, 0), (0, 1, 0), (1, 0, 0)]
+    assert panel(rows).clean(i_t_how=how).df.count() == 4
+
+
+def test_functions_of_columns(panel, rows_of):
+    from pyspark.sql import functions as F
+
+    got = panel([(0, 0, 1, 1), (0, 0, 5, 1)]).drop_i_t_duplicates(lambda c: F.max(c) - F.min(c))
+    assert rows_of(got, "y") == [(4,)]
