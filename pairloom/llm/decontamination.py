@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import keep_rows, slices, utf8
-from pairloom.plans.scratch import materialise
+from pairloom.plans.scratch import drop_scratch, materialise
 
 #: Words of the benchmark whose index is sent to the tasks at once (about 100 bytes a word there).
 BLOCK_WORDS = 1 << 20
@@ -224,13 +224,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, co
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, containment: float = 1.0, block_words: int = BLOCK_WORDS, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """The rows in which no window occurs, with all their columns; one block after another filters them."""
+    """The rows in which no window occurs, with all their columns.
+
+    One block after another filters them. What a block keeps is written before the next block's
+    turn, so a task holds one block's index at a time.
+    """
     sc = docs.sparkSession.sparkContext
-    kept = docs
+    kept, shared, written = docs, None, None
     for items in _blocks(benchmark, item_column, item_text_column, block_words):
+        if shared is not None:
+            before, written = written, materialise(kept, "clean")
+            kept = written
+            shared.unpersist()
+            if before is not None:
+                drop_scratch(before)
         index = Index(items, window, containment)
-        index.order(_rarity(docs, text_column, sc.broadcast(index)))
-        kept = keep_rows(kept, text_column, _clean_of(sc.broadcast(index)))
+        counted = sc.broadcast(index)
+        index.order(_rarity(docs, text_column, counted))
+        counted.unpersist()
+        shared = sc.broadcast(index)
+        kept = keep_rows(kept, text_column, _clean_of(shared))
     return kept
 
 

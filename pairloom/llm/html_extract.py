@@ -10,7 +10,8 @@ Character references are decoded, white space inside a block becomes one space,
 trimmed, empty ones left out, and main blocks joined by one line feed in page order. A head without
 an end tag ends at the first start tag or text that can't stand in it.
 
-Reading goes forward only, so its time grows with the page's length, whatever the markup.
+Reading goes forward only, elements know the one around them, and labelling enters each element
+once, so time grows with the page's length, whatever the markup.
 
 Results for special input: a null or empty html gives the empty text; text without any element
 is one block; unclosed and crossed elements are closed where their parent ends; a null or
@@ -40,10 +41,10 @@ NAME = re.compile(r"[a-z]+")
 #: Elements of formulas, which are part of their line; annotations aren't shown.
 MATH = frozenset("annotation annotation-xml maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 #: Fixed values of HTML: elements inside a line of text, without an end tag, and whose content is not shown.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark object q s samp small span strike strong sub sup svg time tt u var wbr canvas audio video math".split()) | MATH
+INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark object q s samp small span strike strong sub sup svg time tt u var wbr canvas audio video math".split()) | MATH
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes".split())
-HIDDEN = frozenset("annotation annotation-xml audio canvas head object option select svg video".split())
+HIDDEN = frozenset("annotation annotation-xml audio button canvas head object option select svg video".split())
 #: Start tags that can stand in a head; any other, or text, closes an open one.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements that a start tag of the same kind closes.
@@ -68,41 +69,45 @@ def tag_end(source: str, at: int) -> int:
     return len(source)
 
 
-Path = tuple[tuple[str, ...], str]
-Block = tuple[Path, str, float]
+class Element:
+    """A block element of a page: its mark (name with class, id and role words), the element around it, and how many enclose it, itself included."""
 
+    __slots__ = ("above", "mark", "depth")
 
-def blocks(source: str) -> list[Block]:
-    """Leaf blocks in order: path, text, and share of text in links.
+    def __init__(self, above: Element | None, mark: str):
+        self.above, self.mark, self.depth = above, mark, above.depth + 1 if above else 1
 
-    A path is the different marks of the enclosing elements (each with its class, id and role
-    words), and the mark of the innermost; elements share their parents' part of it.
-    """
+
+Block = tuple[Element | None, str, float]
+
+
+def blocks(source: str) -> list[Block]:
+    """Leaf blocks in order: the innermost block element around them, text, and share of text in links."""
     out: list[Block] = []
-    open_: list[tuple[str, Path]] = []
+    open_: list[tuple[str, Element | None]] = []
     count: Counter[str] = Counter()
     text: list[str] = []
     linked = total = hidden = links = 0
-    path: Path = ((), "")
+    around: Element | None = None
 
     def flush() -> None:
         nonlocal linked, total
         if text:
             joined = SPACE.sub(" ", "".join(text)).strip()
             if joined:
-                out.append((path, joined, linked / max(1, total)))
+                out.append((around, joined, linked / max(1, total)))
             text.clear()
         linked = total = 0
 
     def say(part: str, literal: bool = False) -> None:
-        nonlocal linked, total, path
+        nonlocal linked, total, around
         if open_ and open_[-1][0] == "head" and part.strip():
             close(len(open_) - 1)
         if hidden or not part:
             return
         part = entities.unescape(part) if "&" in part and not literal else part
         if not text:
-            path = open_[-1][1] if open_ else ((), "")
+            around = open_[-1][1] if open_ else None
         text.append(part)
         n = len(part.strip())
         total += n
@@ -157,11 +162,10 @@ def blocks(source: str) -> list[Block]:
                     break
                 if open_[k][0] not in INLINE and open_[k][0] not in ends:
                     break
-        above = open_[-1][1] if open_ else ((), "")
+        above = open_[-1][1] if open_ else None
         if name not in INLINE:
             words = " ".join((a[1] or a[2] or a[3]).lower() for a in (x.groups() for x in ATTRIBUTE.finditer(inside)) if a[1] or a[2] or a[3]) if inside else ""
-            mark = f"{name} {words}" if words else name
-            above = (above[0] if mark in above[0] else (*above[0], mark), mark)
+            above = Element(above, f"{name} {words}" if words else name)
         open_.append((name, above))
         count[name] += 1
         hidden += name in HIDDEN
@@ -178,30 +182,24 @@ def blocks(source: str) -> list[Block]:
 
 
 @lru_cache(1 << 12)
-def _ancestor_features(path: Path) -> tuple[str, ...]:
-    out = set()
-    marks, leaf = path
-    for mark in marks:
-        name, _, words = mark.partition(" ")
-        out.add("in:" + name)
-        for w in NAME.findall(words):
-            out.add("is:" + w)
-            out.update("has:" + k for k in KEYS if k in w)
-    if leaf:
-        name, _, words = leaf.partition(" ")
-        out.add("leaf:" + name)
-        out.add("bare" if not words else "marked")
-    return tuple(sorted(out))
-
-
-#: Parts of class, id and role words that occur in many compounds.
-KEYS = ("nav", "menu", "foot", "head", "side", "comment", "cookie", "ad", "promo", "share", "social", "content", "article", "post", "body", "main", "related", "form", "search", "notice", "copy")
-
-
-def features(path: Path, text: str, linked: float) -> list[str]:
+def _mark_features(mark: str) -> frozenset[str]:
+    """What a block gets from an element of this mark around it."""
+    name, _, words = mark.partition(" ")
+    out = {"in:" + name}
+    for w in NAME.findall(words):
+        out.add("is:" + w)
+        out.update("has:" + k for k in KEYS if k in w)
+    return frozenset(out)
+
+
+def _own_features(element: Element | None, text: str, linked: float) -> list[str]:
+    """What a block gets from its text and the innermost element."""
     n = len(text)
     words = text.count(" ") + 1
-    out = [*_ancestor_features(path), f"words:{min(words.bit_length(), 7)}", f"links:{round(3 * linked)}"]
+    out = [f"words:{min(words.bit_length(), 7)}", f"links:{round(3 * linked)}"]
+    if element:
+        name, _, marked = element.mark.partition(" ")
+        out += ["leaf:" + name, "marked" if marked else "bare"]
     out.append("stop" if text[-1] in ".!?…\"»”" else "no stop")
     if "©" in text or "copyright" in text[:80].lower():
         out.append("copyright")
@@ -210,6 +208,49 @@ def features(path: Path, text: str, linked: float) -> list[str]:
     return out
 
 
+#: Parts of class, id and role words that occur in many compounds.
+KEYS = ("nav", "menu", "foot", "head", "side", "comment", "cookie", "ad", "promo", "share", "social", "content", "article", "post", "body", "main", "related", "form", "search", "notice", "copy")
+
+
+def features(element: Element | None, text: str, linked: float) -> list[str]:
+    """All features of a block: those of every element around it, each once, and its own."""
+    own, around = _own_features(element, text, linked), set()
+    while element:
+        around |= _mark_features(element.mark)
+        element = element.above
+    return [*sorted(around), *own]
+
+
+class Trail:
+    """Weights of the elements around the block at hand.
+
+    Blocks come in page order, so going from one to the next leaves and enters each element once.
+    An element adds the weights of those features that none around it has.
+    """
+
+    def __init__(self, weights: dict[str, tuple[float, float]]):
+        self.weights = weights
+        self.steps: list[tuple[Element, float, float, list[str]]] = []
+        self.active: set[str] = set()
+
+    def go(self, to: Element | None) -> tuple[float, float]:
+        enter = []
+        while to and not (to.depth <= len(self.steps) and self.steps[to.depth - 1][0] is to):
+            enter.append(to)
+            to = to.above
+        while len(self.steps) > (to.depth if to else 0):
+            self.active.difference_update(self.steps.pop()[3])
+        for element in reversed(enter):
+            _, a, b, _ = self.steps[-1] if self.steps else (None, 0.0, 0.0, None)
+            new = [f for f in sorted(_mark_features(element.mark)) if f not in self.active]
+            for f in new:
+                w = self.weights.get(f, (0.0, 0.0))
+                a, b = a + w[0], b + w[1]
+            self.active.update(new)
+            self.steps.append((element, a, b, new))
+        return self.steps[-1][1:3] if self.steps else (0.0, 0.0)
+
+
 class Chain:
     """Two labels; weights of features by label, of label pairs, and of the first label."""
 
@@ -225,9 +266,10 @@ class Chain:
         get = self.weights.get
         back: list[tuple[int, int]] = []
         a = b = 0.0
+        trail = Trail(self.weights)
         for k, block in enumerate(page_blocks):
-            e0 = e1 = 0.0
-            for f in features(*block):
+            e0, e1 = trail.go(block[0])
+            for f in _own_features(*block):
                 w = get(f, none)
                 e0 += w[0]
                 e1 += w[1]
@@ -289,7 +331,7 @@ def labelled(seed: int) -> tuple[list[Block], list[int]]:
     """Blocks of a written page and their labels: its parts are told apart by marks that are taken out again."""
     parts = page(seed)
     found = blocks("".join(_mark(html) if label else html for label, html in parts))
-    return [(path, text.replace(MARK, ""), linked) for path, text, linked in found], [int(MARK in text) for _, text, _ in found]
+    return [(around, text.replace(MARK, ""), linked) for around, text, linked in found], [int(MARK in text) for _, text, _ in found]
 
 
 #: A private character that no written page contains.

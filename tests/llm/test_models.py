@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pairloom.llm import quality, toxicity
+from pairloom.llm import html_extract, quality, toxicity
 from pairloom.llm.html_extract import Chain, blocks, extract_text, features, labelled, main_text, trained_chain
 from pairloom.llm.lm import LogBilinear, Trainer, band_of, band_starts, score_texts, shape, train, vocabulary, word_counts
 
@@ -310,6 +310,32 @@ def test_blocks_take_time_in_proportion():
         assert time.process_time() - began < 10, source[:30]
 
 
+def test_long_pages_of_different_marks():
+    """A megabyte of nested elements, each with a mark of its own and a text, labelled in time that is in proportion."""
+    chain = trained_chain()
+    source = "".join(f"<div id=x{k}>word {k} here." for k in range(40_000))
+    assert len(source) > 1 << 20
+    began = time.process_time()
+    main_text(source, chain)
+    assert time.process_time() - began < 10
+
+
+def test_labels_are_those_of_all_features():
+    """Weights summed along the page against each block's whole list of features."""
+    chain = trained_chain()
+    for source in [*(s for s, _ in SITES), "<div class=nav><div class=nav><p>a b</p></div>c<section class=nav>d</section></div><p>e.</p>f" * 3]:
+        found = blocks(source)
+        trail = html_extract.Trail(chain.weights)
+        for b in found:
+            around = set(features(*b)[: len(features(*b)) - len(html_extract._own_features(*b))])
+            want = np.array([chain.weights.get(f, (0.0, 0.0)) for f in around]).reshape(-1, 2).sum(axis=0)
+            assert np.allclose(trail.go(b[0]), want)
+
+
+def test_buttons_are_no_text():
+    assert [t for _, t, _ in blocks("<article><p>One two.</p><button class=x>Buy <b>now</b></button><p>Three <button>Copy</button> four.</p></article>")] == ["One two.", "Three four."]
+
+
 def test_blocks_of_odd_quotes():
     assert [t for _, t, _ in blocks("<p title=\"a>b\">one</p><p title='x>y' class=k>two</p><p it's>three</p><p a = \">\">four</p>")] == ["one", "two", "three", "four"]
     assert [t for _, t, _ in blocks('<p title="open>five</p>')] == ["five"]
