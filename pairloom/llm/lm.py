@@ -51,10 +51,10 @@ from pairloom.llm.common import slices_of_bytes
 from pairloom.llm.labelled import held_out
 from pairloom.plans.scratch import materialise
 
-#: Words with classes of their own for each square root of a distinct word, the bound of their number (reached at 4 * 10^9
+#: Words with classes of their own for each square root of a distinct word, the bound of their number (reached at 10^9
 #: distinct words), rare classes as a share of them, and words whose counts every task has at hand at least.
-PER_ROOT, MOST, RARE_SHARE, LOOKUP = 4, 1 << 18, 1 / 16, 1 << 17
-DIM, ROUNDS, BATCH, NOISE, BAND_NOISE = 16, 3, 2048, 64, 32
+PER_ROOT, MOST, RARE_SHARE, LOOKUP = 8, 1 << 18, 1 / 16, 1 << 17
+DIM, ROUNDS, BATCH, NOISE, BAND_NOISE = 32, 4, 2048, 128, 32
 #: Tokens that training visits at least, tokens a training task has at least (so that fewer parameters are merged), and tokens shuffled at once.
 LEAST, PART_TOKENS, SHUFFLED = 6_000_000, 4_000_000, 1 << 18
 #: Parameter rows that are merged as one, and tokens scored at once.
