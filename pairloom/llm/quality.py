@@ -11,7 +11,8 @@ A score is the logistic function of the distance to that cut, moved so that the
 Results for special input: a null or empty text has its own feature value, and a score; a null
 or repeated doc_id gives a row each; without labels of both kinds every score is the threshold
 (predicted 1), since nothing can be told apart; an empty table gives no row; other columns are
-not read.
+not read. Equal texts have equal scores; a value on a bin's edge belongs to the bin below, and a
+score of exactly the threshold is predicted 1.
 """
 
 from __future__ import annotations

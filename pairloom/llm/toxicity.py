@@ -1,7 +1,7 @@
 """Toxicity: a learned lexicon, matched with typing errors, and scores of what stands around it.
 
-Lexicon. From half of a labelled sample come the words, and word beginnings of 3 to 8 letters,
-that stand almost only in toxic documents; of a chain of beginnings the longest that still has
+Lexicon. From half of a labelled sample come the words of any length, and word beginnings of 3 to
+8 letters, that stand almost only in toxic documents; of a chain of beginnings the longest that still has
 most of the documents is kept. They form a trie.
 
 Matching. The trie is intersected with the Levenshtein automaton of each word looked up: a
@@ -39,6 +39,7 @@ from pairloom.plans.scratch import materialise
 
 WORD = re.compile(r"\w+")
 END = "$"
+#: Letters of the shortest term and of the longest beginning.
 SHORTEST, LONGEST = 3, 8
 FUZZY_LENGTH = 5
 #: Characters on each side of a match that its context covers.
@@ -130,7 +131,7 @@ class Lexicon:
 def terms(text: str) -> set[str]:
     """Whole words and beginnings of a text."""
     words = set(WORD.findall(text.lower()))
-    out = {w + END for w in words if SHORTEST <= len(w) <= 2 * LONGEST}
+    out = {w + END for w in words if len(w) >= SHORTEST}
     for k in range(SHORTEST, LONGEST + 1):
         out |= {w[:k] for w in words if len(w) >= k}
     return out

@@ -175,6 +175,50 @@ def test_quality(spark):
     assert quality.score_quality(docs.limit(0), ranking).count() == 0
 
 
+def plain_ratios(text):
+    """The ratios of a text, one character of ASCII after another."""
+    words, letters = text.split(), [bytes([c]) for c in text]
+    n, k = len(text), len(words)
+    times = [words.count(w) for w in dict.fromkeys(words)]
+    upper = lambda w: any(65 <= c <= 90 for c in w) and not any(97 <= c <= 122 for c in w)
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    sentences_ = text.split(b". ")
+    marks = sum(c in quality.MARKS for c in letters)
+    title = []
+    for w in words:
+        cased = [(c, j and (65 <= w[j - 1] <= 90 or 97 <= w[j - 1] <= 122)) for j, c in enumerate(w) if 65 <= c <= 90 or 97 <= c <= 122]
+        title.append(bool(cased) and all((c >= 97) == bool(follows) for c, follows in cased))
+    pairs = {(words[j], words[j + 1]) for j in range(k - 1)}
+    return [
+        math.log(1 + n), math.log(1 + k), n / k, len(times) / k, max(times) / k, sum(t**2 for t in times) / k**2, len(pairs) / max(1, k - 1),
+        sum(words[j] == words[j + 1] for j in range(k - 1)) / k, sum(65 <= c <= 90 for c in text) / n, sum(48 <= c <= 57 for c in text) / n, marks / n, marks / k,
+        sum(c > 127 for c in text) / n, sum(len(w) < 4 for w in words) / k, sum(len(w) > 11 for w in words) / k, max(len(w) for w in words) / n,
+        sum(upper(w) for w in words) / k, sum(title) / k, sum(all(65 <= c <= 90 or 97 <= c <= 122 for c in w) for w in words) / k,
+        len(set(lines)) / max(1, len(lines)), len(lines) / k, len(set(sentences_)) / len(sentences_), len(sentences_) / k,
+        *(sum(c == m for c in letters) / k for m in quality.SINGLE),
+    ]
+
+
+def test_quality_against_a_plain_version():
+    r = random.Random(12)
+    parts = ["The", "cat", "CAT", "Dog's", "x1", "an", "internationally", "tab\tbed", "Été", "###", "end. ", "a,b", "\n", "\n\n", "Mc-Donald", "2024", "[1]", "U.S."]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(1, 40))).encode() for _ in range(400)]
+    texts = [t for t in texts if t.split()] + [b"x", "é".encode(), b"same same same", b"a\nb\nb"]
+    x = np.array([quality.features(t) for t in texts])
+    assert np.allclose(x, [plain_ratios(t) for t in texts]) and quality.features(b" \n") == [0.0] * quality.N_FEATURES
+    y = np.array([int(b"CAT" not in t) for t in texts])
+    model = quality.fit(x, y, steps=100)
+
+    def raw(row):
+        return sum(model.weights[f][sum(v > e for e in model.edges[f])] for f, v in enumerate(row))
+
+    want = [1 / (1 + math.exp(-(raw(row) - model.cut + math.log(0.3 / 0.7)))) for row in x.tolist()]
+    assert np.allclose(model.score(x), want)
+    assert all((s >= 0.3) == (raw(row) >= model.cut) for s, row in zip(want, x.tolist(), strict=True) if abs(raw(row) - model.cut) > 1e-9)
+    good, bad = (model.raw(x[y == k]) for k in (1, 0))
+    assert (good[:, None] > bad).mean() > 0.95  # pairs in the order they were preferred
+
+
 def plain_near(word, entry, whole):
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -207,6 +251,49 @@ def test_automaton_is_exact():
         assert lexicon.match(word) == best, word
 
 
+def test_toxicity_against_a_plain_version():
+    """Every word against every entry by edit distance, every occurrence in its window, then the sum of the weights."""
+    r = random.Random(6)
+    entries = {"idiot$": 3.0, "lowei": 2.0, "freundschaftsbruchkerl$": 4.0, "veq": 2.5}
+    weights, scale = np.array([1.5, 0.5, -1.0, -0.5, 2.0, 0.3, 0.1, -2.0]), np.array([1.0, 2.0, 1.0, 2.0, 1.0, 4.0, 50.0])
+    model = toxicity.Toxicity(entries, frozenset({"idiom"}), weights, scale)
+    some = ["idiot", "idiott", "Idiom", "loweiten", "lowi", "freundschaftsbruchkerl", "freundschaftbruchkerl", "veqs", "vxq", "said", "schrieb", '"', "«", "»", "the", "cat", "ünd", ",", "\n"]
+    texts = ["", " ", "idiot"] + [" ".join(r.choices(some, k=r.randint(1, 40))) for _ in range(300)]
+
+    def match(word):
+        near = {e: plain_near(word, e.rstrip("$"), e.endswith("$")) for e in entries}
+        if exact := [entries[e] for e, d in near.items() if d == 0]:
+            return 1, max(exact)
+        inexact = [entries[e] for e, d in near.items() if d == 1 and len(e.rstrip("$")) >= 5]
+        return (2, max(inexact)) if inexact and word not in model.benign else (0, 0.0)
+
+    def score(text):
+        low, n, strongest = text.lower(), Counter(), 0.0
+        spans = [(m.start(), m.end()) for m in re.finditer(r"\w+", low)]
+        for a, b in spans:
+            kind, weight = match(low[a:b])
+            if not kind:
+                continue
+            before, after = low[max(0, a - 48) : a], low[b : b + 48]
+            opened = sum(c in '"“”„«»‘‹›' for c in before) % 2 == 1 and any(c in '"“”„«»‘‹›' for c in after)
+            told = any(w in re.findall(r"\w+", before) for w in ("said", "schrieb"))
+            n[kind, opened or told] += 1
+            strongest = max(strongest, weight / kind)
+        x = [math.log(1 + n[1, False]), math.log(1 + n[2, False]), math.log(1 + n[1, True]), math.log(1 + n[2, True]), float(n[1, False] > 0), strongest, 100.0 * (n[1, False] + n[2, False]) / max(1, len(spans))]
+        return 1 / (1 + math.exp(-sum(w * v / s for w, v, s in zip(weights, x, scale, strict=False)) - weights[-1]))
+
+    assert np.allclose(model.score(texts), [score(t) for t in texts])
+
+
+def test_terms_of_any_length():
+    word = "freundschaftsbruchkerl" * 40
+    assert {word + "$", word[:8], word[:3]} <= toxicity.terms(f"ein {word.upper()} ist da")
+    texts = [f"{word} x{k}" for k in range(20)]
+    counts = {t: (20, 0) for t in set.intersection(*map(toxicity.terms, texts))}
+    lexicon = toxicity.Lexicon({word + "$": 2.0})
+    assert counts and lexicon.match(word) == (1, 2.0) and lexicon.match(word[:-5] + word[-4:]) == (2, 2.0) and lexicon.match(word[:-2]) == (0, 0.0)
+
+
 def test_lexicon_has_every_term():
     counts = {f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}zz$": (10, 0) for k in range(5000)}
     assert len(toxicity.choose(counts, 20, 20)) == 5000
