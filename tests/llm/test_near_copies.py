@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from pairloom.llm.near_copies import drop_near_copies, meetings, prefixes
+from pairloom.llm import near_copies
+from pairloom.llm.near_copies import drop_near_copies, meetings, prefixes, told_apart
 from pairloom.llm.simhash import fingerprint
 
 
@@ -58,6 +59,33 @@ def test_crowded_bands(spark):
     assert sorted(tuple(x) for x in got.collect()) == plain_kept(rows) == rows[::2]
 
 
+def test_a_text_of_many_pairs_is_sent_to_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "TOGETHER", 8)
+    r = random.Random(4)
+    base = [[f"{c}{r.randrange(5000)}" for _ in range(200)] for c in "ab"]
+    texts = []
+    for k in range(90):
+        own = list(base[k % 2])
+        for at in r.sample(range(200), k % 7):
+            own[at] = f"n{r.randrange(10**6)}"
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 40)] + [(0, k) for k in range(40, 60)] + [(70, 71)], "src long, dst long")
+    towards = near_copies._towards_hubs(pairs).collect()
+    assert sorted((x.src, x.dst) for x in towards) == sorted([(k, 0) for k in range(1, 60)] + [(70, 71)])
+    assert {x.part for x in towards if x.dst == 0} == set(range(8)) and all(x.part == 0 for x in towards if x.dst == 71)
+    got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(tuple(x) for x in got.collect()) == plain_kept(rows)
+
+
+def test_sets_of_one_hash_are_told_apart(spark):
+    rows = [(1, 7, 1), (2, 7, 1), (3, 7, 2), (4, 8, 3), (5, 7, 2), (6, 7, 4)]
+    written = spark.createDataFrame(rows, "id long, `set` long, `check` long")
+    got = {x.id: x["set"] for x in told_apart(written).collect()}
+    assert (got[1], got[2], got[4]) == (7, 7, 8) and got[3] == got[5] and len(set(got.values())) == 4
+    assert told_apart(written.where("id in (1, 2, 4)")).columns == ["id", "set"]
+
+
 def test_rows_of_one_id(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(50)) for c in "ab")
     rows = [(3, b), (7, a), (7, b), (9, a), (None, a), (3, b)]
