@@ -1,22 +1,27 @@
-"""Near copies by the Jaccard similarity of word shingles, checked exactly.
+"""Near copies by SimHash: a grid join on segment bit counts, and the Jaccard similarity of word shingles as the exact check.
 
 Two texts are linked if the sets of their shingles (64-bit hashes) have a Jaccard similarity of
-at least `similarity`; groups are the components of these links. Candidates are texts that agree
-in one of BANDS bands of ROWS minima of hashes; a pair of similarity 0.8 is missed with a
-probability of 5e-5, one of 0.9 of 1e-10. SimHash can't give the candidates: such pairs differ
-in up to a dozen bits, and cells for that radius hold a constant share of all fingerprints.
-
-Texts with equal sets, by 128 bits of hashes, are taken together first. In each band the set that meets others most often,
-as the text does that the others are copies of, is compared with the rest. Most copies are then
-in one group. Sets of bands that still hold several groups go through an exact join by prefixes:
-shingles are ordered by rarity among those sets, two sets similar enough share one of the
+at least `similarity`; groups are the components of these links. A text's fingerprint is the
+SimHash of its set, of WORDS words of 64 bits, since texts of similarity 0.8 differ in 15 % of
+the bits, which few bits don't tell from chance. As in simhash.py it is embedded as its bit
+counts in segments of two bits, in unary; the Manhattan distance of embeddings is never above
+the Hamming distance of fingerprints. A grid's cell is what the embedding has in some segments.
+There are GRIDS grids, each of other segments, as many as make cells small: they are finer for
+more texts. Texts of one cell are looked at if their embeddings are within RADIUS, then if their
+fingerprints are, and are then compared by their whole texts.
+
+Texts with equal sets, by 128 bits of hashes, are taken together first. In each cell the set that meets others most often,
+as the text does that the others are copies of, is compared with the rest, so that a crowded
+cell makes no pairs of all its sets. Most copies are then in one group. What sets of different
+groups still have in common, beyond the grids' reach or in crowded cells, goes through an exact join by prefixes:
+shingles are ordered by rarity, two sets similar enough share one of the
 n - ceil(similarity * n) + 1 rarest of each, so only these are joined, and a passage or a text
 that many sets share makes no pairs of all of them. The sharper bound for a partner of a given
 size holds as well: rows are joined by shingle and classes of sizes, each with those partners
-only for which its place in the order is early enough. Candidates whose byte signatures (one byte of
-each minimum) agree too little are left out, which loses a pair of similarity 0.8 with a
-probability of 5e-5. The others are compared by their whole texts: only these texts move, one
-for each different set.
+only for which its place in the order is early enough. These candidates too are left out if
+their fingerprints differ in more than RADIUS bits, which is five standard deviations above what
+sets of similarity 0.8 differ in at most, those of four and five shingles (1e-6). The others are
+compared by their whole texts: only these texts move, one for each different set.
 
 Results for special input: texts without a word are copies of each other; a text of fewer words
 than a shingle is one shingle; rows with a null id stay and link nothing; rows with the same id
@@ -27,7 +32,7 @@ gives no row; columns may have any names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import give_back, materialise, slices, utf8
+from pairloom.llm.simhash import embedding
 from pairloom.plans.components import connected_components
 from pairloom.plans.scratch import drop_scratch
 
-BANDS, ROWS = 25, 5
-#: Share of the signature that a candidate pair agrees in, as a part of the similarity asked for.
-ALIKE = 0.825
+#: Words of 64 bits of a fingerprint; bits that two fingerprints differ in at most.
+WORDS, RADIUS = 4, 80
+SEGMENTS = 32 * WORDS
+#: Grids, and cells of each for every set: a finer grid makes fewer chance meetings and misses more near copies.
+GRIDS, SPARE = 128, 4
 #: Counters of shingles, by which they are ordered; how many share one changes the speed only.
 COUNTERS = 1 << 17
 #: Classes of set sizes for each factor of e between sizes; more make finer joins of more rows.
@@ -50,7 +58,8 @@ WIDTH = 32
 FEW_IDS = 2_000_000
 #: Texts that one text is compared with in one place; a text of more pairs is sent to several.
 TOGETHER = 256
-FACTORS = np.random.default_rng(0).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = np.random.default_rng(0).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+ORDERS = np.stack([np.random.default_rng(1 + k).permutation(SEGMENTS) for k in range(GRIDS)])
 
 
 def shingles(text: bytes, words_per_shingle: int = 5) -> np.ndarray:
@@ -66,47 +75,63 @@ def shingles(text: bytes, words_per_shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over the set."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[at : at + 4096, None] * FACTORS).min(axis=0), out=least)
-    return least
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set: a bit is 1 if it is set in over half the mixed hashes; as signed longs."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        x = hashes[at : at + (1 << 14), None] * FACTORS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        bits = np.unpackbits(np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
 
 
-def bands(least: np.ndarray) -> np.ndarray:
-    """A key for each band of minima."""
-    keys = [xxhash.xxh3_64_intdigest(least[ROWS * k : ROWS * (k + 1)].tobytes(), k) for k in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64)
+def fineness(sets: int) -> int:
+    """Segments that a cell fixes: two texts made by chance agree in one with a probability of 3/8."""
+    return max(8, min(34, ceil(log(SPARE * max(1, sets)) / log(8 / 3))))
 
 
-def signature(least: np.ndarray) -> bytes:
-    """One byte of each minimum, mixed, since minima have zeros in front."""
-    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+def cells(sizes: DataFrame, fixed: int) -> DataFrame:
+    """key and set for each set's cell in each grid; sizes has set and e (the embedding of the fingerprint)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 3 ** np.arange(fixed, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, 2048):
+                e = part.column(1).flatten().to_numpy().astype("<i8").reshape(part.num_rows, WORDS)
+                bits = np.unpackbits(e.view(np.uint8), axis=1, bitorder="little")
+                counts = (bits[:, ::2] + bits[:, 1::2]).astype(np.int64)
+                key = np.stack([counts[:, order[:fixed]] @ powers * GRIDS + k for k, order in enumerate(ORDERS)])
+                sets = np.broadcast_to(part.column(0).to_numpy(), key.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(sets.ravel())], ["key", "set"])
+
+    return sizes.select("set", "e").mapInArrow(run, "key long, set long")
 
 
 def hashed(docs: DataFrame, words_per_shingle: int, id_column: str, text_column: str) -> DataFrame:
-    """id, own (a hash of the text), set (a hash of its shingle set), check (a second one), n (the set's size), bands and sig (the signature) of each row with an id."""
+    """id, own (a hash of the text), set (a hash of its shingle set), check (a second one), n (the set's size) and f (its fingerprint) of each row with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(t, words_per_shingle) for t in utf8(part.column(2))]
-                least = [minima(s) for s in sets]
+                f = np.stack([fingerprint(s) for s in sets]) if sets else np.zeros((0, WORDS), np.int64)
                 columns = [
                     part.column(0),
                     part.column(1),
                     *(pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)) for seed in (0, 1)),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([bands(x) for x in least], pa.list_(pa.int64())),
-                    pa.array([signature(x) for x in least], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WORDS, pa.int32()), pa.array(f.ravel())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "own", "set", "check", "n", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "own", "set", "check", "n", "f"])
 
     x = F.col(id_column)
     rows = docs.where(x.isNotNull()).select(x.alias("id"), own_hash(text_column).alias("own"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_column]}, own long, set long, check long, n long, bands array<long>, sig binary")
+    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_column]}, own long, set long, check long, n long, f array<long>")
 
 
 def told_apart(rows: DataFrame) -> DataFrame:
@@ -184,16 +209,10 @@ def _similar(pairs: DataFrame, rows: DataFrame, texts: DataFrame, similarity: fl
     return out
 
 
-def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs (src, dst) whose signatures a and b agree well enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            agree = (x == y).sum(axis=1) >= ALIKE * similarity * BANDS * ROWS
-            yield batch.select(["src", "dst"]).filter(pa.array(agree, pa.bool_()))
-
-    return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long").distinct()
+def distance(a: str, b: str):
+    """Differing bits of two columns of WORDS longs: the Hamming distance of fingerprints, the Manhattan distance of embeddings."""
+    bits = [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(WORDS)]
+    return sum(bits[1:], bits[0])
 
 
 def _fits(a, b, similarity: float):
@@ -269,35 +288,41 @@ def _candidates(open_sets: DataFrame, rows: DataFrame, texts: DataFrame, similar
     return pairs
 
 
+def close(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) of sets whose sizes fit, whose embeddings e are within RADIUS, and whose fingerprints f are."""
+    ends = [sizes.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("f").alias(f"f_{x}"), F.col("e").alias(f"e_{x}")) for x in ("src", "dst")]
+    near = (distance("e_src", "e_dst") <= RADIUS) & (distance("f_src", "f_dst") <= RADIUS)
+    both = pairs.join(ends[0], "src").join(ends[1], "dst").where(_fits(F.col("n_src"), F.col("n_dst"), similarity) & near)
+    return materialise(both.select("src", "dst"), "close")
+
+
+def stars(sizes: DataFrame) -> DataFrame:
+    """The distinct pairs (src, dst) of sets that share a cell, of which dst meets others most often there."""
+    keyed = cells(sizes, fineness(sizes.count()))
+    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "shared")
+    met = materialise(keyed.join(shared, "key"), "cells")
+    near = materialise(met.groupBy("set").agg(F.sum("k").alias("near")), "near")  # how often a set meets others
+    ranked = materialise(met.join(near, "set"), "ranked")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("near", "set")).alias("hub")).select("key", F.col("hub.set").alias("hub"))
+    pairs = ranked.join(hubs, "key").where("set <> hub").select(F.col("set").alias("src"), F.col("hub").alias("dst")).distinct()
+    pairs = materialise(pairs, "stars")
+    for done in (shared, met, near, ranked):
+        drop_scratch(done)
+    return pairs
+
+
 def set_groups(rows: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
     """set and component of each set that is linked to another."""
-    sizes = rows.where("n > 0").groupBy("set").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
-    sizes = materialise(sizes, "sets")
-    keyed = sizes.select("set", F.explode("bands").alias("key"))
-    counted = materialise(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("k")), "key", "left"), "keyed")
-    near = counted.groupBy("set").agg(F.sum("k").alias("near"))  # how often a set meets others
-    ranked = materialise(counted.join(near, "set", "left").select("key", "set", "k", "near"), "ranked")
-    drop_scratch(counted)
-    hubs = ranked.where("k > 1").groupBy("key").agg(F.max(F.struct("near", "set")).alias("hub")).select("key", F.col("hub.set").alias("hub"))
-    stars = materialise(ranked.select("key", "set").join(hubs, "key", "left").select("key", "set", "hub"), "hubs")
-    ends = [sizes.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(y)) for x, y in (("src", "a"), ("dst", "b"))]
-
-    def close(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(ends[0], "src").join(ends[1], "dst").where(_fits(F.col("n_src"), F.col("n_dst"), similarity))
-        return materialise(_alike(both, similarity), "stars")
-
-    pairs = close(stars.where("hub is not null and set <> hub").select(F.col("set").alias("src"), F.col("hub").alias("dst")).distinct())
+    sizes = rows.where("n > 0").groupBy("set").agg(F.any_value("n").alias("n"), F.any_value("f").alias("f"))
+    sizes = materialise(sizes.withColumn("e", F.transform("f", embedding)), "sets")
+    met = stars(sizes)
+    pairs = close(met, sizes, similarity)
     first = _similar(pairs, rows, texts, similarity, words_per_shingle)
     groups = materialise(connected_components(first).withColumnRenamed("node", "set"), "groups")
-    placed = sizes.join(groups, "set", "left").select("set", "n", F.coalesce("component", "set").alias("c"), "bands")
-    placed = materialise(placed, "placed")
-    of_key = placed.select("set", "c", F.explode("bands").alias("key"))
-    open_keys = of_key.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    open_sets = of_key.join(open_keys, "key", "left_semi").select("set").distinct()
-    open_sets = materialise(placed.join(open_sets, "set", "left_semi").select("set", "n", "c"), "open")
+    placed = materialise(sizes.join(groups, "set", "left").select("set", "n", F.coalesce("component", "set").alias("c")), "placed")
     tried = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    rest = close(_candidates(open_sets, rows, texts, similarity, words_per_shingle).join(tried, ["src", "dst"], "left_anti"))
-    for done in (ranked, stars, placed, sizes):
+    rest = close(_candidates(placed, rows, texts, similarity, words_per_shingle).join(tried, ["src", "dst"], "left_anti"), sizes, similarity)
+    for done in (met, pairs, placed, sizes):
         drop_scratch(done)
     more = _similar(rest, rows, texts, similarity, words_per_shingle)
     return materialise(connected_components(first.unionByName(more)).withColumnRenamed("node", "set"), "groups")

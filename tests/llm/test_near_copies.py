@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pairloom.llm import near_copies
 from pairloom.llm.near_copies import drop_near_copies, meetings, prefixes, told_apart
-from pairloom.llm.simhash import fingerprint
+from pairloom.llm.simhash import embedding, fingerprint
 
 
 def similarity(a, b):
@@ -137,3 +140,53 @@ def test_meetings_lose_no_pair(spark):
     assert len(close) > 100 and close <= got
     assert len(got) < len(pairs) / 2
     assert meetings(prefixes(found.limit(0), 0.8, 5).join(facts, "set"), 0.8).count() == 0
+
+
+def grids_of(spark, texts):
+    """The sets (set, n, f, e) of texts, and each one's hashes by place."""
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    rows = [(k, len(s), near_copies.fingerprint(s).tolist()) for k, s in enumerate(sets)]
+    return spark.createDataFrame(rows, "`set` long, n long, f array<long>").withColumn("e", F.transform("f", embedding))
+
+
+def test_grids_find_near_copies(spark):
+    """Cells of segment bit counts bring texts and their copies together, and few others."""
+    r = random.Random(6)
+    texts = []
+    for _ in range(60):
+        base = [f"w{r.randrange(5000)}" for _ in range(300)]
+        other = list(base)
+        for at in r.sample(range(300), 2):
+            other[at] = f"new{r.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(other)]
+    sizes = grids_of(spark, texts)
+    met = near_copies.stars(sizes)
+    got = {tuple(sorted(x)) for x in near_copies.close(met, sizes, 0.8).collect()}
+    assert got == {(k, k + 1) for k in range(0, 120, 2)}
+    keyed = near_copies.cells(sizes, near_copies.fineness(120)).collect()
+    assert len({x.key for x in keyed}) < len(keyed) == 120 * near_copies.GRIDS
+    assert met.count() < 120 * 119 / 10
+    assert near_copies.cells(sizes.limit(0), 8).count() == 0 == near_copies.stars(sizes.limit(0)).count()
+
+
+def test_fingerprint_distances(spark):
+    """Fingerprints bit by bit; Manhattan distances of segment counts are never above Hamming distances."""
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.randrange(12)}" for _ in range(r.randint(5, 400))) for _ in range(20)]
+    sizes = grids_of(spark, texts)
+    of = {x.set: x for x in sizes.collect()}
+
+    def counts(x):
+        bits = [w >> j & 1 for w in x.f for j in range(64)]
+        return [a + b for a, b in zip(bits[::2], bits[1::2], strict=True)]
+
+    a, b = (sizes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("set", "f", "e"))) for x in ("src", "dst"))
+    for x in a.crossJoin(b).select("set_src", "set_dst", near_copies.distance("f_src", "f_dst").alias("h"), near_copies.distance("e_src", "e_dst").alias("m")).collect():
+        p, q = of[x.set_src], of[x.set_dst]
+        assert x.h == sum(((u ^ v) & (1 << 64) - 1).bit_count() for u, v in zip(p.f, q.f, strict=True))
+        assert x.m == sum(abs(u - v) for u, v in zip(counts(p), counts(q), strict=True)) <= x.h
+    hashes = near_copies.shingles(texts[3].encode())
+    twice = near_copies.fingerprint(np.concatenate([hashes] * 200))
+    assert (twice == near_copies.fingerprint(hashes)).all()
+    k = near_copies.fineness
+    assert k(1) == 8 and k(10**6) > k(10**5) and k(10**15) == 34
