@@ -59,6 +59,8 @@ DIM, ROUNDS, BATCH, NOISE, BAND_NOISE = 32, 4, 2048, 128, 32
 LEAST, PART_TOKENS, SHUFFLED = 6_000_000, 4_000_000, 1 << 18
 #: Parameter rows that are merged as one, and tokens scored at once.
 MERGED, TOGETHER = 1024, 1 << 15
+#: Rows of a matrix product in scoring, few enough to stay in a core's cache.
+BLOCK = 1024
 #: Bytes of the texts that are cut into words at once.
 TEXT_BYTES = 2 << 20
 #: Words and their counts that a task holds before it sums them and passes them on.
@@ -143,24 +145,31 @@ class LogBilinear:
         out = np.empty(len(now))
         r1, r2 = self.r @ self.a[0], self.r @ self.a[1]
         starts = band_starts(len(self.b))
+        u, v = np.hstack([self.u, self.g[:, None]]).T.copy(), np.hstack([self.v, self.b[:, None]])
         for at in range(0, len(now), TOGETHER):
             h2, h1, c = (x[at : at + TOGETHER] for x in (second, first, now))
-            q = r1[h1] + r2[h2]
             band = band_of(c)
-            own = np.empty(len(c))
-            for k in range(0, len(c), 4096):
-                t = q[k : k + 4096] @ self.u.T + self.g
-                own[k : k + 4096] = t[np.arange(len(t)), band[k : k + 4096]] - _log_sum(t)
             by = np.argsort(band)
-            present, begin = np.unique(band[by], return_index=True)
-            for k, rows in zip(present.tolist(), np.split(by, begin[1:]), strict=True):
+            q = np.ones((len(c), len(u)), np.float32)
+            np.add(r1[h1[by]], r2[h2[by]], out=q[:, :-1])
+            own = np.empty(len(c))  # in the order of by, like q and band
+            c, band = c[by], band[by]
+            for k in range(0, len(c), BLOCK):
+                t = q[k : k + BLOCK] @ u
+                of = t[np.arange(len(t)), band[k : k + BLOCK]]
+                own[k : k + BLOCK] = of - _log_sum(t)
+            present, begin = np.unique(band, return_index=True)
+            ends = np.append(begin[1:], len(c))
+            for k, low, end in zip(present.tolist(), begin.tolist(), ends.tolist(), strict=True):
                 if k == 0:
                     continue
                 lo, hi = starts[k], starts[k + 1]
-                for part in np.array_split(rows, len(rows) * int(hi - lo) // (1 << 22) + 1):
-                    s = q[part] @ self.v[lo:hi].T + self.b[lo:hi]
-                    own[part] += s[np.arange(len(s)), c[part] - lo] - _log_sum(s)
-            out[at : at + TOGETHER] = own
+                for x in range(low, end, BLOCK):
+                    y = min(end, x + BLOCK)
+                    s = q[x:y] @ v[lo:hi].T
+                    of = s[np.arange(len(s)), c[x:y] - lo]
+                    own[x:y] += of - _log_sum(s)
+            out[at + by] = own
         return out
 
     def rows(self) -> np.ndarray:
@@ -175,14 +184,15 @@ class LogBilinear:
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Log of the sum of exp over each row; by one shift for all rows, unless one of them lies too far below."""
+    """Log of the sum of exp over each row, in place; by one shift for all rows, unless the rows lie too far apart."""
     ones = np.ones(x.shape[1], x.dtype)
     top = x.max()
-    sums = np.exp(x - top) @ ones
-    if sums.min() > 1e-25:
-        return top + np.log(sums)
+    if top - x.min() < 50:
+        x -= top
+        return top + np.log(np.exp(x, out=x) @ ones)
     top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]) @ ones)
+    x -= top[:, None]
+    return top + np.log(np.exp(x, out=x) @ ones)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -211,34 +221,47 @@ class Trainer:
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         own = at[first]
         self.used[place][own] += np.diff(first, append=len(at))
-        g = np.add.reduceat(g, first, axis=0)
-        s = self.seen[place][own] + g * g
+        if g.shape[1] % 2:
+            g = np.add.reduceat(g, first, axis=0)
+        else:  # two numbers at a time
+            g = np.add.reduceat(g.view(np.complex64), first, axis=0).view(np.float32)
+        s = self.seen[place].take(own, axis=0)
+        s += g * g
         self.seen[place][own] = s
-        x[own] += self.rate * g / np.sqrt(s)
+        g /= np.sqrt(s, out=s)
+        g *= self.rate
+        x[own] = x.take(own, axis=0) + g
 
     def _contrast(self, q: np.ndarray, table: np.ndarray, place: int, now: np.ndarray) -> np.ndarray:
         """Update one set of outputs; the gradient for q, which ends in a column of ones. now is in order."""
         cumulative, log_noise, n = self.noise[place - 1]
         k = np.sort(np.minimum(np.searchsorted(cumulative, self.rng.random(n)), len(cumulative) - 1))
-        w, x = table[now], table[k]
-        up = _sigmoid(log_noise[now] - np.einsum("nd,nd->n", q, w))[:, None]  # 1 - P(data)
-        down = -_sigmoid(q @ x.T - log_noise[k])  # -P(data) of noise
-        gq = up * w + down @ x
+        w, x = table.take(now, axis=0), table.take(k, axis=0)
+        up = _sigmoid(log_noise.take(now) - np.einsum("nd,nd->n", q, w))[:, None]  # 1 - P(data)
+        lower = -x
+        lower[:, -1] += log_noise.take(k)  # q ends in ones
+        down = q @ lower.T
+        with np.errstate(over="ignore"):
+            np.exp(down, out=down)
+        down += 1
+        np.reciprocal(down, out=down)  # P(data) of noise
+        w *= up
+        w -= down @ x
         self._descend(place, table, now, up * q)
-        self._descend(place, table, k, down.T @ q)
-        return gq
+        self._descend(place, table, k, -(down.T @ q))
+        return w
 
     def step(self, second: np.ndarray, first: np.ndarray, now: np.ndarray) -> None:
         by = np.argsort(now)
         second, first, now = second[by], first[by], now[by]
-        r1, r2 = self.r[first], self.r[second]
+        r1, r2 = self.r.take(first, axis=0), self.r.take(second, axis=0)
         q = np.empty((len(now), self.dim + 1), np.float32)
         q[:, -1] = 1
         np.add(r1 @ self.a[0], r2 @ self.a[1], out=q[:, :-1])
         gq = (self._contrast(q, self.v, 1, now) + self._contrast(q, self.u, 2, band_of(now)))[:, :-1]
         at, g = np.concatenate([first, second]), np.concatenate([gq @ self.a[0].T, gq @ self.a[1].T])
         by = np.argsort(at)
-        self._descend(0, self.r, at[by], g[by])
+        self._descend(0, self.r, at[by], g.take(by, axis=0))
         g = np.stack([r1.T @ gq, r2.T @ gq])
         self.seen[3] += g * g
         self.a += 0.05 * self.rate * g / np.sqrt(self.seen[3])

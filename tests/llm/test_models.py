@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 
 from pairloom.llm import html_extract, quality, toxicity
 from pairloom.llm.html_extract import Chain, blocks, extract_text, features, labelled, main_text, trained_chain
-from pairloom.llm.lm import LogBilinear, Trainer, band_of, band_starts, score_texts, shape, train, vocabulary, word_counts
+from pairloom.llm.lm import LogBilinear, Trainer, _log_sum, band_of, band_starts, score_texts, shape, train, vocabulary, word_counts
 
 
 def sentences(r, n):
@@ -440,3 +441,29 @@ SITES = [
 @pytest.mark.parametrize("source, want", SITES)
 def test_extraction_of_written_sites(source, want):
     assert main_text(source, trained_chain()) == want
+
+
+def test_lm_sums_in_place():
+    """The exponentials of a block take the block's own place, also where rows lie far apart."""
+    x = np.random.default_rng(0).standard_normal((1024, 256)).astype(np.float32)
+    want, own = np.log(np.exp(x.astype(float)).sum(axis=1)), x.copy()
+    tracemalloc.start()
+    got = _log_sum(own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want, atol=1e-4) and peak < x.nbytes / 4
+    far = np.array([[0, 1], [-300, -301], [400, -400]], np.float32)
+    assert np.allclose(_log_sum(far.copy()), np.logaddexp(far[:, 0], far[:, 1]), atol=1e-4)
+
+
+def test_lm_steps_against_a_plain_version():
+    """The outputs' gradients of one batch, summed word by word."""
+    mass = np.array([5.0, 3, 2, 1, 0.5])
+    trainer = Trainer(LogBilinear.start(mass), mass, 3)
+    cumulative, log_noise, n = trainer.noise[0]
+    noise = np.sort(np.minimum(np.searchsorted(cumulative, np.random.default_rng(3).random(n)), 4))
+    q = np.hstack([np.random.default_rng(1).standard_normal((6, trainer.dim)), np.ones((6, 1))]).astype(np.float32)
+    now, table = np.array([0, 0, 1, 2, 2, 4]), trainer.v.astype(float)
+    real = lambda z: 1 / (1 + math.exp(-z))
+    want = [real(log_noise[c] - h @ table[c]) * table[c] - sum(real(h @ table[k] - log_noise[k]) * table[k] for k in noise) for h, c in zip(q.astype(float), now, strict=True)]
+    assert np.allclose(trainer._contrast(q, trainer.v, 1, now), want, atol=1e-4)
