@@ -267,8 +267,10 @@ def meetings(keyed: DataFrame, similarity: float) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most"))))).drop("place", "least")
     groups = rows.groupBy("shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     several = groups.agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select(F.col("shingle").alias("s"), "low", "high")
+    several = materialise(several, "several")
     met = rows.join(several, (rows.shingle == several.s) & (F.least("own", "other") == several.low) & (F.greatest("own", "other") == several.high), "left_semi")
     met = materialise(met, "met")
+    drop_scratch(several)
     a, b = met.alias("a"), met.alias("b")
     apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
     apart = apart & (F.col("a.set") < F.col("b.set")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.n") <= F.col("b.most")) & (F.col("b.n") <= F.col("a.most"))
@@ -278,13 +280,20 @@ def meetings(keyed: DataFrame, similarity: float) -> DataFrame:
 
 
 def _candidates(open_sets: DataFrame, rows: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
-    """Pairs (src, dst) of sets of different groups that share a shingle of their prefixes; open_sets has set, n and c."""
+    """Pairs (src, dst) of sets of different groups that share a shingle of their prefixes; open_sets has set, n and c.
+
+    Each step is written before the next, so that the shuffle of one is gone when the next begins.
+    """
     found = _texts(open_sets.select("set"), rows, texts)
     keyed = materialise(prefixes(found, similarity, words_per_shingle).join(open_sets.select("set", "n", "c"), "set", "left"), "prefixes")
     drop_scratch(found)
     shared = keyed.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
-    pairs = meetings(keyed.join(shared, "shingle", "left_semi"), similarity)
+    shared = materialise(shared, "shared")
+    kept = materialise(keyed.join(shared, "shingle", "left_semi"), "kept")
     drop_scratch(keyed)
+    drop_scratch(shared)
+    pairs = meetings(kept, similarity)
+    drop_scratch(kept)
     return pairs
 
 
@@ -301,13 +310,15 @@ def stars(sizes: DataFrame) -> DataFrame:
     keyed = cells(sizes, fineness(sizes.count()))
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "shared")
     met = materialise(keyed.join(shared, "key"), "cells")
+    drop_scratch(shared)
     near = materialise(met.groupBy("set").agg(F.sum("k").alias("near")), "near")  # how often a set meets others
     ranked = materialise(met.join(near, "set"), "ranked")
+    drop_scratch(met)
+    drop_scratch(near)
     hubs = ranked.groupBy("key").agg(F.max(F.struct("near", "set")).alias("hub")).select("key", F.col("hub.set").alias("hub"))
     pairs = ranked.join(hubs, "key").where("set <> hub").select(F.col("set").alias("src"), F.col("hub").alias("dst")).distinct()
     pairs = materialise(pairs, "stars")
-    for done in (shared, met, near, ranked):
-        drop_scratch(done)
+    drop_scratch(ranked)
     return pairs
 
 
@@ -317,12 +328,13 @@ def set_groups(rows: DataFrame, texts: DataFrame, similarity: float, words_per_s
     sizes = materialise(sizes.withColumn("e", F.transform("f", embedding)), "sets")
     met = stars(sizes)
     pairs = close(met, sizes, similarity)
+    drop_scratch(met)
     first = _similar(pairs, rows, texts, similarity, words_per_shingle)
     groups = materialise(connected_components(first).withColumnRenamed("node", "set"), "groups")
     placed = materialise(sizes.join(groups, "set", "left").select("set", "n", F.coalesce("component", "set").alias("c")), "placed")
     tried = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     rest = close(_candidates(placed, rows, texts, similarity, words_per_shingle).join(tried, ["src", "dst"], "left_anti"), sizes, similarity)
-    for done in (met, pairs, placed, sizes):
+    for done in (pairs, placed, sizes):
         drop_scratch(done)
     more = _similar(rest, rows, texts, similarity, words_per_shingle)
     return materialise(connected_components(first.unionByName(more)).withColumnRenamed("node", "set"), "groups")

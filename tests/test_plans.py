@@ -1,6 +1,7 @@
 """Graph algorithms, numbering and quantiles against plain versions."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -13,6 +14,7 @@ from pairloom.functions.measures import weighted_quantiles
 from pairloom.plans.components import connected_components
 from pairloom.plans.graph import blocks, bridges, cut_vertices, strong_components
 from pairloom.plans.numbering import number_rows
+from pairloom.plans.scratch import CLEAN_UP, drop_scratch, materialise
 from tests.plain_graph import search, strong
 
 GRAPHS = st.integers(1, 9).flatmap(lambda n: st.tuples(st.just(n), st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1)), max_size=16)))
@@ -153,3 +155,20 @@ def test_simulation(spark):
     assert df.select("j", "k").distinct().groupBy("j").count().where("count > 1").count() == 0
     again = simulate(spark, p, seed=3)
     assert df.exceptAll(again).count() == 0
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    blocks_of = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks_of.getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before, old = shuffles(), spark.conf.get(CLEAN_UP, None)
+    written = materialise(spark.range(20_000).groupBy((F.col("id") % 7_000).alias("k")).count(), "counted")
+    for _ in range(50):  # they are removed in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and written.count() == 7_000 and spark.conf.get(CLEAN_UP, None) == old
+    drop_scratch(written)
