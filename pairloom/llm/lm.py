@@ -38,7 +38,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, repeat
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -107,11 +107,10 @@ class Vocabulary:
     def classes(self) -> int:
         return self.head + self.rare
 
-    def tables(self) -> tuple[dict[bytes, int], np.ndarray]:
-        """Place of each word at hand, and its class; the last class entry is for places of -1."""
-        place = {w: k for k, w in enumerate(self.words)}
+    def tables(self) -> tuple[pa.Array, np.ndarray]:
+        """The words at hand in order, and the class of each; the last class entry is for places of -1."""
         of = np.array([k if k < self.head else rare_class(w, self.head, self.rare) for k, w in enumerate(self.words)] + [-1], np.int64)
-        return place, of
+        return pa.array(self.words, pa.binary()).cast(pa.string()), of
 
     def class_mass(self) -> np.ndarray:
         """Smoothed training count of each class."""
@@ -141,23 +140,33 @@ class LogBilinear:
         return cls(draw(n), draw(n), np.log(share).astype(np.float32), draw(len(bands)), np.log(bands).astype(np.float32), a)
 
     def log_prob(self, second: np.ndarray, first: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """Natural log of P(now | the class before, the class before that), by batched matrix products."""
-        out = np.empty(len(now))
+        """Natural log of P(now | the class before, the class before that), by batched matrix products.
+
+        Equal triples are worked out once, and the softmax over bands once for each different context.
+        """
+        n = len(self.b)
+        triples, back = np.unique((second * n + first) * n + now, return_inverse=True)
+        out = np.empty(len(triples))
         r1, r2 = self.r @ self.a[0], self.r @ self.a[1]
         starts = band_starts(len(self.b))
         u, v = np.hstack([self.u, self.g[:, None]]).T.copy(), np.hstack([self.v, self.b[:, None]])
-        for at in range(0, len(now), TOGETHER):
-            h2, h1, c = (x[at : at + TOGETHER] for x in (second, first, now))
+        for at in range(0, len(triples), TOGETHER):
+            pairs, c = np.divmod(triples[at : at + TOGETHER], n)
+            starting = np.append(np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])), len(c))
+            context = np.repeat(np.arange(len(starting) - 1), np.diff(starting))
+            h2, h1 = np.divmod(pairs[starting[:-1]], n)
+            q = np.ones((len(h1), len(u)), np.float32)
+            np.add(r1[h1], r2[h2], out=q[:, :-1])
             band = band_of(c)
-            by = np.argsort(band)
-            q = np.ones((len(c), len(u)), np.float32)
-            np.add(r1[h1[by]], r2[h2[by]], out=q[:, :-1])
-            own = np.empty(len(c))  # in the order of by, like q and band
-            c, band = c[by], band[by]
-            for k in range(0, len(c), BLOCK):
+            own = np.empty(len(c))
+            for k in range(0, len(q), BLOCK):
                 t = q[k : k + BLOCK] @ u
-                of = t[np.arange(len(t)), band[k : k + BLOCK]]
-                own[k : k + BLOCK] = of - _log_sum(t)
+                low, end = starting[k], starting[k + len(t)]
+                row = context[low:end] - k
+                of = t[row, band[low:end]]
+                own[low:end] = of - _log_sum(t)[row]
+            by = np.argsort(band, kind="stable")
+            q, own, c, band = q.take(context[by], axis=0), own[by], c[by], band[by]
             present, begin = np.unique(band, return_index=True)
             ends = np.append(begin[1:], len(c))
             for k, low, end in zip(present.tolist(), begin.tolist(), ends.tolist(), strict=True):
@@ -170,7 +179,7 @@ class LogBilinear:
                     of = s[np.arange(len(s)), c[x:y] - lo]
                     own[x:y] += of - _log_sum(s)
             out[at + by] = own
-        return out
+        return out[back]
 
     def rows(self) -> np.ndarray:
         """All parameters as rows of dim + 1 numbers."""
@@ -223,8 +232,8 @@ class Trainer:
         self.used[place][own] += np.diff(first, append=len(at))
         if g.shape[1] % 2:
             g = np.add.reduceat(g, first, axis=0)
-        else:  # two numbers at a time
-            g = np.add.reduceat(g.view(np.complex64), first, axis=0).view(np.float32)
+        else:  # two numbers at a time; g may have a column more than x
+            g = np.add.reduceat(g.view(np.complex64), first, axis=0).view(np.float32)[:, : x.shape[1]]
         s = self.seen[place].take(own, axis=0)
         s += g * g
         self.seen[place][own] = s
@@ -247,12 +256,20 @@ class Trainer:
         np.reciprocal(down, out=down)  # P(data) of noise
         w *= up
         w -= down @ x
-        self._descend(place, table, now, up * q)
-        self._descend(place, table, k, -(down.T @ q))
+        g, of_noise = (np.zeros((len(at), q.shape[1] + q.shape[1] % 2), np.float32) for at in (now, k))
+        np.multiply(up, q, out=g[:, : q.shape[1]])
+        self._descend(place, table, now, g)
+        np.negative(down.T @ q[:, :-1], out=of_noise[:, : q.shape[1] - 1])
+        of_noise[:, q.shape[1] - 1] = -(np.ones(len(q), np.float32) @ down)
+        self._descend(place, table, k, of_noise)
         return w
 
+    def _order(self, classes: np.ndarray) -> np.ndarray:
+        """The order of classes; two bytes each, if they fit, are sorted by radix."""
+        return np.argsort(classes.astype(np.uint16) if len(self.v) <= 1 << 16 else classes, kind="stable")
+
     def step(self, second: np.ndarray, first: np.ndarray, now: np.ndarray) -> None:
-        by = np.argsort(now)
+        by = self._order(now)
         second, first, now = second[by], first[by], now[by]
         r1, r2 = self.r.take(first, axis=0), self.r.take(second, axis=0)
         q = np.empty((len(now), self.dim + 1), np.float32)
@@ -260,7 +277,7 @@ class Trainer:
         np.add(r1 @ self.a[0], r2 @ self.a[1], out=q[:, :-1])
         gq = (self._contrast(q, self.v, 1, now) + self._contrast(q, self.u, 2, band_of(now)))[:, :-1]
         at, g = np.concatenate([first, second]), np.concatenate([gq @ self.a[0].T, gq @ self.a[1].T])
-        by = np.argsort(at)
+        by = self._order(at)
         self._descend(0, self.r, at[by], g.take(by, axis=0))
         g = np.stack([r1.T @ gq, r2.T @ gq])
         self.seen[3] += g * g
@@ -370,14 +387,15 @@ def vocabulary(counts: DataFrame, head: int | None = None, rare: int | None = No
 class Sequences:
     """The classes of some texts' words, one text after another, each with its end behind its words."""
 
-    def __init__(self, texts: pa.Array, vocab: Vocabulary, tables: tuple[dict[bytes, int], np.ndarray]):
-        place, of = tables
+    def __init__(self, texts: pa.Array, vocab: Vocabulary, tables: tuple[pa.Array, np.ndarray]):
+        at_hand, of = tables
         self.words = Words.of(texts)
-        distinct = self.words.distinct.cast(pa.binary()).to_pylist()
-        self.place = np.fromiter(map(place.get, distinct, repeat(-1)), np.int64, len(distinct))  # -1: not at hand
+        self.place = pc.fill_null(pc.index_in(self.words.distinct, value_set=at_hand), -1).to_numpy().astype(np.int64)  # -1: not at hand
         classes = of[self.place]
-        for k in np.flatnonzero(self.place < 0).tolist():
-            classes[k] = rare_class(distinct[k], vocab.head, vocab.rare)
+        away = np.flatnonzero(self.place < 0)
+        endings = pc.binary_slice(self.words.distinct.take(pa.array(away)).cast(pa.binary()), -3).dictionary_encode()
+        of_ending = np.array([rare_class(x, vocab.head, vocab.rare) for x in endings.dictionary.to_pylist()], np.int64)
+        classes[away] = of_ending[endings.indices.to_numpy()]
         sizes, codes = self.words.sizes, self.words.codes
         ends = np.cumsum(sizes + 1)
         self.starts = np.append(0, ends[:-1])

@@ -9,9 +9,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pairloom.llm import html_extract, quality, toxicity
+from pairloom.llm import html_extract, lm, quality, toxicity
 from pairloom.llm.html_extract import Chain, blocks, extract_text, features, labelled, main_text, trained_chain
 from pairloom.llm.lm import LogBilinear, Trainer, _log_sum, band_of, band_starts, score_texts, shape, train, vocabulary, word_counts
 
@@ -467,3 +468,42 @@ def test_lm_steps_against_a_plain_version():
     real = lambda z: 1 / (1 + math.exp(-z))
     want = [real(log_noise[c] - h @ table[c]) * table[c] - sum(real(h @ table[k] - log_noise[k]) * table[k] for k in noise) for h, c in zip(q.astype(float), now, strict=True)]
     assert np.allclose(trainer._contrast(q, trainer.v, 1, now), want, atol=1e-4)
+
+
+def test_lm_scores_equal_contexts_once(monkeypatch):
+    """A context's softmax over bands is worked out once, a triple's whole probability as well; each token gets its own number."""
+    r = np.random.default_rng(5)
+    model = LogBilinear.start(r.random(60) + 0.1)
+    h2, h1, now = (np.repeat(r.integers(0, 60, 40), 50) for _ in range(3))
+    h2[:1000], h1[:1000] = 7, 9
+    by = r.permutation(2000)
+    h2, h1, now = h2[by], h1[by], now[by]
+    rows = []
+    monkeypatch.setattr(lm, "_log_sum", lambda x: rows.append(x.shape) or _log_sum(x))
+    monkeypatch.setattr(lm, "TOGETHER", 16)
+    monkeypatch.setattr(lm, "BLOCK", 3)
+    got = model.log_prob(h2, h1, now)
+    bands, starts = len(model.u), band_starts(60)
+    triples = len(set(zip(h2, h1, now, strict=True)))
+    assert sum(n for n, width in rows if width == bands) <= len(set(zip(h2, h1, strict=True))) + triples // 16 + 1
+    assert sum(n for n, _ in rows) < 3 * triples < len(now)
+    for k in range(0, 2000, 37):
+        q = model.r[h2[k]] @ model.a[1] + model.r[h1[k]] @ model.a[0]
+        b = band_of(now[k])
+        lo, hi = starts[b], starts[b + 1]
+        s, t = model.v[lo:hi] @ q + model.b[lo:hi], model.u @ q + model.g
+        want = t[b] - np.log(np.exp(t).sum()) + s[now[k] - lo] - np.log(np.exp(s).sum())
+        assert got[k] == pytest.approx(want, abs=1e-4)
+
+
+def test_lm_classes_of_words_not_at_hand(monkeypatch):
+    """Words at hand have their own places; of the others each different ending is looked at once."""
+    vocab = lm.Vocabulary([b"", b"the", "h\u00e9".encode()], np.array([2.0, 3, 1]), 3, 16, 6, 3, np.full(16, 0.1))
+    asked = []
+    monkeypatch.setattr(lm, "rare_class", lambda *x, f=lm.rare_class: asked.append(x) or f(*x))
+    words = [f"w{k}ing" for k in range(50)] + ["h\u00e9", "ab", "\u00e9", "THE"]
+    got = lm.Sequences(pa.array([" ".join(words), None, "the zing"]), vocab, vocab.tables())
+    asked_for = len(asked)
+    want = [2 if w == "h\u00e9" else 1 if w.lower() == "the" else lm.rare_class(w.encode(), 3, 16) for w in words]
+    assert got.now.tolist() == [*want, 0, 0, 1, lm.rare_class(b"zing", 3, 16), 0]
+    assert asked_for == 3
