@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import accumulate
 
 import numpy as np
@@ -53,16 +53,16 @@ from pairloom.plans.scratch import materialise
 
 #: Words with classes of their own for each square root of a distinct word, the bound of their number (reached at 10^9
 #: distinct words), rare classes as a share of them, and words whose counts every task has at hand at least.
-PER_ROOT, MOST, RARE_SHARE, LOOKUP = 8, 1 << 18, 1 / 16, 1 << 17
+PER_ROOT, MOST, RARE_SHARE, LOOKUP = 8, 1 << 18, 1 / 16, 1 << 18
 DIM, ROUNDS, BATCH, NOISE, BAND_NOISE = 32, 4, 2048, 128, 32
 #: Tokens that training visits at least, tokens a training task has at least (so that fewer parameters are merged), and tokens shuffled at once.
 LEAST, PART_TOKENS, SHUFFLED = 6_000_000, 4_000_000, 1 << 18
-#: Parameter rows that are merged as one, and tokens scored at once.
-MERGED, TOGETHER = 1024, 1 << 15
-#: Rows of a matrix product in scoring, few enough to stay in a core's cache.
-BLOCK = 1024
+#: Parameter rows that are merged as one, and distinct tokens scored at once.
+MERGED, TOGETHER = 1024, 1 << 20
+#: Rows of a matrix product in scoring, few enough to stay in a core's cache; bands whose exponentials are at hand at once, and the largest of these.
+BLOCK, COLUMNS, RANGE = 1024, 64, 40
 #: Bytes of the texts that are cut into words at once.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 4 << 20
 #: Words and their counts that a task holds before it sums them and passes them on.
 COUNTED = 600_000
 SMOOTH = 0.1
@@ -109,8 +109,18 @@ class Vocabulary:
 
     def tables(self) -> tuple[pa.Array, np.ndarray]:
         """The words at hand in order, and the class of each; the last class entry is for places of -1."""
-        of = np.array([k if k < self.head else rare_class(w, self.head, self.rare) for k, w in enumerate(self.words)] + [-1], np.int64)
-        return pa.array(self.words, pa.binary()).cast(pa.string()), of
+        words = pa.array(self.words, pa.binary())
+        return words.cast(pa.string()), np.concatenate([np.arange(self.head), self.by_ending(words[self.head :]), [-1]]).astype(np.int64)
+
+    def by_ending(self, words: pa.Array) -> np.ndarray:
+        """The rare classes of some words; each different ending is looked at once."""
+        endings = pc.binary_slice(words, -3).dictionary_encode()
+        of = np.array([rare_class(x, self.head, self.rare) for x in endings.dictionary.to_pylist()], np.int64)
+        return of[endings.indices.to_numpy()]
+
+    def of_classes(self) -> Vocabulary:
+        """What training needs: only the words with classes of their own are looked up, all others go by their last bytes anyway."""
+        return replace(self, words=self.words[: self.head], counts=self.counts[: self.head])
 
     def class_mass(self) -> np.ndarray:
         """Smoothed training count of each class."""
@@ -147,38 +157,30 @@ class LogBilinear:
         n = len(self.b)
         triples, back = np.unique((second * n + first) * n + now, return_inverse=True)
         out = np.empty(len(triples))
-        r1, r2 = self.r @ self.a[0], self.r @ self.a[1]
-        starts = band_starts(len(self.b))
+        last = lambda x, y: np.hstack([x, np.full((len(x), 1), y, np.float32)])
+        r1, r2 = last(self.r @ self.a[0], 0), last(self.r @ self.a[1], 1)  # their sum is q and a one for the biases
         u, v = np.hstack([self.u, self.g[:, None]]).T.copy(), np.hstack([self.v, self.b[:, None]])
-        for at in range(0, len(triples), TOGETHER):
-            pairs, c = np.divmod(triples[at : at + TOGETHER], n)
-            starting = np.append(np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])), len(c))
-            context = np.repeat(np.arange(len(starting) - 1), np.diff(starting))
-            h2, h1 = np.divmod(pairs[starting[:-1]], n)
-            q = np.ones((len(h1), len(u)), np.float32)
-            np.add(r1[h1], r2[h2], out=q[:, :-1])
+        starts = band_starts(n).tolist()
+        for x in range(0, len(triples), TOGETHER):
+            pairs, c = np.divmod(triples[x : x + TOGETHER], n)
+            h2, h1 = np.divmod(pairs, n)
+            begin = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+            own = -np.repeat(_log_sums(r1, r2, h1[begin], h2[begin], u), np.diff(begin, append=len(pairs)))
             band = band_of(c)
-            own = np.empty(len(c))
-            for k in range(0, len(q), BLOCK):
-                t = q[k : k + BLOCK] @ u
-                low, end = starting[k], starting[k + len(t)]
-                row = context[low:end] - k
-                of = t[row, band[low:end]]
-                own[low:end] = of - _log_sum(t)[row]
-            by = np.argsort(band, kind="stable")
-            q, own, c, band = q.take(context[by], axis=0), own[by], c[by], band[by]
-            present, begin = np.unique(band, return_index=True)
-            ends = np.append(begin[1:], len(c))
-            for k, low, end in zip(present.tolist(), begin.tolist(), ends.tolist(), strict=True):
-                if k == 0:
-                    continue
-                lo, hi = starts[k], starts[k + 1]
-                for x in range(low, end, BLOCK):
-                    y = min(end, x + BLOCK)
-                    s = q[x:y] @ v[lo:hi].T
-                    of = s[np.arange(len(s)), c[x:y] - lo]
-                    own[x:y] += of - _log_sum(s)
-            out[at + by] = own
+            by = np.argsort(band.astype(np.uint16), kind="stable")
+            bounds = np.searchsorted(band[by], np.arange(u.shape[1] + 1)).tolist()
+            for k, (low, end) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                for y in range(low, end, BLOCK):
+                    at = by[y : min(end, y + BLOCK)]
+                    q = r1.take(h1[at], axis=0)
+                    q += r2.take(h2[at], axis=0)
+                    got = q @ u[:, k]
+                    if k:
+                        s = q @ v[starts[k] : starts[k + 1]].T
+                        got += s[np.arange(len(s)), c[at] - starts[k]]
+                        got -= _log_sum(s)
+                    own[at] += got
+            out[x : x + TOGETHER] = own
         return out[back]
 
     def rows(self) -> np.ndarray:
@@ -204,10 +206,52 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x, out=x) @ ones)
 
 
+def _log_sums(r1: np.ndarray, r2: np.ndarray, h1: np.ndarray, h2: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Log of the sum over the columns of u of exp((r1[h1] + r2[h2]) @ u) for each pair of h1 and h2.
+
+    exp(x + y) = exp(x) exp(y), so exponentials are taken for each row of r1 and r2 that occurs and not
+    for each pair, unless they are so large or small that products could leave the range of the numbers.
+    """
+    (own1, at1), (own2, at2) = _places(h1, len(r1)), _places(h2, len(r2))
+    x1, x2 = r1.take(own1, axis=0), r2.take(own2, axis=0)
+    total = np.zeros(len(h1), np.float32)
+    for k in range(0, u.shape[1], COLUMNS):
+        both = x1 @ u[:, k : k + COLUMNS], x2 @ u[:, k : k + COLUMNS]
+        if any(np.abs(t).max(initial=0) > RANGE for t in both):
+            break
+        e1, e2 = (np.exp(t, out=t) for t in both)
+        for x in range(0, len(h1), BLOCK):
+            total[x : x + BLOCK] += np.einsum("nk,nk->n", e1.take(at1[x : x + BLOCK], axis=0), e2.take(at2[x : x + BLOCK], axis=0))
+    else:
+        return np.log(total)
+    for x in range(0, len(h1), BLOCK):
+        total[x : x + BLOCK] = _log_sum((r1.take(h1[x : x + BLOCK], axis=0) + r2.take(h2[x : x + BLOCK], axis=0)) @ u)
+    return total
+
+
+def _places(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of some numbers below n in order, and the place of each among them."""
+    there = np.zeros(n, bool)
+    there[x] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[x]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
+def _order(classes: np.ndarray, n: int) -> np.ndarray:
+    """The order of some of n classes; two bytes each, if they fit, are sorted by radix."""
+    return np.argsort(classes.astype(np.uint16) if n <= 1 << 16 else classes, kind="stable")
+
+
+def _sums(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each of first to the next; two numbers at a time, if their number is even."""
+    if g.shape[1] % 2:
+        return np.add.reduceat(g, first, axis=0)
+    return np.add.reduceat(g.view(np.complex64), first, axis=0).view(np.float32)
+
+
 class Trainer:
     """Steps of noise-contrastive estimation on a copy of a model, with per-parameter step sizes; used counts the visits of each parameter row."""
 
@@ -217,23 +261,23 @@ class Trainer:
         self.r = model.r.copy()
         self.v = np.hstack([model.v, model.b[:, None]])
         self.u = np.hstack([model.u, model.g[:, None]])
-        self.a = model.a.copy()
+        self.a = model.a.reshape(-1, self.dim).copy()
         self.seen = [np.full_like(x, 0.1) for x in (self.r, self.v, self.u, self.a)]
         self.used = [np.zeros(len(x)) for x in (self.r, self.v, self.u)]
         share = mass / mass.sum()
         bands = np.add.reduceat(share, band_starts(len(mass))[:-1])
         self.noise = [(np.cumsum(p), np.log(p * k).astype(np.float32), k) for p, k in ((share, NOISE), (bands, BAND_NOISE))]
+        self.band = band_of(np.arange(len(mass)))
         self.steps = 0
 
     def _descend(self, place: int, x: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
         """Sum the gradients of the same row (at is in order), and move each row by them."""
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        new = np.empty(len(at), bool)
+        new[0] = True
+        np.not_equal(at[1:], at[:-1], out=new[1:])
+        first = np.flatnonzero(new)
         own = at[first]
-        self.used[place][own] += np.diff(first, append=len(at))
-        if g.shape[1] % 2:
-            g = np.add.reduceat(g, first, axis=0)
-        else:  # two numbers at a time; g may have a column more than x
-            g = np.add.reduceat(g.view(np.complex64), first, axis=0).view(np.float32)[:, : x.shape[1]]
+        g = (_sums(g, first) if len(own) < len(at) else g)[:, : x.shape[1]]  # g may have a column more than x
         s = self.seen[place].take(own, axis=0)
         s += g * g
         self.seen[place][own] = s
@@ -244,42 +288,40 @@ class Trainer:
     def _contrast(self, q: np.ndarray, table: np.ndarray, place: int, now: np.ndarray) -> np.ndarray:
         """Update one set of outputs; the gradient for q, which ends in a column of ones. now is in order."""
         cumulative, log_noise, n = self.noise[place - 1]
-        k = np.sort(np.minimum(np.searchsorted(cumulative, self.rng.random(n)), len(cumulative) - 1))
+        k, drawn = np.unique(np.minimum(np.searchsorted(cumulative, self.rng.random(n)), len(cumulative) - 1), return_counts=True)
+        drawn = drawn.astype(np.float32)[:, None]  # equal draws are worked out once
+        self.used[place][k] += drawn[:, 0]
         w, x = table.take(now, axis=0), table.take(k, axis=0)
         up = _sigmoid(log_noise.take(now) - np.einsum("nd,nd->n", q, w))[:, None]  # 1 - P(data)
         lower = -x
         lower[:, -1] += log_noise.take(k)  # q ends in ones
         down = q @ lower.T
-        with np.errstate(over="ignore"):
-            np.exp(down, out=down)
+        np.exp(down, out=down)
         down += 1
-        np.reciprocal(down, out=down)  # P(data) of noise
+        np.divide(1, down, out=down)  # P(data) of noise
+        width = q.shape[1]
+        g = np.empty((len(now), width + width % 2), np.float32)
+        np.multiply(up, q, out=g[:, :width])
+        g[:, width:] = 0
         w *= up
-        w -= down @ x
-        g, of_noise = (np.zeros((len(at), q.shape[1] + q.shape[1] % 2), np.float32) for at in (now, k))
-        np.multiply(up, q, out=g[:, : q.shape[1]])
+        w -= down @ (drawn * x)
         self._descend(place, table, now, g)
-        np.negative(down.T @ q[:, :-1], out=of_noise[:, : q.shape[1] - 1])
-        of_noise[:, q.shape[1] - 1] = -(np.ones(len(q), np.float32) @ down)
-        self._descend(place, table, k, of_noise)
+        self._descend(place, table, k, (down.T @ q) * -drawn)
         return w
 
-    def _order(self, classes: np.ndarray) -> np.ndarray:
-        """The order of classes; two bytes each, if they fit, are sorted by radix."""
-        return np.argsort(classes.astype(np.uint16) if len(self.v) <= 1 << 16 else classes, kind="stable")
-
     def step(self, second: np.ndarray, first: np.ndarray, now: np.ndarray) -> None:
-        by = self._order(now)
-        second, first, now = second[by], first[by], now[by]
-        r1, r2 = self.r.take(first, axis=0), self.r.take(second, axis=0)
-        q = np.empty((len(now), self.dim + 1), np.float32)
-        q[:, -1] = 1
-        np.add(r1 @ self.a[0], r2 @ self.a[1], out=q[:, :-1])
-        gq = (self._contrast(q, self.v, 1, now) + self._contrast(q, self.u, 2, band_of(now)))[:, :-1]
-        at, g = np.concatenate([first, second]), np.concatenate([gq @ self.a[0].T, gq @ self.a[1].T])
-        by = self._order(at)
+        n, by = len(now), _order(now, len(self.v))
+        now, context = now[by], np.stack([first[by], second[by]], axis=1)
+        r = self.r.take(context, axis=0).reshape(n, 2 * self.dim)
+        q = np.ones((n, self.dim + 1), np.float32)
+        q[:, :-1] = r @ self.a
+        gq = self._contrast(q, self.v, 1, now)
+        gq += self._contrast(q, self.u, 2, self.band.take(now))
+        gq = gq[:, :-1]
+        at, g = context.ravel(), (gq @ self.a.T).reshape(2 * n, self.dim)
+        by = _order(at, len(self.r))
         self._descend(0, self.r, at[by], g.take(by, axis=0))
-        g = np.stack([r1.T @ gq, r2.T @ gq])
+        g = r.T @ gq
         self.seen[3] += g * g
         self.a += 0.05 * self.rate * g / np.sqrt(self.seen[3])
         self.steps += 1
@@ -287,11 +329,14 @@ class Trainer:
     def learn(self, second: np.ndarray, first: np.ndarray, now: np.ndarray) -> None:
         """Steps over all the tokens, in a random order."""
         order = self.rng.permutation(len(now))
-        for part in np.array_split(order, -(-len(order) // BATCH)) if len(order) else []:
-            self.step(second[part], first[part], now[part])
+        with np.errstate(over="ignore"):
+            for part in np.array_split(order, -(-len(order) // BATCH)) if len(order) else []:
+                self.step(second[part], first[part], now[part])
+        for place, at in ((0, first), (0, second), (1, now), (2, self.band[now])):
+            self.used[place] += np.bincount(at, minlength=len(self.used[place]))
 
     def model(self) -> LogBilinear:
-        return LogBilinear(self.r, self.v[:, :-1], self.v[:, -1], self.u[:, :-1], self.u[:, -1], self.a)
+        return LogBilinear(self.r, self.v[:, :-1], self.v[:, -1], self.u[:, :-1], self.u[:, -1], self.a.reshape(2, self.dim, self.dim))
 
     def weighted_rows(self) -> np.ndarray:
         """Parameter rows times how often each was used, and that number as the last column."""
@@ -354,7 +399,8 @@ def word_counts(docs: DataFrame, text_column: str) -> DataFrame:
             yield from summed().to_batches(max_chunksize=1 << 16)
         yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([ends], pa.int64())], ["word", "n"])
 
-    return docs.select(text_column).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    counted = docs.select(text_column).mapInArrow(run, "word string, n long").repartition("word")  # no use in grouping a task's words again before
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def vocabulary(counts: DataFrame, head: int | None = None, rare: int | None = None, lookup: int = LOOKUP) -> Vocabulary:
@@ -393,9 +439,7 @@ class Sequences:
         self.place = pc.fill_null(pc.index_in(self.words.distinct, value_set=at_hand), -1).to_numpy().astype(np.int64)  # -1: not at hand
         classes = of[self.place]
         away = np.flatnonzero(self.place < 0)
-        endings = pc.binary_slice(self.words.distinct.take(pa.array(away)).cast(pa.binary()), -3).dictionary_encode()
-        of_ending = np.array([rare_class(x, vocab.head, vocab.rare) for x in endings.dictionary.to_pylist()], np.int64)
-        classes[away] = of_ending[endings.indices.to_numpy()]
+        classes[away] = vocab.by_ending(self.words.distinct.take(pa.array(away)).cast(pa.binary()))
         sizes, codes = self.words.sizes, self.words.codes
         ends = np.cumsum(sizes + 1)
         self.starts = np.append(0, ends[:-1])
@@ -418,14 +462,15 @@ class Sequences:
         each[self.is_word] = of_word[self.words.codes]
         return np.add.reduceat(each, self.starts)
 
-    def far(self) -> tuple[pa.Array, pa.Array]:
-        """For each text its words that are not at hand, and how often each occurs."""
+    def far(self) -> tuple[pa.Array, np.ndarray]:
+        """For each text its words that are not at hand with how often each occurs, and how many they are."""
         n, rows = len(self.place), len(self.words.sizes)
         away = self.place[self.words.codes] < 0
         row = np.repeat(np.arange(rows), self.words.sizes)[away]
         key, count = np.unique(row * n + self.words.codes[away], return_counts=True)
         ends = pa.array(np.searchsorted(key, np.arange(rows + 1) * n), pa.int32())
-        return pa.ListArray.from_arrays(ends, self.words.distinct.take(pa.array(key % max(1, n)))), pa.ListArray.from_arrays(ends, pa.array(count, pa.int64()))
+        words = pa.StructArray.from_arrays([self.words.distinct.take(pa.array(key % max(1, n))), pa.array(count, pa.int64())], ["word", "k"])
+        return pa.ListArray.from_arrays(ends, words), np.bincount(row, minlength=rows)
 
 
 def _train_task(shared, passes: int, turn: int):
@@ -482,6 +527,7 @@ def _merge_task(width: int):
 def train(training: DataFrame, text_column: str, vocab: Vocabulary, *, rounds: int = ROUNDS, least: int = LEAST, rate: float = 0.1) -> LogBilinear:
     """Train over all tokens of all the rows; round t has 2 ** t shares of the documents, chosen by a hash of their text."""
     sc = training.sparkSession.sparkContext
+    vocab = vocab.of_classes()
     model = LogBilinear.start(vocab.class_mass())
     passes = max(1, -(-least // max(1, vocab.tokens)))
     whole = (1 << rounds) - 1
@@ -530,20 +576,20 @@ def score_texts(docs: DataFrame, *, folds: int = 10, id_column: str = "doc_id",
                 inside = np.where(near, within[seq.place], -log_mass[np.where(near, 0, seq.classes - vocab.head)])
                 lp = np.add.reduceat(model.log_prob(*seq.contexts()), seq.starts) / LN10 + seq.sums(inside, within[0])
                 counts = (seq.words.sizes + 1, seq.sums(np.where(near, known[seq.place], 0), known[0]), seq.sums(np.where(near, log_count[seq.place], 0.0), log_count[0]), lp)
+                far, n_far = seq.far()
                 rows = np.arange(row, row + part.num_rows)
                 row += part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), *map(pa.array, (rows, *counts)), *seq.far()], ["doc_id", "held_out", "row", "n_tokens", "known", "base", "lp", "far", "far_n"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), *map(pa.array, (rows, *counts, n_far)), far], ["doc_id", "held_out", "row", "n_tokens", "known", "base", "lp", "n_far", "far"])
 
-    schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, lp double, far array<string>, far_n array<long>"
+    schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, lp double, n_far long, far array<struct<word: string, k: long>>"
     rows = materialise(docs.select(F.col(id_column), F.col(text_column), held_out(id_column, folds).alias("held_out")).mapInArrow(run, schema), "scored")
-    far = rows.where(F.size("far") > 0).select("row", F.explode(F.arrays_zip("far", "far_n")).alias("x")).select("row", F.col("x.far").alias("word"), F.col("x.far_n").alias("k"))
+    far = rows.where("n_far > 0").select("row", F.inline("far"))
     met = far.join(counts.where("n > 0").withColumnRenamed("n", "c"), "word")  # a word that was never seen meets nothing, however common it is
     gain = F.log10(F.col("c") + F.lit(SMOOTH)) - F.lit(float(np.log10(SMOOTH)))
     sums = met.groupBy("row").agg(F.sum("k").alias("far_known"), F.sum(F.col("k") * gain).alias("far_gain"))
     all_words = float(np.log10(vocab.tokens + SMOOTH * (vocab.distinct + 1)))
-    far_words = F.aggregate("far_n", F.lit(0).cast("long"), lambda a, x: a + x)
     extra = F.col("unseen") + F.coalesce("far_gain", F.lit(0.0))
-    own = rows.withColumn("unseen", far_words * F.lit(float(np.log10(SMOOTH)))).drop("far", "far_n")
+    own = rows.withColumn("unseen", F.col("n_far") * F.lit(float(np.log10(SMOOTH)))).drop("far", "n_far")
     return own.join(sums, "row", "left").select(
         "doc_id",
         "held_out",

@@ -507,3 +507,51 @@ def test_lm_classes_of_words_not_at_hand(monkeypatch):
     want = [2 if w == "h\u00e9" else 1 if w.lower() == "the" else lm.rare_class(w.encode(), 3, 16) for w in words]
     assert got.now.tolist() == [*want, 0, 0, 1, lm.rare_class(b"zing", 3, 16), 0]
     assert asked_for == 3
+
+
+def test_lm_takes_exponentials_by_class_not_by_context(monkeypatch):
+    """The softmax over bands has exponentials for each class in a context; far parameters go by each context. Both as a plain version gives them."""
+    r = np.random.default_rng(2)
+    model = LogBilinear.start(r.random(300) + 0.1)
+    h2, h1, now = (r.integers(0, n, 5000) for n in (30, 30, 300))
+    taken = []
+    monkeypatch.setattr(lm, "COLUMNS", 7)
+    monkeypatch.setattr(lm, "_log_sum", lambda x: taken.append(0) or np.log(np.exp(x.astype(float)).sum(axis=1)))
+    monkeypatch.setattr(np, "exp", lambda x, f=np.exp, **k: taken.append(np.size(x)) or f(x, **k))
+    for scale in (1, 30):
+        taken.clear()
+        used = LogBilinear(scale * model.r, scale * model.v, model.b, scale * model.u, model.g, model.a)
+        got = used.log_prob(h2, h1, now)
+        within = sum((band_of(c) > 0) * (band_of(c) + 1) for _, _, c in set(zip(h2, h1, now, strict=True)))
+        bands, contexts = len(model.u), len(set(zip(h2, h1, strict=True)))
+        if scale == 1:
+            assert sum(taken) <= 60 * bands + within and contexts > 10 * 60
+        q = used.r[h2] @ used.a[1] + used.r[h1] @ used.a[0]
+        starts, b = band_starts(300), band_of(now)
+        t = q @ used.u.T + used.g
+        want = t[np.arange(5000), b] - np.logaddexp.reduce(t.astype(float), axis=1)
+        for k in range(0, 5000, 41):
+            s = used.v[starts[b[k]] : starts[b[k] + 1]] @ q[k] + used.b[starts[b[k]] : starts[b[k] + 1]]
+            assert got[k] == pytest.approx(want[k] + s[now[k] - starts[b[k]]] - np.logaddexp.reduce(s.astype(float)), abs=1e-3)
+
+
+def test_lm_works_out_equal_noise_once(monkeypatch):
+    """128 draws from 5 classes are 5 columns; each counts as often as it was drawn."""
+    mass = np.array([5.0, 3, 2, 1, 0.5])
+    trainer = Trainer(LogBilinear.start(mass), mass, 3)
+    taken = []
+    monkeypatch.setattr(np, "exp", lambda x, f=np.exp, **k: taken.append(x.shape) or f(x, **k))
+    q = np.hstack([np.random.default_rng(1).standard_normal((6, trainer.dim)), np.ones((6, 1))]).astype(np.float32)
+    trainer._contrast(q, trainer.v, 1, np.array([0, 0, 1, 2, 2, 4]))
+    assert taken == [(6, 5)] and trainer.used[1].sum() == lm.NOISE
+
+
+def test_lm_trains_on_the_words_with_classes_only():
+    """Classes are the same with all words at hand and with those alone that have a class of their own."""
+    words = [b"", b"the", b"of", b"zing", b"ring", b"at"]
+    vocab = lm.Vocabulary(words, np.arange(6.0, 0, -1), 3, 16, 21, 6, np.full(16, 0.1))
+    own = vocab.of_classes()
+    assert len(own.tables()[0]) == 3 and (own.class_mass() == vocab.class_mass()).all()
+    texts = pa.array(["the zing of", "at ring other", None, "OF sting"])
+    for a, b in zip(*(lm.Sequences(texts, x, x.tables()).contexts() for x in (vocab, own)), strict=True):
+        assert (a == b).all()
