@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import slices_of_bytes
+from pairloom.llm.common import give_back, slices_of_bytes
 from pairloom.llm.labelled import held_out
 from pairloom.plans.scratch import materialise
 
@@ -61,8 +61,8 @@ LEAST, PART_TOKENS, SHUFFLED = 6_000_000, 4_000_000, 1 << 18
 MERGED, TOGETHER = 1024, 1 << 20
 #: Rows of a matrix product in scoring, few enough to stay in a core's cache; bands whose exponentials are at hand at once, and the largest of these.
 BLOCK, COLUMNS, RANGE = 1024, 64, 40
-#: Bytes of the texts that are cut into words at once.
-TEXT_BYTES = 4 << 20
+#: Bytes of the texts that are cut into words at once, and in scoring, where more tokens are equal in longer parts.
+TEXT_BYTES, SCORED_BYTES = 2 << 20, 4 << 20
 #: Words and their counts that a task holds before it sums them and passes them on.
 COUNTED = 600_000
 SMOOTH = 0.1
@@ -398,6 +398,8 @@ def word_counts(docs: DataFrame, text_column: str) -> DataFrame:
         if held:
             yield from summed().to_batches(max_chunksize=1 << 16)
         yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([ends], pa.int64())], ["word", "n"])
+        held.clear()
+        give_back()
 
     counted = docs.select(text_column).mapInArrow(run, "word string, n long").repartition("word")  # no use in grouping a task's words again before
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
@@ -477,6 +479,7 @@ def _train_task(shared, passes: int, turn: int):
     """What a task does with its documents in one round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         vocab, model, rate = shared.value
         tables = vocab.tables()
         trainer = Trainer(model, vocab.class_mass(), 10_000 * turn + TaskContext.get().partitionId(), rate)
@@ -560,6 +563,7 @@ def score_texts(docs: DataFrame, *, folds: int = 10, id_column: str = "doc_id",
     shared = sc.broadcast((vocab, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         vocab, model = shared.value
         tables = vocab.tables()
         log_count = np.log10(vocab.counts + SMOOTH)
@@ -570,7 +574,7 @@ def score_texts(docs: DataFrame, *, folds: int = 10, id_column: str = "doc_id",
         known = (vocab.counts > 0).astype(np.int64)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices_of_bytes(batch, 1, TEXT_BYTES):
+            for part in slices_of_bytes(batch, 1, SCORED_BYTES):
                 seq = Sequences(part.column(1), vocab, tables)
                 near = seq.place >= 0
                 inside = np.where(near, within[seq.place], -log_mass[np.where(near, 0, seq.classes - vocab.head)])
